@@ -39,50 +39,114 @@ UNLABELLED = 0.5
 SEGMENTS_A_DOC = 40
 BUCKETS = 1 << 18
 WIDTH = 10
-WINDOW, STRIDE = 12, 6
-THRESHOLD = 0.3
+WINDOW, STRIDE = 8, 4
+#: Features that stand in a larger share of the training texts than this tell nothing and are left out.
+COMMON = 0.4
+THRESHOLD = 0.7
 
 # Signs and digits that stand for letters, and letters whose marks are ignored here.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"})
 _FOLD = str.maketrans("çğıöşüâîûêôäëïñéèáàíóú", "cgiosuaiueoaeineeaaiou")
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,500}>")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐][^\S\n]*\n\s*(?=[^\W\d_])")
-_MIXED = re.compile(r"(?=[0-9@$!|€]*[^\W\d_])[^\W_]*[0-9@$!|€][\w@$!|€]*[\w@$|€]")
-_APART = re.compile(r"(?<![^\W_])[^\W_](?:([.\-_*·/ ]{1,2})[^\W_])(?:\1[^\W_])+(?![^\W_])")
-_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_MASK = re.compile(r"(?<=[a-z])[*#.](?=[a-z])")
-_END = re.compile(r"[.!?…]+(?:\s|$)")
+_BROKEN = re.compile(r"[-‐][^\S\n]*\n\s*(?=[^\W\d_])")
+_LEET_SIGN = re.compile(r"[0-9@$!|€]")
+_MIXED = re.compile(r"[0-9@$!|€]*[a-z][\w@$!|€]*[\w@$|€]")
+_APART = re.compile(r"(?<![a-z])[a-z](?:[.\-_*·/]{1,2}[a-z]){2,}(?![a-z])")
+_STRETCHED = re.compile(r"([a-z])\1{2,}")
+_MASK = re.compile(r"(?<=[a-z])[*#._](?=[a-z])")
+_END = re.compile(r"[.!?…]+[\"'”’»)\]]*$")
 _TOKEN = re.compile(r"[a-z]+")
 
 
-def plain_form(text: str) -> str:
-    """Lower case Latin letters without marks; disguises undone, punctuation kept."""
-    text = lower_tr(_BROKEN.sub("", _TAG.sub(" ", skeleton(text)))).translate(_FOLD)
-    text = _APART.sub(lambda m: re.sub(r"[^\w]|_", "", m[0]), text)
-    text = _MIXED.sub(lambda m: m[0].translate(_LEET) if not m[0].isdigit() else m[0], text)
+def plain_token(token: str) -> tuple[str, ...]:
+    """The words of a run of non-blank characters in plain form (lower case Latin letters, no marks, disguises undone);
+    a closing ``"."`` says that a sentence ends."""
+    text = lower_tr(skeleton(token)).translate(_FOLD)
+    end = (".",) if _END.search(text) else ()
+    if not text.isalpha():
+        if _LEET_SIGN.search(text):
+            text = _MIXED.sub(lambda m: m[0].translate(_LEET), text)
+        if _APART.search(text):
+            text = _APART.sub(lambda m: re.sub(r"[^a-z]", "", m[0]), text)
+        text = _MASK.sub("", text)
     text = _STRETCHED.sub(r"\1", text)
-    return _MASK.sub("", text)
+    return (*_TOKEN.findall(text), *end)
 
 
-def segments(text: str | None) -> list[str]:
-    """Runs of at most ``WINDOW`` words within a sentence, overlapping by half."""
+class _Plain(dict):
+    """Cache of ``plain_token``; emptied when it holds ``most`` tokens, so that it stays bounded on any corpus."""
+
+    def __init__(self, most: int = 300_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        self[token] = out = plain_token(token[:1000]) if len(token) <= 1000 else sum((plain_token(token[i : i + 1000]) for i in range(0, len(token), 1000)), ())
+        return out
+
+
+_plain = _Plain()
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of every sentence in plain form; letters that stand alone in a row are one word."""
     if not text:
         return []
-    out = []
-    for sentence in _END.split(plain_form(text)):
-        words = _TOKEN.findall(sentence)
-        for at in range(0, max(len(words) - STRIDE, 1), STRIDE):
-            part = words[at : at + WINDOW]
-            if part:
-                out.append(f" {' '.join(part)} ")
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "\n" in text:
+        text = _BROKEN.sub("", text)
+    out, now, single = [], [], 0
+    for token in text.split():
+        for word in _plain[token]:
+            if word == ".":
+                if single > 2:
+                    now[-single:] = ["".join(now[-single:])]
+                single = 0
+                if now:
+                    out.append(now)
+                    now = []
+            else:
+                if len(word) == 1:
+                    single += 1
+                else:
+                    if single > 2:
+                        now[-single:] = ["".join(now[-single:])]
+                    single = 0
+                now.append(word)
+    if single > 2:
+        now[-single:] = ["".join(now[-single:])]
+    if now:
+        out.append(now)
     return out
 
 
+def windows(words: int) -> range:
+    """Where the segments of a sentence begin: every ``STRIDE`` words, each at most ``WINDOW`` words long."""
+    return range(0, max(words - STRIDE, 1), STRIDE)
+
+
+def segments(text: str | None) -> list[str]:
+    """Runs of at most ``WINDOW`` words within a sentence, overlapping by half."""
+    return [f" {' '.join(s[at : at + WINDOW])} " for s in sentences(text) for at in windows(len(s))]
+
+
 _P = np.uint64(0x100000001B3)
 
 
-def _features(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each feature and the segment it belongs to, in order of segments."""
+def _bucket_of(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first * np.uint64(0x9E3779B97F4A7C15) ^ second) * _P
+
+
+def _features(segs: list[str], whole: bool = False):
+    """Bucket of each feature and the segment it belongs to, in order of segments; with ``whole`` also the hash of each
+    word, and no pairs of words."""
     codes = np.frombuffer("\n".join(segs).encode("ascii"), np.uint8).astype(np.uint64)
     seg = np.cumsum(codes == 10)
     space = (codes == 32) | (codes == 10)
@@ -111,14 +175,14 @@ def _features(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         word = (sums[ends + 1] - sums[starts]) * back[starts]
         got_h.append((word ^ np.uint64(0x5BD1E995)) * _P)
         got_s.append(seg[starts])
-        pair_ok = seg[starts[1:]] == seg[starts[:-1]]
-        pair = (word[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ word[1:]) * _P
-        got_h.append(pair[pair_ok])
-        got_s.append(seg[starts[:-1]][pair_ok])
+        if not whole:
+            pair_ok = seg[starts[1:]] == seg[starts[:-1]]
+            got_h.append(_pair_hash(word[:-1], word[1:])[pair_ok])
+            got_s.append(seg[starts[:-1]][pair_ok])
     h, s = np.concatenate(got_h or [[]]).astype(np.uint64), np.concatenate(got_s or [[]]).astype(np.int64)
     order = np.argsort(s, kind="stable")
-    h ^= h >> np.uint64(29)
-    return (h[order] % np.uint64(BUCKETS)).astype(np.int32), s[order]
+    out = _bucket_of(h)[order], s[order]
+    return (*out, word) if whole else out
 
 
 class _Model:
@@ -144,11 +208,12 @@ class _Model:
                 sizes = offsets[rows + 1] - offsets[rows]
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 idx = feats[np.repeat(offsets[rows] - first, sizes) + np.arange(sizes.sum())]
-                hidden = np.add.reduceat(self.vectors[idx], first) / sizes[:, None]
+                part = (1 / sizes)[:, None].astype(np.float32)
+                hidden = np.add.reduceat(self.vectors[idx], first) * part
                 z = hidden @ self.weights + self.bias
                 z = np.exp(z - z.max(1, keepdims=True))
-                grad = (z / z.sum(1, keepdims=True) - target[rows]) * weight[rows, None]
-                d_hidden = (grad @ self.weights.T) / sizes[:, None]
+                grad = ((z / z.sum(1, keepdims=True) - target[rows]) * weight[rows, None]).astype(np.float32)
+                d_hidden = (grad @ self.weights.T) * part
                 dw, db = hidden.T @ grad / len(rows), grad.mean(0)
                 sq_w += dw * dw
                 sq_b += db * db
@@ -167,17 +232,13 @@ class _Model:
         return (self.vectors @ self.weights).astype(np.float32)
 
 
-def _probabilities(segs: list[str], table: np.ndarray, bias: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Class probabilities of each segment; features that training never saw take no part."""
-    feats, seg = _features(segs)
-    keep = known[feats]
-    return _softmax_means(feats[keep], seg[keep], len(segs), table, bias)
-
-
 def _softmax_means(feats: np.ndarray, seg: np.ndarray, n: int, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
     counts = np.bincount(seg, minlength=n)
     z = np.stack([np.bincount(seg, table[feats, c], n) for c in range(table.shape[1])], axis=1)
-    z = z / np.maximum(counts, 1)[:, None] + bias
+    return _softmax(z / np.maximum(counts, 1)[:, None] + bias)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(1, keepdims=True))
     return z / z.sum(1, keepdims=True)
 
@@ -197,7 +258,7 @@ def train(docs: list[tuple[list[str], np.ndarray, float]], rounds: int = 3, seed
         parts.append((feats, seg + low))
         pairs = np.unique(feats.astype(np.int64) * len(docs) + owner[seg + low])
         texts_with += np.bincount(pairs // len(docs), minlength=BUCKETS)
-    known = texts_with >= (5 if len(docs) > 2000 else 2)
+    known = (texts_with >= (5 if len(docs) > 2000 else 2)) & (texts_with <= max(COMMON * len(docs), 20))
     parts = [(feats[k], seg[k].astype(np.int32)) for feats, seg in parts for k in [known[feats]]]
     feats, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
@@ -272,26 +333,73 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
     return [x for x in out if x[0]]
 
 
+class _Scorer:
+    """Scores texts by words: what a word and its n-grams add to a segment is looked up once and remembered."""
+
+    def __init__(self, table: np.ndarray, bias: np.ndarray, known: np.ndarray, most: int = 200_000):
+        self.table, self.bias, self.known, self.most = table, bias, known, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.sums, self.counts = np.zeros((0, len(CLASSES))), np.zeros(0)
+        self.hashes = np.zeros(0, np.uint64)
+
+    def _learn(self, words: list[str]) -> None:
+        feats, seg, hashes = _features([f" {w} " for w in words], whole=True)
+        keep = self.known[feats]
+        feats, seg = feats[keep], seg[keep]
+        sums = np.stack([np.bincount(seg, self.table[feats, c], len(words)) for c in range(len(CLASSES))], axis=1)
+        self.sums = np.concatenate([self.sums, sums])
+        self.counts = np.concatenate([self.counts, np.bincount(seg, minlength=len(words))])
+        self.hashes = np.concatenate([self.hashes, hashes])
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Highest share of the not clean classes over the segments of each text, and the likeliest such class there."""
+        score, kind = np.zeros(len(texts)), np.ones(len(texts), np.int64)
+        words, start, stop, owner = [], [], [], []
+        for i, text in enumerate(texts):
+            for sentence in sentences(text) if isinstance(text, str) else ():
+                base, n = len(words), len(sentence)
+                words.extend(sentence)
+                for at in windows(n):
+                    start.append(base + at)
+                    stop.append(min(base + at + WINDOW, base + n))
+                    owner.append(i)
+        if not owner:
+            return score, kind
+        if len(self.ids) > self.most:
+            self._forget()
+        new = [w for w in dict.fromkeys(words) if w not in self.ids]
+        if new:
+            self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+            self._learn(new)
+        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        start, stop, owner = np.array(start), np.array(stop), np.array(owner)
+        pair = _bucket_of(_pair_hash(self.hashes[at[:-1]], self.hashes[at[1:]]))
+        seen = self.known[pair]
+        adds = np.concatenate([np.zeros((1, len(CLASSES))), np.cumsum(self.sums[at], axis=0)])
+        many = np.concatenate([[0], np.cumsum(self.counts[at])])
+        pair_adds = np.concatenate([np.zeros((1, len(CLASSES))), np.cumsum(self.table[pair] * seen[:, None], axis=0, dtype=np.float64)])
+        pair_many = np.concatenate([[0], np.cumsum(seen)])
+        z = adds[stop] - adds[start] + pair_adds[stop - 1] - pair_adds[start]
+        n = many[stop] - many[start] + pair_many[stop - 1] - pair_many[start]
+        p = _softmax(z / np.maximum(n, 1)[:, None] + self.bias)
+        bad = 1 - p[:, 0]
+        order = np.argsort(bad, kind="stable")  # the last write is the worst segment's
+        score[owner[order]] = bad[order]
+        kind[owner[order]] = p[order, 1:].argmax(1) + 1
+        return score, kind
+
+
 def _score_rows(table: np.ndarray, bias: np.ndarray, known: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = _Scorer(table, bias, known)
         for batch in batches:
-            n = len(batch)
-            score, label = np.zeros(n), np.zeros(n, np.int64)
-            segs, owner = [], []
-            for i, text in enumerate(batch["_text"]):
-                own = segments(text) if isinstance(text, str) else []
-                segs.extend(own)
-                owner.extend([i] * len(own))
-            for at in range(0, len(segs), 20_000):
-                p = _probabilities(segs[at : at + 20_000], table, bias, known)
-                own = np.array(owner[at : at + 20_000])
-                bad = 1 - p[:, 0]
-                order = np.argsort(bad, kind="stable")  # the last write is the worst segment's
-                better = bad[order] > score[own[order]]
-                order = order[better]
-                score[own[order]] = bad[order]
-                label[own[order]] = p[order, 1:].argmax(1) + 1
-            names = np.where(score >= THRESHOLD, np.array(CLASSES)[label], CLASSES[0])
+            score, kind = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            for low in range(0, len(batch), 2000):
+                score[low : low + 2000], kind[low : low + 2000] = scorer(batch["_text"].to_numpy()[low : low + 2000])
+            names = np.where(score >= THRESHOLD, np.array(CLASSES)[kind], CLASSES[0])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "score": score, "kind": names})
 
     return run
