@@ -47,9 +47,9 @@ def summary(events: DataFrame) -> DataFrame:
         F.count("*").alias("requests"),
         F.coalesce(F.avg(ms), F.lit(0.0)).alias("avg_ms"),
         F.avg(judged).alias("abstain_rate"),
-        F.sum("tokens_in").alias("tokens_in"),
-        F.sum("tokens_out").alias("tokens_out"),
-        F.sum("est_cost_usd").alias("cost"),
+        F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"),
+        F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
+        F.coalesce(F.sum("est_cost_usd"), F.lit(0.0)).alias("cost"),
     )
 
 
@@ -88,7 +88,7 @@ def histogram_quantile(buckets: DataFrame, by: Sequence[str], q: float) -> DataF
     rows = rows.withColumn("total", F.max("n").over(Window.partitionBy(*by)))
     want = F.col("total") * F.lit(float(q))
     at = F.col("low") + (F.col("le") - F.col("low")) * (want - F.col("before")) / (F.col("n") - F.col("before"))
-    value = F.min(F.when((F.col("n") >= want) & F.col("le").isNotNull() & (F.col("n") > F.col("before")), at))
+    value = F.min(F.when((F.col("n") >= want) & (F.col("before") < want) & F.col("le").isNotNull(), at))
     return rows.groupBy(*by).agg(F.coalesce(value, F.max("le")).alias("value"))
 
 

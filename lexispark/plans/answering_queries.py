@@ -1 +1,72 @@
-"""Queries."""
+"""Gates over the request log and the calibration rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexispark.functions import text as tx
+from lexispark.operators import answering
+from lexispark.operators.events import clean_events
+from lexispark.plans.event_queries import _E
+from lexispark.plans.registry import query
+from lexispark.sources.tables import table
+
+_PASSED = "CASE json_extract_string(detail, '$.gate1.passed') WHEN 'true' THEN true WHEN 'false' THEN false END"
+_DEMOTED = "coalesce(json_extract_string(detail, '$.gate2.demoted') = 'true', false)"
+
+
+@query(f"""WITH {_E}, d AS (SELECT CASE WHEN NOT coalesce(top_score >= 10.6 AND NOT isnan(top_score), true) THEN 'abstain:threshold' WHEN NOT coalesce({_PASSED}, true) THEN 'abstain:gate1'
+WHEN coalesce(status = 'degraded', false) THEN 'degraded' WHEN {_DEMOTED} THEN 'abstain:gate2_demote' ELSE 'answer' END AS decision, status FROM e WHERE endpoint = '/ask')
+SELECT decision, status, count(*) AS requests FROM d GROUP BY ALL""")
+def ask_decisions(spark, folder):
+    """What the chain of gates serves, from the stage outputs in the log."""
+    rows = clean_events(table(spark, folder, "request_events")).where("endpoint = '/ask'")
+    passed = F.get_json_object("detail", "$.gate1.passed").try_cast("boolean")
+    demoted = F.coalesce(F.get_json_object("detail", "$.gate2.demoted") == "true", F.lit(False))
+    hit = (F.col("top_score") >= 10.6) & ~F.isnan("top_score")
+    decision = answering.ask_decision(hit, passed, F.col("status") == "degraded", demoted)
+    return rows.groupBy(decision.alias("decision"), "status").agg(F.count("*").alias("requests"))
+
+
+@query(f"""WITH {_E}, d AS (SELECT CASE WHEN coalesce(abstained, false) THEN 'abstained' WHEN coalesce(honest_miss, false) THEN 'honest_miss' WHEN coalesce(citations_n, 0) = 0 THEN 'no_citations' END AS reason FROM e WHERE endpoint = '/ask')
+SELECT coalesce(reason, 'checked') AS reason, count(*) AS requests FROM d GROUP BY 1""")
+def gate2_skips(spark, folder):
+    """Why the evidence gate has nothing to do."""
+    rows = clean_events(table(spark, folder, "request_events")).where("endpoint = '/ask'")
+    reason = answering.skip_reason(F.col("abstained"), F.col("honest_miss"), F.col("citations_n"))
+    return rows.groupBy(F.coalesce(reason, F.lit("checked")).alias("reason")).agg(F.count("*").alias("requests"))
+
+
+_CLAIMS = """c AS (SELECT group_key AS answer_id, CASE WHEN label = 1 THEN 'supported' WHEN gold_in_topk THEN 'belirsiz' ELSE 'unsupported' END AS verdict, coalesce(gold_in_topk, false) AS cited, answerable FROM calibration_rows WHERE group_key IS NOT NULL)"""
+
+
+def _claims(spark, folder):
+    """Calibration rows read as claims: the group is the answer, the label its verdict."""
+    verdict = F.when(F.col("label") == 1, "supported").when(F.col("gold_in_topk"), "belirsiz").otherwise("unsupported")
+    rows = table(spark, folder, "calibration_rows").where("group_key is not null")
+    return rows.select(F.col("group_key").alias("answer_id"), verdict.alias("verdict"), F.coalesce("gold_in_topk", F.lit(False)).alias("cited"), "answerable")
+
+
+@query(f"""WITH {_CLAIMS}, g AS (SELECT answer_id, count(*) AS claims, count(CASE WHEN verdict = 'supported' THEN 1 END) AS supported FROM c GROUP BY 1)
+SELECT answer_id, claims, supported, claims > 8 OR supported < claims AS demoted FROM g""")
+def evidence_gate(spark, folder):
+    """Gate decision per answer from the verdicts of its claims."""
+    return answering.evidence_gate(_claims(spark, folder))
+
+
+@query(f"""WITH {_CLAIMS}, a AS (SELECT answer_id, count(CASE WHEN cited THEN 1 END) AS cited, count(CASE WHEN cited AND verdict = 'supported' THEN 1 END) AS ok, bool_and(verdict = 'supported') AS complete, bool_and(answerable) AS answerable FROM c GROUP BY 1)
+SELECT count(*) AS answers, round(sum(ok) / nullif(sum(cited), 0), 6) AS citation_precision, round(count(CASE WHEN complete THEN 1 END) / nullif(count(*), 0), 6) AS completeness,
+round(count(CASE WHEN complete AND NOT answerable THEN 1 END) / nullif(count(CASE WHEN complete THEN 1 END), 0), 6) AS false_supported FROM a""")
+def answer_metrics(spark, folder):
+    """Citation precision, completeness and false supported answers."""
+    out = answering.answer_metrics(_claims(spark, folder))
+    return out.select("answers", *[F.round(c, 6).alias(c) for c in ("citation_precision", "completeness", "false_supported")])
+
+
+@query("""WITH v(n, raw) AS (VALUES (1, '{"verdict": "supported"}'), (2, '[{"verdict": "unsupported"}]'), (3, 'nothing'), (4, '{"verdict": "maybe"}')), c AS (SELECT count(*) AS questions FROM bench_questions)
+SELECT n, CASE WHEN n = 1 THEN 'supported' WHEN n = 2 THEN 'unsupported' ELSE 'belirsiz' END AS verdict, questions FROM v, c""")
+def verdict_parsing(spark, folder):
+    """Replies of a model read as verdicts (given replies, beside the number of questions)."""
+    raw = spark.createDataFrame([(1, '```json\n{"verdict": "supported"}\n```'), (2, '[{"verdict": "unsupported"}]'), (3, "nothing"), (4, '{"verdict": "maybe"}')], "n int, raw string")
+    count = table(spark, folder, "bench_questions").agg(F.count("*").alias("questions"))
+    return raw.select("n", tx.parse_verdict(F.col("raw")).alias("verdict")).join(F.broadcast(count), how="left")  # one row

@@ -1 +1,162 @@
-"""Queries."""
+"""Splits, duplicates, reconciliation and rule checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexispark.functions import text as tx
+from lexispark.operators import quality
+from lexispark.plans.registry import query
+from lexispark.plans.views import sql_lower
+from lexispark.sources.tables import table
+
+
+def _bench(spark, folder):
+    return table(spark, folder, "bench_questions")
+
+
+@query("""SELECT verification_status AS status, CASE WHEN verification_kind IS NULL THEN -1 WHEN verification_kind = 'human' THEN 2
+WHEN verification_kind = 'model-cross-check' THEN 1 ELSE 0 END AS level, count(*) AS n FROM bench_questions GROUP BY ALL""")
+def verification_levels(spark, folder):
+    """Questions by status and strength of verification, -1 where the kind is not recorded."""
+    level = F.coalesce(quality.verification_level(F.col("verification_kind")), F.lit(-1)).alias("level")
+    return _bench(spark, folder).groupBy(F.col("verification_status").alias("status"), level).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT question_id FROM bench_questions WHERE verification_status = 'verified' AND verification_kind = 'human' AND answerable""")
+def verified_answerable(spark, folder):
+    """Questions a human verified as answerable."""
+    strong = quality.verification_level(F.col("verification_kind")) >= 2
+    return _bench(spark, folder).where((F.col("verification_status") == "verified") & strong & F.col("answerable")).select("question_id").distinct()
+
+
+_TEST = "t AS (SELECT doc_id FROM (SELECT doc_id, doc_type, row_number() OVER (PARTITION BY doc_type ORDER BY sha256('seed|' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY doc_type) AS n FROM (SELECT DISTINCT doc_id, doc_type FROM manifest WHERE doc_id IS NOT NULL)) WHERE k <= greatest(2, n * 0.4))"
+
+
+def _test_docs(spark, folder):
+    """Two fifths of the documents of each type, at least two, in the order of a hash."""
+    from pyspark.sql.window import Window
+
+    docs = table(spark, folder, "manifest").where("doc_id is not null").select("doc_id", "doc_type").distinct()
+    order = Window.partitionBy("doc_type").orderBy(F.sha2(F.concat(F.lit("seed|"), "doc_id"), 256), "doc_id")
+    size = F.count("*").over(Window.partitionBy("doc_type"))
+    return docs.withColumn("k", F.row_number().over(order)).withColumn("n", size).where(F.col("k") <= F.greatest(F.lit(2.0), F.col("n") * 0.4)).select("doc_id")
+
+
+@query(f"WITH {_TEST} SELECT doc_id FROM t")
+def test_documents(spark, folder):
+    """Documents of the test side, chosen by hash order within their type."""
+    return _test_docs(spark, folder)
+
+
+_HALF = "CASE WHEN CAST(concat('0x', right(sha256({x}), 1)) AS INTEGER) % 2 = 0 THEN 'dev' ELSE 'test' END"
+
+
+@query(f"""WITH {_TEST}, b AS (SELECT *, CASE WHEN len(gold_doc_ids) > 0 THEN gold_doc_ids[1] END AS g FROM bench_questions),
+d AS (SELECT *, coalesce(g, CASE WHEN unanswerable_reason = 'eksik-kanit' THEN subject_doc END) AS doc FROM b)
+SELECT DISTINCT question_id, CASE WHEN g IS NOT NULL THEN CASE WHEN doc IN (SELECT doc_id FROM t) THEN 'test' ELSE 'dev' END
+WHEN unanswerable_reason = 'korpus-disi' AND anchor_law IS NOT NULL THEN {_HALF.format(x="'anchor:' || anchor_law")}
+WHEN doc IS NOT NULL THEN CASE WHEN doc IN (SELECT doc_id FROM t) THEN 'test' ELSE 'dev' END
+ELSE {_HALF.format(x="'qid:' || question_id")} END AS assigned FROM d""")
+def split_assignment(spark, folder):
+    """Split of every question by gold document, anchor, subject or hash."""
+    return quality.assign_split(_bench(spark, folder), _test_docs(spark, folder))
+
+
+@query("""SELECT question_id, group_key, CASE WHEN group_key IS NULL THEN NULL
+WHEN CAST(concat('0x', left(sha256('inner:' || group_key), 2)) AS INTEGER) < 170 THEN 'fit' ELSE 'calibration' END AS inner_side FROM calibration_rows""")
+def inner_split(spark, folder):
+    """Inner split of every calibration row by its group."""
+    return table(spark, folder, "calibration_rows").select("question_id", "group_key", quality.inner_split(F.col("group_key")).alias("inner_side"))
+
+
+_SETS = f"""sets AS (SELECT question_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(translate({sql_lower("coalesce(question, '')")}, '{tx.FOLD_FROM}', '{tx.FOLD_TO}'), '[^0-9a-z]+'), lambda w: w <> ''))) AS tokens FROM bench_questions),
+cls AS (SELECT tokens, min(id) AS id FROM sets WHERE len(tokens) > 0 GROUP BY tokens)"""
+
+
+@query(f"WITH {_SETS} SELECT sets.id, cls.id AS class_id FROM sets JOIN cls USING (tokens)")
+def duplicate_question_classes(spark, folder):
+    """Questions with equal token sets."""
+    return quality.duplicate_classes(_bench(spark, folder), "question_id", "question")
+
+
+@query(f"""WITH {_SETS} SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))), 6) AS similarity
+FROM cls a JOIN cls b ON a.id < b.id WHERE len(list_intersect(a.tokens, b.tokens)) >= 0.8 * (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) - 1e-9""")
+def near_duplicate_questions(spark, folder):
+    """Links between classes of questions with a Jaccard similarity of 0.8 or more."""
+    out = quality.near_duplicates(_bench(spark, folder), "question_id", "question")
+    return out.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+def _reconcile_sql(a: str, b: str) -> str:
+    return f"""SELECT (SELECT count(*) FROM (({a}) INTERSECT ({b}))) AS "both", (SELECT count(*) FROM (({a}) EXCEPT ({b}))) AS only_left, (SELECT count(*) FROM (({b}) EXCEPT ({a}))) AS only_right"""
+
+
+@query(_reconcile_sql("SELECT doc_id FROM manifest WHERE doc_id IS NOT NULL", "SELECT doc_id FROM chunks WHERE doc_id IS NOT NULL"))
+def manifest_reconciliation(spark, folder):
+    """Documents of the manifest against documents with chunks."""
+    return quality.reconcile(table(spark, folder, "manifest"), table(spark, folder, "chunks"), "doc_id")
+
+
+@query(_reconcile_sql("SELECT chunk_id FROM article_markers WHERE chunk_id IS NOT NULL", "SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL"))
+def marker_reconciliation(spark, folder):
+    """Chunks with markers against chunks."""
+    return quality.reconcile(table(spark, folder, "article_markers"), table(spark, folder, "chunks"), "chunk_id")
+
+
+@query("""WITH v AS (SELECT question_id, coalesce(gold_page_ids, []) AS gp, coalesce(gold_doc_ids, []) AS gd, trim(coalesce(reference_answer, '')) AS ref, answerable, unanswerable_reason, verification_status, verified_by FROM bench_questions)
+SELECT DISTINCT question_id, rule FROM (
+SELECT question_id, 'answerable-without-gold' AS rule FROM v WHERE answerable AND len(gp) = 0
+UNION ALL SELECT question_id, 'answerable-without-reference' FROM v WHERE answerable AND ref = ''
+UNION ALL SELECT question_id, 'answerable-with-reason' FROM v WHERE answerable AND unanswerable_reason IS NOT NULL
+UNION ALL SELECT question_id, 'unanswerable-with-gold' FROM v WHERE NOT answerable AND len(gp) > 0
+UNION ALL SELECT question_id, 'unanswerable-without-reason' FROM v WHERE NOT answerable AND unanswerable_reason IS NULL
+UNION ALL SELECT question_id, 'gold-page-without-number' FROM v WHERE len(list_filter(gp, lambda p: NOT contains(p, ':'))) > 0
+UNION ALL SELECT question_id, 'gold-page-of-other-doc' FROM v WHERE len(list_filter(gp, lambda p: NOT list_contains(gd, split_part(p, ':', 1)))) > 0
+UNION ALL SELECT question_id, 'verified-by-nobody' FROM v WHERE verification_status = 'verified' AND verified_by IS NULL)""")
+def question_violations(spark, folder):
+    """Broken rules of the question table."""
+    return quality.question_violations(_bench(spark, folder))
+
+
+@query(f"""WITH c AS (SELECT page_id, string_agg(text, chr(10) ORDER BY chunk_id) AS text FROM (SELECT DISTINCT chunk_id, text, unnest(page_ids) AS page_id FROM chunks) GROUP BY page_id),
+q AS (SELECT DISTINCT question_id, gold_page_ids, minimal_evidence_spans FROM bench_questions),
+s AS (SELECT question_id, unnest(gold_page_ids) AS page_id, minimal_evidence_spans FROM q),
+e AS (SELECT question_id, page_id, unnest(minimal_evidence_spans) AS span FROM s)
+SELECT question_id, page_id, count(*) AS spans, count(CASE WHEN contains(trim(regexp_replace({sql_lower("coalesce(c.text, '')")}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), trim(regexp_replace({sql_lower("coalesce(span, '')")}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) THEN 1 END) AS found
+FROM e LEFT JOIN c USING (page_id) GROUP BY ALL""")
+def span_precheck(spark, folder):
+    """Evidence spans of each question and gold page, and how many stand in the page's text."""
+    pieces = table(spark, folder, "chunks").select("chunk_id", "text", F.explode("page_ids").alias("page_id")).distinct()
+    # a page's chunks are few
+    joined = pieces.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("c"))
+    pages = joined.select("page_id", F.array_join(F.transform("c", lambda s: s["text"]), "\n").alias("text"))
+    asked = _bench(spark, folder).select("question_id", "gold_page_ids", "minimal_evidence_spans").distinct()
+    spans = asked.select("question_id", F.explode("gold_page_ids").alias("page_id"), "minimal_evidence_spans").select(
+        "question_id", "page_id", F.explode("minimal_evidence_spans").alias("span")
+    )
+    return spans.join(pages, "page_id", "left").groupBy("question_id", "page_id").agg(
+        F.count("*").alias("spans"), F.count_if(tx.span_in(F.col("span"), F.col("text"))).alias("found")
+    )
+
+
+@query("""WITH t(scale, threshold) AS (VALUES ('hybrid-bm25', 10.6), ('hybrid-bm25', 0.58), ('hybrid-bm25', 250), ('visual-normalized', 0.58), ('visual-normalized', 10.6), ('visual-normalized', -1)),
+s AS (SELECT DISTINCT score_scale FROM request_events)
+SELECT scale, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN scale = 'hybrid-bm25' AND threshold > 0 AND threshold <= 1.5 THEN 'looks normalised'
+WHEN scale = 'hybrid-bm25' AND threshold > 200 THEN 'too large' WHEN scale = 'visual-normalized' AND threshold > 1.5 THEN 'looks like BM25' END AS problem FROM t JOIN s ON s.score_scale = t.scale""")
+def threshold_guard(spark, folder):
+    """Thresholds checked against the scales in use."""
+    given = [("hybrid-bm25", 10.6), ("hybrid-bm25", 0.58), ("hybrid-bm25", 250.0), ("visual-normalized", 0.58), ("visual-normalized", 10.6), ("visual-normalized", -1.0)]
+    rows = spark.createDataFrame(given, "scale string, threshold double")
+    scales = table(spark, folder, "request_events").select(F.col("score_scale").alias("scale")).distinct()
+    return rows.join(scales, "scale").withColumn("problem", quality.threshold_violation(F.col("scale"), F.col("threshold")))
+
+
+@query(f"""SELECT DISTINCT question_id, sha256(coalesce(question, '')) AS fingerprint, left(sha256(coalesce(question, '')), 12) AS short,
+trim(regexp_replace({sql_lower("coalesce(question, '')")}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS normal FROM bench_questions""")
+def question_fingerprints(spark, folder):
+    """Content hashes and the normalised form of every question."""
+    q = F.coalesce("question", F.lit(""))
+    return _bench(spark, folder).select(
+        "question_id", F.sha2(q, 256).alias("fingerprint"), tx.hash_prefix(q, 12).alias("short"), tx.squeeze_blanks(tx.tr_lower(q)).alias("normal")
+    ).distinct()
