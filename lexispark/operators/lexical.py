@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.cluster import broadcast_if_small
+from lexispark.cluster import broadcast_if_small, checkpointed
 from lexispark.functions.text import GENERIC_NAME_TOKENS, page_doc, tokenize
 
 # BM25 parameters, cap of repeated query terms, routing window, score floor.
@@ -50,22 +50,28 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     return words.groupBy(query_id, "token").agg(F.least(F.count("*"), F.lit(QUERY_TERM_CAP)).alias("qtf"))
 
 
-def bm25_scores(lists: DataFrame, terms: DataFrame) -> DataFrame:
-    """``query_id``, ``page_id``, ``score``, ``matched`` of every query and page that share a token.
+#: Stands in the postings once a page, so that the same pass over the texts gives the page lengths.
+_PAGE = "\0page"
+
 
-    Only tokens that some query asks for leave the scan: the postings are cut down to them before they are counted.
+def postings(lists: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``page_id``, ``dl``, ``token``, ``tf`` for the given tokens, and one row a page with the page mark as token.
+
+    The texts are tokenised in one pass and only asked tokens leave the scan; the result is written and its lineage cut.
     """
-    asked = broadcast_if_small(terms.select("token").distinct())
-    tf = (
-        lists.select("page_id", "dl", F.explode("tokens").alias("token"))
-        .join(asked, "token", "left_semi")
-        .groupBy("page_id", "dl", "token")
-        .agg(F.count("*").alias("tf"))
-    )
-    stats = corpus_stats(lists)
+    asked = broadcast_if_small(tokens.select("token").distinct().union(lists.sparkSession.createDataFrame([(_PAGE,)], "token string")))
+    cells = lists.select("page_id", "dl", F.explode(F.concat("tokens", F.array(F.lit(_PAGE)))).alias("token"))
+    return checkpointed(cells.join(asked, "token", "left_semi").groupBy("page_id", "dl", "token").agg(F.count("*").alias("tf")))
+
+
+def bm25_scores(lists: DataFrame, terms: DataFrame) -> DataFrame:
+    """``query_id``, ``page_id``, ``score``, ``matched`` of every query and page that share a token."""
+    index = postings(lists, terms)
+    stats = corpus_stats(index.where(F.col("token") == _PAGE))
+    tf = index.where(F.col("token") != _PAGE)
     idf = _with_idf(tf.groupBy("token").agg(F.count("*").alias("df")), stats)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = broadcast_if_small(terms.join(idf, "token"))
+    weighted = broadcast_if_small(checkpointed(terms.join(idf, "token")))
     return (
         tf.join(F.broadcast(stats), how="left")  # one row
         .join(weighted, "token")
@@ -134,10 +140,10 @@ def route_window(ranked: DataFrame, routed: DataFrame, window: int = ROUTE_WINDO
 def confidence_features(scores: DataFrame, routed: DataFrame, terms: DataFrame) -> DataFrame:
     """One row a query: best score, margin to the second, terms matched by the best page, their share, routed or not.
 
-    Queries without any match get zeros.
+    ``scores`` holds at least the two best pages of a query.  Queries without any match get zeros.
     """
-    best = rank_pages(scores, 2)
-    top = best.groupBy("query_id").agg(
+    best = scores if "rank" in scores.columns else rank_pages(scores, 2)
+    top = best.where("rank <= 2").groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("served_top1"),
         F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"),
         F.max(F.when(F.col("rank") == 1, F.col("matched"))).alias("matched_terms_top1"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexispark.cluster import checkpointed
 from lexispark.functions.text import page_doc
 from lexispark.operators import lexical
 from lexispark.plans.registry import query
@@ -32,7 +33,7 @@ routed AS (
 
 def _inputs(spark, folder):
     questions = search_questions(spark, folder)
-    return lexical.token_lists(units(spark, folder)), lexical.query_terms(questions), questions
+    return lexical.token_lists(units(spark, folder)), checkpointed(lexical.query_terms(questions)), questions
 
 
 def _routed(spark, folder, terms):
@@ -98,7 +99,7 @@ moved AS (
 
 def _moved(spark, folder):
     lists, terms, _ = _inputs(spark, folder)
-    ranked = lexical.rank_pages(lexical.bm25_scores(lists, terms), 200)
+    ranked = checkpointed(lexical.rank_pages(lexical.bm25_scores(lists, terms), 200))
     return lexical.route_window(ranked, _routed(spark, folder, terms))
 
 
@@ -132,7 +133,7 @@ FROM size LEFT JOIN top USING (query_id)""")
 def confidence_features(spark, folder):
     """Five confidence features of every query of the query set."""
     lists, terms, _ = _inputs(spark, folder)
-    out = lexical.confidence_features(lexical.bm25_scores(lists, terms), _routed(spark, folder, terms), terms)
+    out = lexical.confidence_features(checkpointed(lexical.rank_pages(lexical.bm25_scores(lists, terms), 2)), _routed(spark, folder, terms), terms)
     return out.select(
         "query_id", *[F.round(c, 6).alias(c) for c in ("served_top1", "bm25_margin")], "matched_terms_top1",
         F.round("matched_frac", 6).alias("matched_frac"), "routed",
