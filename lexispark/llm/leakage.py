@@ -34,7 +34,7 @@ RUN = 12
 LOOKUP_GRAMS = 2_000_000
 
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,500}>")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐][^\S\n]*\n\s*(?=[^\W\d_])")
+_BROKEN = re.compile("[-\u2010\u00ad][\u200b-\u200d\u2060\ufeff]*[^\\S\n]*\n\\s*(?=[^\\W\\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -42,7 +42,7 @@ def plain_words(text: str | None) -> list[str]:
     """The words that are compared."""
     if not text:
         return []
-    text = _BROKEN.sub("", _TAG.sub(" ", skeleton(text)))
+    text = skeleton(_BROKEN.sub("", _TAG.sub(" ", text) if "<" in text else text))
     return _WORD.findall(lower_tr(text).replace("ı", "i"))
 
 
