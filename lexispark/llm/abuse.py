@@ -33,7 +33,7 @@ from lexispark.llm.charforms import lower_tr, skeleton
 CLASSES = ("clean", "abusive", "hateful", "sexual")
 #: Bounds of the training sample: texts a side (labelled clean, labelled otherwise, not labelled) and segments in all.
 MAX_DOCS = 2500
-MAX_SEGMENTS = 64_000
+MAX_SEGMENTS = 60_000
 #: Weight of texts nobody labelled, which are taken as clean until the model finds otherwise.
 UNLABELLED = 0.5
 SEGMENTS_A_DOC = 40
@@ -42,13 +42,13 @@ WIDTH = 10
 WINDOW, STRIDE = 8, 4
 #: Features that stand in a larger share of the training texts than this tell nothing and are left out.
 COMMON = 0.4
-THRESHOLD = 0.7
+THRESHOLD = 0.5
 
 # Signs and digits that stand for letters, and letters whose marks are ignored here.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"})
 _FOLD = str.maketrans("çğıöşüâîûêôäëïñéèáàíóú", "cgiosuaiueoaeineeaaiou")
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,500}>")
-_BROKEN = re.compile(r"[-‐][^\S\n]*\n\s*(?=[^\W\d_])")
+_BROKEN = re.compile("[-\u2010\u00ad][^\\S\n]*\n\\s*(?=[^\\W\\d_])")
 _LEET_SIGN = re.compile(r"[0-9@$!|€]")
 _MIXED = re.compile(r"[0-9@$!|€]*[a-z][\w@$!|€]*[\w@$|€]")
 _APART = re.compile(r"(?<![a-z])[a-z](?:[.\-_*·/]{1,2}[a-z]){2,}(?![a-z])")
@@ -200,7 +200,7 @@ class _Model:
         sq_v, sq_w, sq_b = np.full(BUCKETS, 0.05, np.float32), np.full_like(self.weights, 1e-2), np.full_like(self.bias, 1e-2)
         live = np.flatnonzero((weight > 0) & (np.diff(offsets) > 0))
         # few segments are gone through more often, so that small samples get enough steps
-        epochs = math.ceil(epochs * min(max(30_000 / max(len(live), 1), 1), 4))
+        epochs = math.ceil(epochs * min(max(30_000 / max(len(live), 1), 1), 10))
         for _ in range(epochs):
             self.rng.shuffle(live)
             for at in range(0, len(live), batch):
@@ -270,9 +270,11 @@ def train(docs: list[tuple[list[str], np.ndarray, float]], rounds: int = 3, seed
     target, weight = label.copy(), trust
     for turn in range(rounds):
         share = float(weight[target[:, 0] < 0.5].sum() / max(weight.sum(), 1))
-        balance = np.where(target[:, 0] < 0.5, min(max(0.5 / max(share, 1e-6), 1), (8, 2, 1)[min(turn, 2)]), 1).astype(np.float32)
+        # a handful of segments would hardly move the model, so they weigh like a few hundred
+        lift = max((8, 2, 1)[min(turn, 2)], min(300 / max(weight[target[:, 0] < 0.5].sum(), 1), 10))
+        balance = np.where(target[:, 0] < 0.5, min(max(0.5 / max(share, 1e-6), 1), lift), 1).astype(np.float32)
         model = _Model(seed + turn)
-        model.fit(feats, offsets, target, weight * balance, epochs=(3, 4, 8)[min(turn, 2)])
+        model.fit(feats, offsets, target, weight * balance, epochs=(5, 3, 6)[min(turn, 2)])
         table, bias = model.table(), model.bias
         if turn == rounds - 1:
             return table, bias, known
@@ -323,14 +325,17 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
     )
     texts = docs.select("doc_id", F.col("text").alias("_text")).where("_text is not null and _text <> ''")
     rows = texts.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").mapInPandas(_label_rows, "doc_id long, segs string")
-    found = rows.join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    out, room = [], MAX_SEGMENTS
-    for row in found.itertuples(index=False):
-        own = row.segs.split("\n") if row.segs else []
-        own = own[: max(room, 0)]
-        room -= len(own)
-        out.append((own, np.array([getattr(row, c) for c in CLASSES], np.float64), float(row.trust)))
-    return [x for x in out if x[0]]
+    # another order than the one texts were picked in, else the room would end before the rarer label
+    found = rows.join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit("cut")), "doc_id").toPandas()
+    found["dirty"] = found["clean"] < 0.5
+    out, room = [], {True: MAX_SEGMENTS // 4, False: MAX_SEGMENTS}
+    for row in found.sort_values("dirty", ascending=False, kind="stable").itertuples(index=False):
+        own = (row.segs.split("\n") if row.segs else [])[: room[row.dirty]]
+        for side in (True, False):
+            room[side] = max(room[side] - len(own), 0)
+        if own:
+            out.append((own, np.array([getattr(row, c) for c in CLASSES], np.float64), float(row.trust)))
+    return out
 
 
 class _Scorer:
