@@ -280,7 +280,8 @@ def train(docs: list[tuple[list[str], np.ndarray, float]], rounds: int = 3, seed
             return table, bias, known
         bad = 1 - _softmax_means(feats, seg, len(segs), table, bias)[:, 0]
         # what the segments of clean texts rarely reach
-        usual = float(np.quantile(bad[~dirty], 0.998)) if (~dirty).any() else 0.5
+        n_clean = int((~dirty).sum())
+        usual = float(np.quantile(bad[~dirty], max(0.5, 1 - max(0.002, 40 / n_clean)))) if n_clean else 0.5
         line = min(max(usual, (0.5, 0.8)[min(turn, 1)]), 0.95)
         found = bad > line
         worst = np.zeros(len(docs))

@@ -41,10 +41,6 @@ LOOKALIKES = {
 
 #: Decompositions that only change how a character is stored, not how it reads.
 _SAME_SHAPE = {"<wide>", "<narrow>", "<font>", "<noBreak>"}
-#: Nothing in these needs replacing or decomposing, so a text made of them is its own form.
-_PLAIN = re.compile("[^\n\t\r -~¡-¬®-ÿĀ-ıĴ-žƀ-ƿ‐-‧«»“”‘’…–—]")
-
-
 def _is_invisible(ch: str) -> bool:
     cp = ord(ch)
     return unicodedata.category(ch) == "Cf" or cp == 0x034F or 0xFE00 <= cp <= 0xFE0F or 0x180B <= cp <= 0x180E
@@ -75,12 +71,20 @@ def prototypes() -> dict[int, str]:
     return table
 
 
+@lru_cache(maxsize=1)
+def _special() -> re.Pattern[str]:
+    """Matches the first character that may need replacing; a text without any is its own form."""
+    table = prototypes()
+    plain = [c for c in map(chr, range(0x180)) if ord(c) not in table and unicodedata.normalize("NFC", c) == c]
+    return re.compile(f"[^{re.escape(''.join(plain))}–—‘’“”…]")
+
+
 _DOTTED = re.compile("[iıj]̇")
 
 
 def skeleton(text: str | None) -> str | None:
     """The confusables skeleton of a text, composed again so that it reads as ordinary text."""
-    if text is None or not _PLAIN.search(text):
+    if text is None or not _special().search(text):
         return text
     out = unicodedata.normalize("NFD", text).translate(prototypes())
     out = unicodedata.normalize("NFD", out)
