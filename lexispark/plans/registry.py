@@ -29,6 +29,7 @@ from lexispark.plans import (  # noqa: E402, F401
     lexical_queries,
     list_queries,
     quality_queries,
+    review_queries,
     source_queries,
     star_queries,
     structure_queries,
