@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A side is broadcast only after counting that it has at most this many rows.
 BROADCAST_ROWS = 200_000
@@ -49,3 +50,29 @@ def salted_lookup(
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def running_sums(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str], partitions: int | None = None
+) -> DataFrame:
+    """Add ``<value>_upto``: the sum of each of ``values`` from the first row of a ``by`` group up to this one.
+
+    A plain window would bring a whole group, or without ``by`` the whole table, into one task.  Here rows are range
+    partitioned by ``by`` and ``order``, summed within partitions, and the sums of earlier partitions of the group are
+    added.  ``order`` must be unique within a group; ``by`` may hold nulls.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = list(by)
+    keys = [F.col(c) for c in by]
+    # written, because partition numbers must not change between the two uses
+    rows = checkpointed(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    base = parts.select(*by, "_part", *[F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_base_{v}") for v in values])
+    base = broadcast_if_small(checkpointed(base.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_base_part"), *[f"_base_{v}" for v in values])))
+    same = F.col("_part") == F.col("_base_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = rows.select("*", *[F.sum(v).over(local).alias(f"_local_{v}") for v in values]).join(base, same)
+    return out.select(*df.columns, *[(F.col(f"_local_{v}") + F.col(f"_base_{v}")).alias(f"{v}_upto") for v in values])

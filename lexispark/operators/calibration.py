@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window
+
+from lexispark.cluster import running_sums
 
 # Bins, budgets, confidence, quantile of the normal distribution at 0.95.
 BINS = 10
@@ -57,9 +58,8 @@ def _by_value(rows: DataFrame) -> DataFrame:
 
 def auroc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve with ties counted half; null unless both classes occur."""
-    values = _by_value(rows)
-    below = F.sum(F.col("n") - F.col("pos")).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    wins = values.withColumn("below", F.coalesce(below, F.lit(0))).withColumn("neg", F.col("n") - F.col("pos"))
+    values = _by_value(rows).withColumn("neg", F.col("n") - F.col("pos"))
+    wins = running_sums(values, [], [F.col("p")], ["neg"]).withColumn("below", F.col("neg_upto") - F.col("neg"))
     area = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return wins.agg(
         F.sum("pos").alias("positives"),
@@ -72,31 +72,29 @@ def risk_coverage(rows: DataFrame) -> DataFrame:
     """``tau``, ``coverage``, ``risk``, ``answered``, ``errors`` for every distinct probability.
 
     The sentinel above the largest probability, where nothing is answered, has ``tau`` null, coverage 0 and risk 0.
+    ``step`` and ``risk_before`` are the coverage gained over the next higher point and the risk there.
     """
-    upward = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    values = _by_value(rows)
+    values = _by_value(rows).withColumn("wrong", F.col("n") - F.col("pos"))
+    sums = running_sums(values, [], [F.desc("p")], ["n", "wrong"])
     total = values.agg(F.sum("n").alias("total"))
-    points = values.select(
-        F.col("p").alias("tau"), F.sum("n").over(upward).alias("answered"), F.sum(F.col("n") - F.col("pos")).over(upward).alias("errors")
-    )
-    spark = rows.sparkSession
-    end = spark.createDataFrame([(None, 0, 0)], "tau double, answered long, errors long")
+    points = sums.select(F.col("p").alias("tau"), F.col("n_upto").alias("answered"), F.col("wrong_upto").alias("errors"), "n", "wrong")
+    end = rows.sparkSession.createDataFrame([(None, 0, 0, 0, 0)], "tau double, answered long, errors long, n long, wrong long")
+    risk = lambda e, a: F.when(a == 0, F.lit(0.0)).otherwise(e / a)
+    answered, errors = F.col("answered"), F.col("errors")
     return points.unionByName(end).join(F.broadcast(total), how="left").where("total > 0").select(  # total is one row
         "tau",
-        (F.col("answered") / F.col("total")).alias("coverage"),
-        F.when(F.col("answered") == 0, F.lit(0.0)).otherwise(F.col("errors") / F.col("answered")).alias("risk"),
+        (answered / F.col("total")).alias("coverage"),
+        risk(errors, answered).alias("risk"),
         "answered",
         "errors",
+        (F.col("n") / F.col("total")).alias("step"),
+        risk(errors - F.col("wrong"), answered - F.col("n")).alias("risk_before"),
     )
 
 
 def aurc(curve: DataFrame) -> DataFrame:
-    """Area under the risk-coverage curve by trapezoids."""
-    order = Window.orderBy("coverage")
-    steps = curve.select(
-        (F.col("coverage") - F.lag("coverage").over(order)).alias("w"), ((F.col("risk") + F.lag("risk").over(order)) / 2).alias("h")
-    )
-    return steps.agg(F.sum(F.col("w") * F.col("h")).alias("aurc"))
+    """Area under the risk-coverage curve by trapezoids; every point knows its step and the risk before it."""
+    return curve.agg(F.sum(F.col("step") * (F.col("risk") + F.col("risk_before")) / 2).alias("aurc"))
 
 
 def selective_accuracy(rows: DataFrame, tau: float) -> DataFrame:
@@ -119,10 +117,9 @@ def conformal_threshold(rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
     Found from counts by value; ``available`` is false when too few errors were seen.
     """
     values = usable(rows).where("label = 0").groupBy("p").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("p"))
     total = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("errors"))
     need = F.ceil((F.col("errors") + 1) * F.lit(1 - alpha) - 1e-9)
-    found = values.withColumn("upto", upto)
+    found = running_sums(values, [], [F.col("p")], ["n"]).withColumnRenamed("n_upto", "upto")
     return total.join(found, how="left").groupBy("errors").agg(  # total is one row
         F.min(F.when(F.col("upto") >= need, F.col("p"))).alias("threshold")
     ).withColumn("available", F.col("threshold").isNotNull() & (F.col("errors") >= math.ceil(1 / alpha) - 1))
@@ -204,8 +201,8 @@ def average_ranks_auc(rows: DataFrame) -> DataFrame:
     """AUROC of every single feature, by average ranks."""
     long = rows.where("features is not null").select("label", F.explode("features").alias("feature", "x")).where("x is not null and not isnan(x)")
     values = long.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("rank", before + (F.col("n") + 1) / 2)
+    sums = running_sums(values, ["feature"], [F.col("x")], ["n"])
+    ranked = sums.withColumn("rank", F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return ranked.groupBy("feature").agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / F.nullif(p * n, F.lit(0))).alias("auc"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexispark.cluster import broadcast_if_small, running_sums
 from lexispark.operators.answering import abstain_reason
 
 # Histogram bounds (seconds, seconds, score) and the window of recent rows.
@@ -58,8 +59,9 @@ def latency_percentiles(events: DataFrame, points: Sequence[float] = (0.5, 0.95,
     ms = duration(F.col("total_ms"))
     values = events.where(F.col("status") != "rejected").select("endpoint", ms.alias("v")).where("v is not null")
     counts = values.groupBy("endpoint", "v").agg(F.count("*").alias("k"))
-    whole = Window.partitionBy("endpoint")
-    ranked = counts.withColumn("upto", F.sum("k").over(whole.orderBy("v"))).withColumn("n", F.sum("k").over(whole))
+    size = counts.groupBy(F.col("endpoint").alias("_e")).agg(F.sum("k").alias("n"))  # a row an endpoint
+    sums = running_sums(counts, ["endpoint"], [F.col("v")], ["k"]).withColumnRenamed("k_upto", "upto")
+    ranked = sums.join(broadcast_if_small(size), F.col("endpoint").eqNullSafe(F.col("_e")))
     return ranked.groupBy("endpoint").agg(
         F.first("n").alias("n"),
         *[F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("n") * q - 1e-9), F.lit(1)), F.col("v"))).alias(f"p{round(q * 100)}") for q in points],
@@ -131,5 +133,7 @@ def in_flight(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             F.struct((begin + F.round(ms * 1000).cast("long")).alias("t"), F.lit(-1).alias("d")),
         )).alias("e")
     )
-    running = F.sum("e.d").over(Window.partitionBy(*by, "day").orderBy("e.t", "e.d").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("n", running).groupBy(*by, "day").agg(F.max("n").alias("most"))
+    # begins and ends of a day cancel out, so the sum over all days in order starts every day at zero
+    changes = rows.groupBy(*by, "day", F.col("e.t").alias("t"), F.col("e.d").alias("sign")).agg(F.sum("e.d").alias("d"))
+    sums = running_sums(changes, by, [F.col("day"), F.col("t"), F.col("sign")], ["d"])
+    return sums.groupBy(*by, "day").agg(F.max("d_upto").alias("most"))

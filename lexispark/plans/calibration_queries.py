@@ -59,7 +59,7 @@ def auroc_score(spark, folder):
 @query(f"{_CURVE} SELECT round(tau, 6) AS tau, round(coverage, 6) AS coverage, round(risk, 6) AS risk, CAST(answered AS BIGINT) AS answered, CAST(errors AS BIGINT) AS errors FROM curve")
 def risk_coverage(spark, folder):
     """Risk-coverage curve with its sentinel."""
-    return _rounded(cal.risk_coverage(rows(spark, folder)), "answered", "errors")
+    return _rounded(cal.risk_coverage(rows(spark, folder)).drop("step", "risk_before"), "answered", "errors")
 
 
 @query(f"""{_CURVE}, s AS (SELECT coverage - lag(coverage) OVER w AS dx, (risk + lag(risk) OVER w) / 2 AS h FROM curve WINDOW w AS (ORDER BY coverage))

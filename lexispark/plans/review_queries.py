@@ -200,7 +200,7 @@ SELECT chunk_id, line_no, concat_ws(' / ', CASE WHEN ok1 AND ok2 AND ok3 THEN s3
 def article_headings(spark, folder):
     """Heading above every article line."""
     texts = table(spark, folder, "chunks").where("chunk_id is not null").select("chunk_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    return review.headings(structure.lines_of(texts, ["chunk_id"]).drop("start"), _ART, _NUM)
+    return review.headings(structure.lines_of(texts, ["chunk_id"], offsets=False), _ART, _NUM)
 
 
 @query("""WITH c AS (SELECT group_key AS answer_id, row_number() OVER (PARTITION BY group_key ORDER BY question_id, extracted_at) AS claim_no, 1 + label AS attempts FROM calibration_rows WHERE group_key IS NOT NULL),

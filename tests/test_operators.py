@@ -303,3 +303,23 @@ def test_connectors(spark, tmp_path):
     files = spark.createDataFrame([("f", bytearray(b"one\ftwo")), ("bad", None)], "path string, content binary")
     pages = connectors.extract_text_layer(files, lambda b: b.decode().split("\f"))
     assert sorted(map(tuple, pages.collect())) == [("f", 1, "one"), ("f", 2, "two")]
+
+
+def test_running_sums_equal_a_slow_restatement(spark):
+    from lexispark.cluster import running_sums
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), v, rng.randrange(9), "x") for v in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "g string, v int, k int, other string")
+    for by, order, sign in ((["g"], F.col("v"), 1), ([], F.desc("v"), -1)):
+        got = {r["v"]: r["k_upto"] for r in running_sums(df, by, [order], ["k"], partitions=5).collect()}
+        want = {v: sum(k2 for g2, v2, k2, _ in rows if (not by or g2 == g) and sign * v2 <= sign * v) for g, v, _, _ in rows}
+        assert got == want
+    assert running_sums(df.limit(0), ["g"], [F.col("v")], ["k"]).count() == 0
+
+
+def test_footnotes_in_a_very_long_text(spark):
+    note = "12 2/5/2001 tarihli Kanun\nile değiştirilmiştir"
+    text = "\n".join(f"satır {i}\n{note}" for i in range(20_000))
+    assert _one(spark, structure.strip_footnotes(F.col("t")), t=("string", text)) == "\n".join(f"satır {i}" for i in range(20_000))
+    assert _one(spark, structure.strip_footnotes(F.col("t")), t=("string", note)) == ""
