@@ -169,16 +169,17 @@ def find_leaks(
     grams = checkpointed(item_grams(items, item_id, item_text))
     hits = checkpointed(corpus_hits(docs, doc_id, doc_text, grams))
     seeds = rare_seeds(grams, hits, run)
-    candidates = salted_lookup(hits, seeds, ["gram"], ["doc_id"]).select("doc_id", "item_id").distinct()
+    candidates = checkpointed(salted_lookup(hits, seeds, ["gram"], ["doc_id"]).select("doc_id", "item_id").distinct())
     texts = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_item")).dropna().distinct()
-    work = checkpointed(
-        candidates.join(broadcast_if_small(texts, 20_000), "item_id")
-        .groupBy("doc_id")
-        .agg(F.collect_list("item_id").alias("ids"), F.collect_list("_item").alias("texts"))
+    work = candidates.join(texts, "item_id").groupBy("doc_id").agg(
+        F.collect_list("item_id").alias("ids"), F.collect_list("_item").alias("texts")
     )
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("_text")).where("_text is not null")
+    # numbers alone are broadcast, so that only candidates leave the scan of the corpus; their texts then meet the items
+    wanted = broadcast_if_small(candidates.select("doc_id").distinct(), 1_000_000)
     return (
-        rows.join(broadcast_if_small(work, 50_000), "doc_id")
+        rows.join(wanted, "doc_id", "left_semi")
+        .join(work, "doc_id")
         .select("doc_id", "_text", "ids", "texts")
         .mapInPandas(_align_rows, LEAK_SCHEMA)
         .groupBy("doc_id", "item_id", "item_words")

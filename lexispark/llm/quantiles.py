@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexispark.cluster import broadcast_if_small, checkpointed
+from lexispark.cluster import broadcast_if_small, checkpointed, running_sums
 
 DEPTH = 20
 _MANTISSA = 14
@@ -156,10 +156,9 @@ def exact_medians(values: DataFrame, by: Sequence[str], value: str, error: float
         .groupBy(*by, F.when(F.col("_leaf") >= F.col("lo"), F.col("_v")).alias("_v"))
         .agg(F.count("*").alias("k"), F.first("total").alias("total"))
     )
-    upto = F.sum("k").over(Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()))
+    sums = running_sums(near, by, [F.col("_v").asc_nulls_first()], ["k"]).withColumnRenamed("k_upto", "upto")
     return (
-        near.withColumn("upto", upto)
-        .groupBy(*by)
+        sums.groupBy(*by)
         .agg(
             F.min(F.when(F.col("_v").isNotNull() & (F.col("upto") >= first), F.col("_v"))).alias("m1"),
             F.min(F.when(F.col("_v").isNotNull() & (F.col("upto") >= second), F.col("_v"))).alias("m2"),
