@@ -90,7 +90,7 @@ def rank_pages(scores: DataFrame, limit: int | None = None, rank: str = "rank")
 
 def bm25_top(lists: DataFrame, terms: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best pages of every query; pages without a match score 0 and follow by page id."""
-    best = rank_pages(bm25_scores(lists, terms), limit).drop("rank")
+    best = checkpointed(rank_pages(bm25_scores(lists, terms), limit).drop("rank"))
     # a query with fewer matches is filled up from the first pages; twice the limit always suffices
     first = lists.select("page_id").orderBy("page_id").limit(2 * limit)
     fill = (

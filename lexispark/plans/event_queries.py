@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from lexispark.cluster import shared_folder
 from lexispark.operators import events as ev
 from lexispark.plans.registry import query
 from lexispark.sources.tables import table
@@ -199,8 +198,7 @@ def _scratch(spark, name: str) -> str:
     """A folder of this run that all executors share."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexispark-stream-")
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"""WITH {_E} SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS window_start, endpoint, count(*) AS requests, count(CASE WHEN abstained THEN 1 END) AS abstained FROM e GROUP BY ALL""")
