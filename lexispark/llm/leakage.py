@@ -2,8 +2,10 @@
 
 Word n-grams of the test items are looked up in the corpus.  For every run of words that must count as a leak the rarest
 of its n-grams, by the number of corpus documents that hold it, is the seed: phrases that half the corpus shares are
-never seeds, and no run is without one.  Documents that hold a seed are candidates for the seed's items; each candidate
-is scored by Smith-Waterman alignment of the words, which also finds edited and partial copies.
+never seeds, and no run is without one.  Documents that hold a seed are candidates for the seed's items; so are those
+whose n-grams in common with an item, at whatever places, cover as many of its words as such a run has, since a copy
+edited every few words has no intact run.  Each candidate is scored by Smith-Waterman alignment of the words.  Not
+aligned are copies without a seed of which fewer words than a run stand in stretches of at least ``GRAM`` words.
 
 Words are runs of letters and digits after tags are dropped, words broken by a hyphen at a line's end are joined,
 look-alike characters are made one and case is ignored (dotted and dotless i are one, so that Turkish and English
@@ -125,6 +127,27 @@ def rare_seeds(grams: DataFrame, hits: DataFrame, run: int = RUN) -> DataFrame:
     )
 
 
+def covered_pairs(grams: DataFrame, hits: DataFrame, run: int = RUN) -> DataFrame:
+    """``doc_id``, ``item_id``: the n-grams that both hold cover at least ``run`` words of the item.
+
+    Items shorter than a run must be covered whole.  However common an n-gram is, it counts; documents that hold
+    only one are left to the seeds.
+    """
+    sizes = grams.groupBy("item_id").agg((F.max("at") + GRAM).alias("words"))
+    # most documents hold one shared phrase and nothing else; those cannot cover more than one n-gram
+    enough = hits.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1) if run > GRAM else hits
+    rows = hits.join(enough.select("doc_id").distinct(), "doc_id", "left_semi")
+    words = F.array_distinct(F.flatten(F.transform("places", lambda at: F.sequence(at, at + (GRAM - 1)))))
+    return (
+        salted_lookup(rows, grams, ["gram"], ["doc_id"])
+        .groupBy("doc_id", "item_id")
+        .agg(F.collect_set("at").alias("places"))
+        .join(broadcast_if_small(sizes), "item_id")
+        .where(F.size(words) >= F.least(F.lit(run), F.col("words")))
+        .select("doc_id", "item_id")
+    )
+
+
 def align(item: np.ndarray, doc: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
     """Smith-Waterman score of two word sequences and the longest run of equal consecutive words."""
     best, longest = 0, 0
@@ -164,12 +187,14 @@ def find_leaks(
 ) -> DataFrame:
     """Aligned candidates: ``doc_id``, ``item_id``, ``score``, ``item_words``, ``longest_run``.
 
-    Holds every pair that shares ``run`` consecutive words, and pairs that share a seed but differ around it.
+    Holds every pair that shares ``run`` consecutive words, pairs that share a seed but differ around it, and pairs that
+    share ``run`` words of the item in stretches of at least ``GRAM`` words, as copies edited every ten words do.
     """
     grams = checkpointed(item_grams(items, item_id, item_text))
     hits = checkpointed(corpus_hits(docs, doc_id, doc_text, grams))
     seeds = rare_seeds(grams, hits, run)
-    candidates = checkpointed(salted_lookup(hits, seeds, ["gram"], ["doc_id"]).select("doc_id", "item_id").distinct())
+    seeded = salted_lookup(hits, seeds, ["gram"], ["doc_id"]).select("doc_id", "item_id")
+    candidates = checkpointed(seeded.union(covered_pairs(grams, hits, run)).distinct())
     texts = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("_item")).dropna().distinct()
     work = candidates.join(texts, "item_id").groupBy("doc_id").agg(
         F.collect_list("item_id").alias("ids"), F.collect_list("_item").alias("texts")

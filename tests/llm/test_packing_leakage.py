@@ -98,6 +98,25 @@ def test_leaks_through_disguises_and_edges(spark):
     assert _leaks(spark, docs, []) == set() and _leaks(spark, [], [(1, item)]) == set()
 
 
+def test_copies_edited_every_ten_words_are_aligned(spark, monkeypatch):
+    rng = random.Random(16)
+    phrase = "işbu hüküm ilan gününden itibaren uygulanır".split()
+    words = [f"kelime{i}" for i in range(25)] + phrase + [f"kelime{i}" for i in range(25, 40)]
+    edited = [f"başka{i}" if i % 10 == 9 else w for i, w in enumerate(words)]
+    docs = [(1, edited), (2, _words(rng, 30) + edited + _words(rng, 30)), (3, words), (4, _words(rng, 20) + phrase), (5, _words(rng, 40))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(_words(rng, 20) + phrase))], "item_id long, text string")
+
+    def pairs(rows):
+        out = leakage.find_leaks(rows, "doc_id", "text", items, "item_id", "text").where("item_id = 1").collect()
+        return {r["doc_id"]: r["longest_run"] for r in out}
+
+    assert pairs(docs.where("doc_id <> 3")) == {1: 9, 2: 9}  # no verbatim copy elsewhere
+    assert pairs(docs) == {1: 9, 2: 9, 3: 46}  # the phrase of document 4 alone is not a copy
+    monkeypatch.setattr(leakage, "LOOKUP_GRAMS", 0)
+    assert pairs(docs) == {1: 9, 2: 9, 3: 46}
+
+
 def test_alignment_scores_edited_copies():
     item, doc = np.arange(10), np.array([50, 0, 1, 2, 99, 4, 5, 6, 8, 9, 51])
     score, run = leakage.align(item, doc)
