@@ -134,6 +134,22 @@ def maxsim(tokens: DataFrame, queries: DataFrame, similarity) -> DataFrame:
     )
 
 
+def two_stage(tokens: DataFrame, queries: DataFrame, limit: int, first: int = STAGE1) -> DataFrame:
+    """``query_id``, ``page_id``, ``score``, ``rank``: the ``first`` nearest pages of each query by Hamming distance to
+    the signs of their mean vectors, of those the ``limit`` best by exact MaxSim.
+
+    Queries hold one vector each.  A page beyond the first stage is lost however close its best token is.
+    """
+    from lexispark.operators.lexical import rank_pages
+
+    means = mean_sign_vectors(tokens).select("page_id", F.col("bits").alias("vec"))
+    near = maxsim(means, queries.withColumn("vec", sign_bits(F.col("vec"))), lambda a, b: -hamming(a, b))
+    stage1 = rank_pages(near.withColumn("score", F.col("total")), first).select("query_id", "page_id")
+    pairs = stage1.join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(tokens, "page_id")
+    exact = pairs.groupBy("query_id", "page_id").agg(F.max(dot(F.col("q"), F.col("vec"))).alias("score"))
+    return rank_pages(exact, limit)
+
+
 def late_ranking(scores: DataFrame, score: str = "total") -> DataFrame:
     """Late channels rank equal scores by page in descending order."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 9)), F.desc("page_id")))

@@ -323,3 +323,36 @@ def test_footnotes_in_a_very_long_text(spark):
     text = "\n".join(f"satır {i}\n{note}" for i in range(20_000))
     assert _one(spark, structure.strip_footnotes(F.col("t")), t=("string", text)) == "\n".join(f"satır {i}" for i in range(20_000))
     assert _one(spark, structure.strip_footnotes(F.col("t")), t=("string", note)) == ""
+
+
+def _top3(rows):
+    return {(r["query_id"], r["page_id"]) for r in rows.where("rank <= 3").collect()}
+
+
+def test_two_stages_recall_the_exact_top(spark):
+    rng = random.Random(21)
+    width = 16
+    pages = {}
+    for p in range(250):  # more pages than the first stage keeps; tokens vary within a page
+        centre = [rng.gauss(0, 1) for _ in range(width)]
+        pages[p] = [[c + rng.gauss(0, 1) for c in centre] for _ in range(4)]
+    tokens = spark.createDataFrame([(p, i, v) for p, vs in pages.items() for i, v in enumerate(vs)], "page_id long, token_pos int, vec array<double>")
+    asked = [(q, 0, [x + rng.gauss(0, 0.3) for x in pages[q * 12][0]]) for q in range(20)]
+    queries = spark.createDataFrame(asked, "query_id long, token_pos int, vec array<double>")
+    exact = set()
+    for q, _, v in asked:
+        scores = {p: max(sum(a * b for a, b in zip(v, t, strict=True)) for t in ts) for p, ts in pages.items()}
+        exact |= {(q, p) for p in sorted(scores, key=lambda p: (-scores[p], p))[:3]}
+    assert vectors.STAGE1 == 200
+    assert len(_top3(vectors.two_stage(tokens, queries, 3)) & exact) / len(exact) >= 0.95
+    assert len(_top3(vectors.two_stage(tokens, queries, 3, first=5)) & exact) / len(exact) < 0.7
+
+
+def test_two_stage_query_cuts_no_page_before_exact_scoring(spark, folder):
+    from lexispark.plans import vector_queries
+
+    # ten pages, fewer than the first stage keeps
+    asked = vector_queries._vectors(spark, folder).where("vec_id % 20 = 0")
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("token_pos"), F.col("embedding").alias("vec"))
+    scores = vectors.maxsim(vector_queries._tokens(spark, folder), queries, vectors.dot).withColumn("score", F.col("total"))
+    assert _top3(vector_queries.two_stage_search_200(spark, folder)) == _top3(lexical.rank_pages(scores))
