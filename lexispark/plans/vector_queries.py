@@ -171,8 +171,7 @@ def two_stage_search_200(spark, folder):
 
 @query()
 def hash_encode_questions(spark, folder):
-    """Deterministic token vectors of the query set, the stand-in for a model."""
-    from lexispark.plans.views import search_questions
-
-    out = vectors.hash_encoder(search_questions(spark, folder), "query_id", "text")
+    """Deterministic token vectors of every distinct question, the stand-in for a model."""
+    questions = table(spark, folder, "bench_questions").select(F.col("question_id").alias("query_id"), F.col("question").alias("text")).distinct()
+    out = vectors.hash_encoder(questions, "query_id", "text")
     return out.select("query_id", "token_pos", F.round(vectors.norm(F.col("vec")), 5).alias("norm"))

@@ -356,3 +356,12 @@ def test_two_stage_query_cuts_no_page_before_exact_scoring(spark, folder):
     queries = asked.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("token_pos"), F.col("embedding").alias("vec"))
     scores = vectors.maxsim(vector_queries._tokens(spark, folder), queries, vectors.dot).withColumn("score", F.col("total"))
     assert _top3(vector_queries.two_stage_search_200(spark, folder)) == _top3(lexical.rank_pages(scores))
+
+
+def test_every_question_is_encoded(spark, folder):
+    from lexispark.plans import vector_queries
+
+    rows = spark.read.parquet(f"{folder}/bench_questions.parquet").select("question_id", "question").distinct()
+    got = vector_queries.hash_encode_questions(spark, folder)
+    assert got.count() == 4 * rows.count()
+    assert {r[0] for r in got.select("query_id").distinct().collect()} == {r["question_id"] for r in rows.collect()}
