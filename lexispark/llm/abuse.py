@@ -34,6 +34,9 @@ CLASSES = ("clean", "abusive", "hateful", "sexual")
 #: Bounds of the training sample: texts a side (labelled clean, labelled otherwise, not labelled) and segments in all.
 MAX_DOCS = 2500
 MAX_SEGMENTS = 60_000
+#: A feature is known, for training and scoring, if it stands in at least so many training texts: the second number
+#: holds for samples of more than ``LARGE_SAMPLE`` texts, where two texts share a rare stem by chance more often.
+MIN_TEXTS, LARGE_SAMPLE = (2, 5), 2000
 #: Weight of texts nobody labelled, which are taken as clean until the model finds otherwise.
 UNLABELLED = 0.5
 SEGMENTS_A_DOC = 40
@@ -258,7 +261,7 @@ def train(docs: list[tuple[list[str], np.ndarray, float]], rounds: int = 3, seed
         parts.append((feats, seg + low))
         pairs = np.unique(feats.astype(np.int64) * len(docs) + owner[seg + low])
         texts_with += np.bincount(pairs // len(docs), minlength=BUCKETS)
-    known = (texts_with >= (5 if len(docs) > 2000 else 2)) & (texts_with <= max(COMMON * len(docs), 20))
+    known = (texts_with >= MIN_TEXTS[len(docs) > LARGE_SAMPLE]) & (texts_with <= max(COMMON * len(docs), 20))
     parts = [(feats[k], seg[k].astype(np.int32)) for feats, seg in parts for k in [known[feats]]]
     feats, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts

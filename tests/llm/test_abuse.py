@@ -67,3 +67,12 @@ def test_scoring_by_words_equals_scoring_by_segments():
         keep = known[feats]
         slow = 1 - abuse._softmax_means(feats[keep], seg[keep], len(segs), table, bias)[:, 0].min()
         assert got == pytest.approx(slow, abs=1e-9)
+
+
+def test_features_need_more_texts_in_a_large_sample(monkeypatch):
+    docs, _ = _corpus(60, 18)
+    data = [(abuse.segments(t), np.array([0.0, 1, 0, 0] if d else [1.0, 0, 0, 0]), 1.0) for _, t, _, d in docs]
+    small = abuse.train(data, rounds=1)[2]
+    monkeypatch.setattr(abuse, "LARGE_SAMPLE", 10)
+    large = abuse.train(data, rounds=1)[2]
+    assert abuse.MIN_TEXTS == (2, 5) and 0 < large.sum() < small.sum() and not (large & ~small).any()
