@@ -9,10 +9,11 @@ worst segment.
 Labels are given to whole texts and some are wrong, so training goes in rounds: at first all segments of a text carry
 its label, then only those that the model itself finds, and texts whose label the model contradicts drop out.
 
-The classifier is fitted on a bounded sample of labelled texts (``MAX_DOCS``, ``MAX_SEGMENTS``, taken by hash of the
-id); every text of the corpus is scored whole.
+The classifier is fitted on a bounded sample of labelled texts (``MAX_DOCS``, ``MAX_SEGMENTS``, ``SEGMENTS_A_DOC``,
+``DIRTY_SEGMENTS``, taken by hash of the id); every text of the corpus is scored whole.
 
-Defined results: null and empty texts score 0; texts labelled twice with different labels count as their share of each;
+Defined results: null and empty texts score 0; texts labelled twice with different labels start as their share of each
+and are on the side not labelled clean, unless most votes are clean;
 null labels are ignored; without any positive label every text scores 0.
 """
 
@@ -39,7 +40,10 @@ MAX_SEGMENTS = 60_000
 MIN_TEXTS, LARGE_SAMPLE = (2, 5), 2000
 #: Weight of texts nobody labelled, which are taken as clean until the model finds otherwise.
 UNLABELLED = 0.5
+#: Segments that one training text gives, evenly over it, so a long text may enter without the one its label is for.
 SEGMENTS_A_DOC = 40
+#: Segments of all texts that are not labelled clean by most votes: with 40 a text some 375 of ``MAX_DOCS`` texts fill it.
+DIRTY_SEGMENTS = MAX_SEGMENTS // 4
 BUCKETS = 1 << 18
 WIDTH = 10
 WINDOW, STRIDE = 8, 4
@@ -267,7 +271,7 @@ def train(docs: list[tuple[list[str], np.ndarray, float]], rounds: int = 3, seed
     del parts
     offsets = np.searchsorted(seg, np.arange(len(segs) + 1))
     label = np.array([y for _, y, _ in docs], np.float32)[owner]
-    dirty_doc = np.array([y[0] < 0.5 for _, y, _ in docs])
+    dirty_doc = np.array([y[0] <= 0.5 for _, y, _ in docs])
     dirty = dirty_doc[owner]
     trust = np.array([w for *_, w in docs], np.float32)[owner]
     target, weight = label.copy(), trust
@@ -323,7 +327,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
     guess = [F.lit(float(c == "clean")).alias(c) for c in CLASSES]
     picked = checkpointed(
         votes.where("clean > 0.5").orderBy(*order).limit(max_docs)
-        .union(votes.where("clean < 0.5").orderBy(*order).limit(max_docs))
+        .union(votes.where("clean <= 0.5").orderBy(*order).limit(max_docs))
         .union(others.orderBy(*order).limit(max_docs).select("doc_id", *guess, F.lit(UNLABELLED).alias("trust")))
         .dropDuplicates(["doc_id"])
     )
@@ -331,8 +335,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
     rows = texts.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").mapInPandas(_label_rows, "doc_id long, segs string")
     # another order than the one texts were picked in, else the room would end before the rarer label
     found = rows.join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit("cut")), "doc_id").toPandas()
-    found["dirty"] = found["clean"] < 0.5
-    out, room = [], {True: MAX_SEGMENTS // 4, False: MAX_SEGMENTS}
+    found["dirty"] = found["clean"] <= 0.5
+    out, room = [], {True: DIRTY_SEGMENTS, False: MAX_SEGMENTS}
     for row in found.sort_values("dirty", ascending=False, kind="stable").itertuples(index=False):
         own = (row.segs.split("\n") if row.segs else [])[: room[row.dirty]]
         for side in (True, False):

@@ -76,3 +76,10 @@ def test_features_need_more_texts_in_a_large_sample(monkeypatch):
     monkeypatch.setattr(abuse, "LARGE_SAMPLE", 10)
     large = abuse.train(data, rounds=1)[2]
     assert abuse.MIN_TEXTS == (2, 5) and 0 < large.sum() < small.sum() and not (large & ~small).any()
+
+
+def test_texts_with_tied_labels_are_trained_on(spark):
+    docs = spark.createDataFrame([(1, "kapa ceneni aptal"), (2, "temiz bir metin"), (3, "baska bir metin")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "abusive", "x"), (1, "clean", "y"), (2, "clean", "x")], "doc_id long, label string, labeller string")
+    got = {tuple(own): (list(y), w) for own, y, w in abuse.training_texts(docs, labels)}
+    assert len(got) == 3 and got[tuple(abuse.segments("kapa ceneni aptal"))] == ([0.5, 0.5, 0, 0], 1.0)
