@@ -3,7 +3,7 @@
 Lexical-cohesion segmentation: the similarity of the blocks of words before and after every possible cut is measured
 along the text; valleys of that curve mark topic boundaries.  A piece is cut at the deepest valley within its size
 window, among the strongest kind of boundary that the window holds: the beginning of an article, else of a paragraph,
-else of a sentence.  Where a window holds none of them the cut falls on white space, and only where there is not even
+else of a sentence; of one kind those in the window's upper half go before those in the lower.  Where a window holds none of them the cut falls on white space, and only where there is not even
 that between two characters.  Consecutive pieces overlap by a fixed number of characters.
 
 Defined results: a null text gives one piece with null text, an empty or small one gives itself; repeated rows give
@@ -93,19 +93,16 @@ def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[lis
     depth = valley_depths(text, cuts)
     pieces, begin, kind, lo_i = [], 0, 9, 0
     while len(text) - begin > limit:
-        # the window's lower half would make small pieces; it is used only if the upper half has no boundary
-        for low in (begin + max(overlap + 1, limit // 2), begin + overlap + 1):
-            while lo_i < len(cuts) and cuts[lo_i] < begin + overlap + 1:
-                lo_i += 1
-            window, i = [], lo_i
-            while i < len(cuts) and cuts[i] <= begin + limit:
-                if cuts[i] >= low:
-                    window.append(cuts[i])
-                i += 1
-            if window:
-                cut = max(window, key=lambda c: (kinds[c], depth[c], c))
-                new_kind = kinds[cut]
-                break
+        while lo_i < len(cuts) and cuts[lo_i] < begin + overlap + 1:
+            lo_i += 1
+        window, i = [], lo_i
+        while i < len(cuts) and cuts[i] <= begin + limit:
+            window.append(cuts[i])
+            i += 1
+        if window:
+            # the window's lower half makes small pieces, so among boundaries of one kind the upper half goes first
+            cut = max(window, key=lambda c: (kinds[c], c >= begin + limit // 2, depth[c], c))
+            new_kind = kinds[cut]
         else:
             part = list(_BLANK.finditer(text, begin + overlap + 1, begin + limit + 1))
             part = [m.end() for m in part if begin + overlap < m.end() <= begin + limit]

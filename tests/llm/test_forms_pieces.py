@@ -98,3 +98,13 @@ def test_split_oversized_edge_cases(spark):
     assert by["b"][0]["piece_text"] == "" and by["b"][0]["page_ids"] is None
     assert by["c"][0]["piece_text"] is None and by["d"][0]["piece_text"] == "kısa"
     assert pieces.split_oversized(df.limit(0)).count() == 0
+
+
+def test_a_stronger_boundary_in_the_lower_half_goes_before_sentences():
+    sentence = "Bu hüküm burada uygulanır. "
+    for start, kind in (("Madde 4- ", pieces.ARTICLE), ("\nYeni ", pieces.PARAGRAPH)):
+        text = sentence * 10 + "\n" + start + sentence * 60
+        (_, end, _), (_, _, got) = pieces.cut_text(text, 1000, 50)[0][:2]
+        assert got == kind and end == text.index(start.strip()) < 500
+    (_, end, _), (_, _, got) = pieces.cut_text(sentence * 60, 1000, 50)[0][:2]
+    assert got == pieces.SENTENCE and 500 <= end <= 1000
