@@ -113,8 +113,16 @@ def route_window(spark, folder):
 SELECT query_id, page_id, new_rank AS hit_rank, round(score, 6) AS score, doc_name, source_url, score >= {lexical.SCORE_FLOOR} AS above_floor
 FROM moved LEFT JOIN meta ON meta.doc_id = split_part(page_id, ':', 1) WHERE new_rank <= 5""")
 def search_hybrid(spark, folder):
-    """Five best chunks of every query after routing, with the metadata of their document."""
-    hits = _moved(spark, folder).where("new_rank <= 5").withColumn("doc_id", page_doc(F.col("page_id")))
+    """Five best chunks of every query after routing, with the metadata of their document.
+
+    As in the SQL only chunks that share a token with the query are ranked, so a query may have fewer than five hits;
+    ``search_hybrid_filled`` ranks all chunks.
+    """
+    return _served(_moved(spark, folder), spark, folder)
+
+
+def _served(moved, spark, folder):
+    hits = moved.where("new_rank <= 5").withColumn("doc_id", page_doc(F.col("page_id")))
     meta = table(spark, folder, "manifest").groupBy("doc_id").agg(F.min("doc_name").alias("doc_name"), F.min("url").alias("source_url"))
     return hits.join(meta, "doc_id", "left").select(
         "query_id", "page_id", F.col("new_rank").alias("hit_rank"), F.round("score", 6).alias("score"), "doc_name", "source_url",
@@ -122,6 +130,27 @@ def search_hybrid(spark, folder):
     )
 
 
+@query(f"""{_BM25}, {_ROUTED}, filled AS (
+    SELECT query_id, page_id, score FROM scores
+    UNION ALL SELECT qs.query_id, units.page_id, 0 FROM qs CROSS JOIN units
+    WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.query_id = qs.query_id AND s.page_id = units.page_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS rank FROM filled),
+flagged AS (
+    SELECT r.*, x.doc_id IS NOT NULL AS routed FROM placed r
+    LEFT JOIN routed x ON x.query_id = r.query_id AND x.doc_id = split_part(r.page_id, ':', 1)),
+moved AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank > {lexical.ROUTE_WINDOW} THEN 2 WHEN routed THEN 0 ELSE 1 END, rank) AS new_rank
+    FROM flagged WHERE rank <= 200),
+meta AS (SELECT doc_id, min(doc_name) AS doc_name, min(url) AS source_url FROM manifest GROUP BY doc_id)
+SELECT query_id, page_id, new_rank AS hit_rank, round(score, 6) AS score, doc_name, source_url, score >= {lexical.SCORE_FLOOR} AS above_floor
+FROM moved LEFT JOIN meta ON meta.doc_id = split_part(page_id, ':', 1) WHERE new_rank <= 5""")
+def search_hybrid_filled(spark, folder):
+    """The same search over all chunks: those without a match score 0 and fill the ranks by page id before routing."""
+    lists, terms, questions = _inputs(spark, folder)
+    ranked = checkpointed(lexical.bm25_top(lists, terms, questions, 200))
+    return _served(lexical.route_window(ranked, _routed(spark, folder, terms)), spark, folder)
+
+
 @query(f"""{_BM25}, {_ROUTED}, top AS (
     SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2,
            max(CASE WHEN rank = 1 THEN matched END) AS m FROM ranked WHERE rank <= 2 GROUP BY query_id),

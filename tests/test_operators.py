@@ -365,3 +365,16 @@ def test_every_question_is_encoded(spark, folder):
     got = vector_queries.hash_encode_questions(spark, folder)
     assert got.count() == 4 * rows.count()
     assert {r[0] for r in got.select("query_id").distinct().collect()} == {r["question_id"] for r in rows.collect()}
+
+
+def test_filled_search_gives_five_hits_to_every_query(spark, tmp_path):
+    from lexispark.plans import lexical_queries
+
+    chunks = [(f"d{i}:m1", "kira borç" if i == 4 else "vergi") for i in range(8)]
+    spark.createDataFrame(chunks, "chunk_id string, index_text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    asked = [("q20", "kira"), ("q40", "ve")]  # one match, no token
+    spark.createDataFrame(asked, "question_id string, question string").write.parquet(f"{tmp_path}/bench_questions.parquet")
+    spark.createDataFrame([("d0", "Vergi", "u")], "doc_id string, doc_name string, url string").write.parquet(f"{tmp_path}/manifest.parquet")
+    hits = {q: [r["page_id"] for r in lexical_queries.search_hybrid_filled(spark, str(tmp_path)).where(F.col("query_id") == q).orderBy("hit_rank").collect()] for q, _ in asked}
+    assert hits["q20"] == ["d4:m1", "d0:m1", "d1:m1", "d2:m1", "d3:m1"]
+    assert hits["q40"] == ["d0:m1", "d1:m1", "d2:m1", "d3:m1", "d4:m1"]
