@@ -11,7 +11,6 @@ becomes empty.  Rows are never dropped or merged by the column functions.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -37,45 +36,59 @@ LOOKALIKES = {
     "Լ": "L", "Օ": "O", "Տ": "S", "Ս": "U", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ց": "g",
     # Latin letters of phonetic alphabets
     "ɑ": "a", "ɡ": "g",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L",
+    "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J",
+    "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U",
+    "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
 }
 
 #: Decompositions that only change how a character is stored, not how it reads.
 _SAME_SHAPE = {"<wide>", "<narrow>", "<font>", "<noBreak>"}
+
+
 def _is_invisible(ch: str) -> bool:
     cp = ord(ch)
     return unicodedata.category(ch) == "Cf" or cp == 0x034F or 0xFE00 <= cp <= 0xFE0F or 0x180B <= cp <= 0x180E
 
 
-@lru_cache(maxsize=1)
-def prototypes() -> dict[int, str]:
-    """Code point -> prototype, derived by rule from the Unicode data plus ``LOOKALIKES``."""
-    table: dict[int, str] = {}
-    for cp in range(0x80, sys.maxunicode + 1):
-        ch = chr(cp)
-        cat = unicodedata.category(ch)
-        if cat in ("Cn", "Co", "Cs"):
-            continue
-        if _is_invisible(ch):
-            table[cp] = ""
-        elif cat == "Zs":
-            table[cp] = " "
-        elif (parts := unicodedata.decomposition(ch).split()) and parts[0][0] == "<":
-            if parts[0] in _SAME_SHAPE or parts[0] == "<compat>" and cat in ("Ll", "Lu", "Lt", "Nl"):
-                if ch not in ("ſ",):
-                    table[cp] = unicodedata.normalize("NFKD", ch)
-    for src, dst in LOOKALIKES.items():
-        table[ord(src)] = dst
-    # a prototype may itself consist of look-alikes (a wide or styled letter of another script)
-    for cp, dst in list(table.items()):
-        table[cp] = "".join(LOOKALIKES.get(c, c) for c in dst)
-    return table
+def _prototype(cp: int) -> str | int:
+    """What a code point looks like, by rule from the Unicode data plus ``LOOKALIKES``; itself if nothing else."""
+    ch = chr(cp)
+    cat = unicodedata.category(ch)
+    if ch in LOOKALIKES:
+        return LOOKALIKES[ch]
+    if cp < 0x80 or cat in ("Cn", "Co", "Cs"):
+        return cp
+    if _is_invisible(ch):
+        return ""
+    if cat == "Zs":
+        return " "
+    parts = unicodedata.decomposition(ch).split()
+    if parts and parts[0][0] == "<" and ch != "ſ":
+        if parts[0] in _SAME_SHAPE or parts[0] == "<compat>" and cat in ("Ll", "Lu", "Lt", "Nl"):
+            # a prototype may itself consist of look-alikes (a wide or styled letter of another script)
+            return "".join(LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFKD", ch))
+    return cp
+
+
+class _Prototypes(dict):
+    """Code point -> prototype, worked out when a code point is first met: a worker need not go through all of Unicode."""
+
+    def __missing__(self, cp: int) -> str | int:
+        self[cp] = out = _prototype(cp)
+        return out
+
+
+_PROTOTYPES = _Prototypes()
 
 
 @lru_cache(maxsize=1)
 def _special() -> re.Pattern[str]:
     """Matches the first character that may need replacing; a text without any is its own form."""
-    table = prototypes()
-    plain = [c for c in map(chr, range(0x180)) if ord(c) not in table and unicodedata.normalize("NFC", c) == c]
+    plain = [c for c in map(chr, range(0x180)) if _PROTOTYPES[ord(c)] == ord(c) and unicodedata.normalize("NFC", c) == c]
     return re.compile(f"[^{re.escape(''.join(plain))}–—‘’“”…]")
 
 
@@ -86,7 +99,7 @@ def skeleton(text: str | None) -> str | None:
     """The confusables skeleton of a text, composed again so that it reads as ordinary text."""
     if text is None or not _special().search(text):
         return text
-    out = unicodedata.normalize("NFD", text).translate(prototypes())
+    out = unicodedata.normalize("NFD", text).translate(_PROTOTYPES)
     out = unicodedata.normalize("NFD", out)
     if "̇" in out:  # a dot over a letter that already has one cannot be seen
         out = _DOTTED.sub(lambda m: "j" if m[0][0] == "j" else "i", out)

@@ -29,17 +29,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     """Unit and split of every question."""
-    return splits.assign_splits(checkpointed(_question_units(spark, folder)), "unit_key", PROPORTIONS)
+    return splits.assign_splits(_question_units(spark, folder), "unit_key", PROPORTIONS)
 
 
 def p1_split_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions and units of each split, and the share of questions."""
-    rows = p1_splits(spark, folder)
-    counts = rows.groupBy("split").agg(F.count("*").alias("questions"), F.countDistinct("unit_key").alias("units"))
-    total = rows.agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(total)).select(  # one row
-        "split", "questions", "units", F.round(F.col("questions") / F.col("total"), 6).alias("share")
-    )
+    """Questions and units of each split, the share of questions and the largest unit."""
+    return splits.split_shares(p1_splits(spark, folder), "unit_key")
 
 
 def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -5,8 +5,9 @@ every node keeps a cluster of nodes, sends the cluster to its smallest member an
 nothing changes.  The number of rounds grows with the logarithm of the longest chain.  Only distinct links between keys
 enter the graph, so a key shared by a third of all records is one node.
 
-Weighted rendezvous hashing then gives each unit a split.  Units that hold a noticeable share of all records are placed
-first, largest first, into the split that lacks most; the hash weights of the others are what is left of each split.
+Weighted rendezvous hashing then gives each unit a split.  The split depends on the unit's key and the proportions alone:
+a unit that grows, or any other that comes or goes, moves nothing.  The shares of records that come out are near the
+proportions as far as the largest units allow; ``split_shares`` reports them.
 
 Defined results: null, blank and invisible keys bind nothing; a record without any key is its own unit
 ``qid:<record id>``; repeated rows count once; an empty table gives an empty result.
@@ -25,8 +26,6 @@ from pyspark.sql import types as T
 from lexispark.cluster import checkpointed, salted_lookup
 from lexispark.llm.charforms import skeleton
 
-#: Share of all records from which a unit is placed by size instead of by hash; at most 1 / HEAVY_SHARE units reach it.
-HEAVY_SHARE = 0.01
 MAX_ROUNDS = 100
 
 _BLANKS = re.compile(r"\s+")
@@ -102,28 +101,23 @@ def _unit_hash(*parts) -> F.Column:
 
 
 def assign_splits(units: DataFrame, unit: str, proportions: Mapping[str, float]) -> DataFrame:
-    """Add ``split``: all rows of one ``unit`` get the same one, in about the given proportions of rows."""
-    sizes = checkpointed(units.groupBy(unit).agg(F.count("*").alias("_size")))
-    total = sizes.agg(F.sum("_size")).first()[0] or 0
-    names = list(proportions)
-    room = {s: proportions[s] * total / sum(proportions.values()) for s in names}
-    heavy = sizes.where(F.col("_size") >= max(2.0, HEAVY_SHARE * total)).orderBy(F.desc("_size"), unit).collect()
-    placed = {}
-    for row in heavy:
-        best = max(names, key=lambda s: (room[s], -names.index(s)))
-        placed[row[unit]] = best
-        room[best] -= row["_size"]
-    weights = {s: max(room[s], 0.0) for s in names}
-    if not any(weights.values()):
-        weights = dict(proportions)
+    """Add ``split``: all rows of one ``unit`` get the same one, in about the given proportions of units."""
     # rendezvous: the split with the smallest -ln(u) / weight wins
     bids = [
-        F.struct((-F.log(_unit_hash(F.col(unit), F.lit(s))) / F.lit(w)).alias("bid"), F.lit(s).alias("split"))
-        for s, w in weights.items()
+        F.struct((-F.log(_unit_hash(F.col(unit), F.lit(s))) / F.lit(float(w))).alias("bid"), F.lit(s).alias("split"))
+        for s, w in proportions.items()
         if w > 0
     ]
-    by_hash = (bids[0] if len(bids) == 1 else F.least(*bids))["split"]
-    if not placed:
-        return units.withColumn("split", by_hash)
-    fixed = F.create_map(*[F.lit(x) for pair in placed.items() for x in pair])
-    return units.withColumn("split", F.coalesce(fixed[F.col(unit)], by_hash))
+    if not bids:
+        raise ValueError("no split has a positive proportion")
+    return units.withColumn("split", (bids[0] if len(bids) == 1 else F.least(*bids))["split"])
+
+
+def split_shares(rows: DataFrame, unit: str) -> DataFrame:
+    """Per split: records, units, the share of all records and the records of the largest unit."""
+    sizes = rows.groupBy("split", unit).agg(F.count("*").alias("n"))
+    sums = sizes.groupBy("split").agg(F.sum("n").alias("questions"), F.count("*").alias("units"), F.max("n").alias("largest_unit"))
+    total = sums.agg(F.sum("questions").alias("total"))
+    return sums.join(F.broadcast(total)).select(  # one row
+        "split", "questions", "units", F.round(F.col("questions") / F.col("total"), 6).alias("share"), "largest_unit"
+    )
