@@ -7,6 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from lexispark.cluster import spread_lookup
 from lexispark.llm import quantiles, topn
 
 
@@ -63,9 +64,9 @@ def test_slow_requests(spark):
     assert quantiles.slow_requests(empty).count() == 0
 
 
-def _top(spark, rows, n):
+def _top(spark, rows, n, **how):
     df = spark.createDataFrame(rows, "q string, p string, s double").withColumn("grp", F.lit(1)).withColumn("item", F.lit(2)).repartition(3)
-    return {(r["q"], r["hit_rank"], r["p"]) for r in topn.top_n(df, "q", "p", "s", n).collect()}
+    return {(r["q"], r["hit_rank"], r["p"]) for r in topn.top_n(df, "q", "p", "s", n, **how).collect()}
 
 
 def _slow_top(rows, n):
@@ -82,6 +83,33 @@ def test_top_n_equals_brute_force(spark, monkeypatch):
     rows += [(None, "p", 1.0), ("q", None, 1.0), ("lonely", "ü", 0.0)]
     for n in (1, 5, 100):
         assert _top(spark, rows, n) == _slow_top(rows, n)
-    assert _top(spark, [], 5) == set()
+        assert _top(spark, rows, n, broadcast_rows=0) == _slow_top(rows, n)
+    assert _top(spark, [], 5) == _top(spark, [], 5, broadcast_rows=0) == set()
     same = [("q", f"p{i:03d}", 1.0) for i in range(300)]
-    assert _top(spark, same, 5) == _slow_top(same, 5)
+    assert _top(spark, same, 5) == _top(spark, same, 5, broadcast_rows=0) == _slow_top(same, 5)
+
+
+def test_many_groups_and_a_hot_one_beyond_the_broadcast(spark):
+    rows = spark.range(60_000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), F.pmod(F.xxhash64("id"), F.lit(5000)))).alias("q"),
+        F.concat(F.lit("p"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9000))).alias("p"),
+        (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1000)) / 7).alias("s"),
+    )
+    want = {tuple(r) for r in topn.top_n(rows, "q", "p", "s", 5).collect()}
+    assert {tuple(r) for r in topn.top_n(rows, "q", "p", "s", 5, broadcast_rows=0).collect()} == want
+    assert {(q, r, p) for q, r, p, _ in want} == _slow_top([tuple(r) for r in rows.collect()], 5)
+
+
+def test_a_hot_key_is_spread_in_the_join(spark):
+    big = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    small = big.select("k").distinct().withColumn("v", F.length("k"))
+    sizes = big.groupBy("k").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = spread_lookup(big, small, ["k"], ["id"], sizes, "left")
+        parts = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+        assert sum(parts) == 40_000 and out.where("v is null").count() == 0 and max(parts) < 16_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -63,14 +63,27 @@ def test_spellings_nulls_and_repeats_of_keys(spark):
 
 
 def test_splits_keep_units_whole_and_proportions(spark):
-    rows = [(f"q{i}", f"u{i // 3}") for i in range(6000)] + [(f"h{i}", "heavy") for i in range(3000)]
+    rows = [(f"q{i}", f"u{i // 3}") for i in range(9000)]
+    shares = {"train": 0.7, "validation": 0.1, "test": 0.2}
     units = spark.createDataFrame(rows, "question_id string, unit_key string")
-    out = splits.assign_splits(units, "unit_key", {"train": 0.7, "validation": 0.1, "test": 0.2})
+    out = splits.assign_splits(units, "unit_key", shares)
     assert out.groupBy("unit_key").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
-    share = {r["split"]: r["count"] / len(rows) for r in out.groupBy("split").count().collect()}
-    assert share == {"train": pytest.approx(0.7, abs=0.03), "validation": pytest.approx(0.1, abs=0.03), "test": pytest.approx(0.2, abs=0.03)}
-    assert out.where("unit_key = 'heavy'").first()["split"] == "train"
+    got = {r["split"]: r["share"] for r in splits.split_shares(out, "unit_key").collect()}
+    assert got == {s: pytest.approx(w, abs=0.03) for s, w in shares.items()}
     assert splits.assign_splits(units.limit(0), "unit_key", {"train": 1.0}).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        splits.assign_splits(units, "unit_key", {"train": 0.0})
+
+
+def test_a_heavy_unit_moves_no_other_unit(spark):
+    shares = {"train": 0.7, "validation": 0.1, "test": 0.2}
+    rows = [(f"q{i}", f"u{i // 3}") for i in range(600)]
+    heavy = [(f"h{i}", "heavy") for i in range(400)]
+    schema = "question_id string, unit_key string"
+    before = {r["question_id"]: r["split"] for r in splits.assign_splits(spark.createDataFrame(rows, schema), "unit_key", shares).collect()}
+    after = {r["question_id"]: r["split"] for r in splits.assign_splits(spark.createDataFrame(rows + heavy, schema), "unit_key", shares).collect()}
+    assert {q: s for q, s in after.items() if q in before} == before
+    assert len({s for q, s in after.items() if q not in before}) == 1
 
 
 def _overlap_pairs(spark, questions, known):
