@@ -60,20 +60,22 @@ def spread_lookup(
 ) -> DataFrame:
     """Join ``big`` with ``small`` on ``on``; keys get as many salts as their rows need, however large the largest is.
 
-    ``sizes`` has ``on`` and ``n``, the rows of a key in ``big`` (keys may be missing, null keys never match).  A key with
-    more rows than half a partition's share is hot: at most twice as many keys as there are partitions can be, so the list
-    of hot keys is broadcast whatever the data.  Rows of a hot key are spread by a hash of ``salt_by``, the rows of
-    ``small`` with that key are repeated once a salt.  ``how`` is inner, left, left_semi or left_anti.
+    ``sizes`` has ``n``, the rows of ``big`` for each value of its other columns, which are ``on`` or some of them (values may
+    be missing, null keys never match).  A value with more rows than half a partition's share is hot: at most twice as many
+    as there are partitions can be, so the list of hot ones is broadcast whatever the data.  Rows of a hot value are spread
+    by a hash of ``salt_by``, the rows of ``small`` with it are repeated once a salt.  ``how`` is inner, left, left_semi or
+    left_anti.
     """
+    by = [c for c in sizes.columns if c != "n"]
     parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     share = max(total // (2 * parts), 1)
     hot = F.broadcast(  # at most 2 * parts rows
-        sizes.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("_salts"))
+        sizes.where(F.col("n") > share).select(*by, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("_salts"))
     )
     salt = F.pmod(F.xxhash64(*salt_by), F.coalesce("_salts", F.lit(1))).cast("int")
-    left = big.join(hot, list(on), "left").withColumn("_salt", salt).drop("_salts")
-    right = small.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    left = big.join(hot, by, "left").withColumn("_salt", salt).drop("_salts")
+    right = small.join(hot, by, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
     return left.join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
