@@ -1,137 +1,142 @@
 """Same or near-same records across splits (problem 2).
 
-A record's canonical form is the set of its words after look-alike characters, case, punctuation and white space are
-normalised.  Records with equal canonical hashes form a class; classes are joined by hash for exact overlaps.  A hash
-join alone cannot find records that differ in a word, so near overlaps come from a set-similarity join between classes:
-two sets whose Jaccard similarity reaches the threshold share at least two of the rarest words of either, in prefixes
-whose length follows from the threshold, so joining on pairs of prefix words loses nothing; candidates are verified
-exactly.  Word frequencies that order the prefixes are counted over all records in a fixed number of hash buckets.
+A record's canonical form is its words after look-alike characters, case, punctuation and white space are normalised.
+Hashes of canonical records of the evaluation splits are joined with those of the training split.  Two hashes are taken:
+of the words in their order (the same record) and of the set of words (a class of records).
+
+A hash of the whole record cannot find records that differ in a word, so classes are also joined by hashes of canonical
+parts: two sets whose Jaccard similarity reaches the threshold share at least two of the rarest words of either, in
+prefixes whose length follows from the threshold, so joining on hashes of pairs of prefix words loses nothing; candidates
+are verified on their whole word sets.  Words are 64-bit hashes from the first step on.  Word frequencies that order the
+prefixes are counted over all classes in a fixed number of hash buckets.
 
 Defined results: null and word-less texts match nothing; repeated rows count once; records without a split don't count.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexispark.cluster import checkpointed
+from lexispark.cluster import checkpointed, spread_lookup
 from lexispark.llm.charforms import words_of
 
 THRESHOLD = 0.7
 #: Word counts are kept in this many buckets (a broadcast of fixed size); collisions only change the prefix order.
 BUCKETS = 1 << 16
+_EPS = 1e-9
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _word_set_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted(set(words_of(t))))
-
-
-def word_classes(records: DataFrame, record_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """``members`` (record_id, class_id) and ``classes`` (class_id, words): one class per distinct set of words."""
-    forms = (
-        records.select(F.col(record_id), F.col(text).alias("_text"))
-        .where(F.col(record_id).isNotNull() & F.col("_text").isNotNull())
-        .distinct()
-        .select(record_id, _word_set_udf("_text").alias("words"))
-        .where(F.size("words") > 0)
-        .withColumn("class_id", F.sha2(F.concat_ws(" ", "words"), 256))
-    )
-    forms = checkpointed(forms)
-    return forms.select(record_id, "class_id").distinct(), forms.select("class_id", "words").dropDuplicates(["class_id"])
-
-
-def _bucket(word: str) -> int:
-    return xxhash.xxh32_intdigest(word) % BUCKETS
+@F.pandas_udf("class_id string, same_id string, words array<bigint>")
+def _canonical_udf(texts: pd.Series) -> pd.DataFrame:
+    """Hash of the set of words, hash of the words in order, and the distinct words' own hashes."""
+    sets, orders, hashes = [], [], []
+    for text in texts:
+        words = words_of(text)
+        distinct = sorted(set(words))
+        sets.append(xxhash.xxh3_128_hexdigest(" ".join(distinct)))
+        orders.append(xxhash.xxh3_128_hexdigest(" ".join(words)))
+        hashes.append([xxhash.xxh64_intdigest(w) - (1 << 63) for w in distinct])
+    return pd.DataFrame({"class_id": sets, "same_id": orders, "words": hashes})
 
 
 def _prefix_pairs(counts: np.ndarray, threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of all pairs among the rarest words of each class, with the place of the later word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for class_id, role, words in zip(batch["class_id"], batch["role"], batch["words"], strict=True):
-                n = len(words)
-                if n < 2:
-                    continue
-                ranked = sorted(((int(counts[_bucket(w)]), w) for w in words))
-                prefix = ranked[: n - math.ceil(threshold * n - 1e-9) + 2]
-                hashes = [xxhash.xxh64_intdigest(w) for _, w in prefix]
-                for j in range(1, len(prefix)):
+            ids, roles = batch["id"].to_numpy(), batch["role"].to_numpy()
+            lists = batch["words"]
+            n = np.diff(lists.offsets.to_numpy())
+            words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            # rarest first within a class, ties by hash
+            order = np.lexsort((words, counts[words % BUCKETS], owner))
+            words = words[order].view(np.uint64)
+            first = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.empty(0, np.int64)
+            size = np.minimum(n - np.ceil(threshold * n - _EPS).astype(np.int64) + 2, n)
+            out = []
+            for k in np.unique(size[n >= 2]):
+                rows = np.flatnonzero((size == k) & (n >= 2))
+                block = words[first[rows][:, None] + np.arange(k)]
+                for j in range(1, k):
                     for i in range(j):
-                        key = xxhash.xxh64_intdigest(f"{hashes[i]} {hashes[j]}")
-                        out.append((key - (1 << 63), class_id, role, n, j))
-            yield pd.DataFrame(out, columns=["pair_key", "class_id", "role", "n", "at"])
+                        key = (block[:, i] * np.uint64(0x9E3779B97F4A7C15) ^ block[:, j]) * np.uint64(0x100000001B3)
+                        out.append((key ^ (key >> np.uint64(31)), rows, np.full(len(rows), j)))
+            if out:
+                key, rows, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(ids[rows]), pa.array(roles[rows], pa.int32()), pa.array(n[rows], pa.int32()), pa.array(at, pa.int32())],
+                    names=["pair_key", "id", "role", "n", "at"],
+                )
 
     return run
 
 
-_PAIR_SCHEMA = "pair_key long, class_id string, role string, n int, at int"
+_PAIR_SCHEMA = "pair_key long, id long, role int, n int, at int"
+#: Bits of ``role``: the class has records in training, in an evaluation split.
+TRAIN, EVAL = 1, 2
 
 
-def near_classes(classes: DataFrame, roles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of different classes, one with role ``train`` and one with role ``eval``, at or above the threshold.
+def near_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of different classes, one in training and one in evaluation, at or above the threshold.
 
-    ``roles`` has ``class_id`` and ``role``; gives ``train_class``, ``eval_class``, ``similarity``.
+    ``classes`` has ``id`` (a number), ``class_id``, ``words`` and ``role``; gives ``train_class``, ``eval_class``,
+    ``similarity``.
     """
-    used = checkpointed(classes.join(roles.distinct(), "class_id"))
-    buckets = (
-        used.select(F.explode("words").alias("w"))
-        .select(_bucket_udf("w").alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for row in buckets:
+    word = classes.select(F.explode("words").alias("w"))
+    for row in word.groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n")).collect():
         counts[row["bucket"]] = row["n"]
-    keys = used.mapInPandas(_prefix_pairs(counts, threshold), _PAIR_SCHEMA)
-    train = keys.where("role = 'train'").select("pair_key", F.col("class_id").alias("train_class"), F.col("n").alias("n1"), F.col("at").alias("at1"))
-    held = keys.where("role = 'eval'").select("pair_key", F.col("class_id").alias("eval_class"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    bucket = F.pmod("pair_key", F.lit(BUCKETS)).cast("int").alias("bucket")
+    keys = checkpointed(classes.select("id", "role", "words").mapInArrow(_prefix_pairs(counts, threshold), _PAIR_SCHEMA).select("*", bucket))
+    train = keys.where(F.col("role").bitwiseAND(TRAIN) > 0).select("bucket", "pair_key", F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    held = keys.where(F.col("role").bitwiseAND(EVAL) > 0).select("bucket", "pair_key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
     # lengths that can reach the threshold, and enough words left after the second shared one
     fits = (
-        "train_class <> eval_class and n1 >= :t * n2 - 1e-9 and n2 >= :t * n1 - 1e-9 "
+        "id1 <> id2 and n1 >= :t * n2 - 1e-9 and n2 >= :t * n1 - 1e-9 "
         "and 2 + least(n1 - 1 - at1, n2 - 1 - at2) + least(at1, at2) - 1 >= :t / (1 + :t) * (n1 + n2) - 1e-9"
     ).replace(":t", repr(threshold))
-    pairs = train.join(held, "pair_key").where(fits).select("train_class", "eval_class").distinct()
-    words = used.select("class_id", "words").dropDuplicates(["class_id"])
+    crowded = train.groupBy("bucket").agg(F.count("*").alias("n"))
+    pairs = spread_lookup(train, held, ["bucket", "pair_key"], ["id1"], crowded).where(fits).select("id1", "id2").distinct()
     shared = F.size(F.array_intersect("w1", "w2"))
+    one, two = (classes.select(F.col("id").alias(f"id{k}"), F.col("class_id").alias(c), F.col("words").alias(f"w{k}")) for k, c in ((1, "train_class"), (2, "eval_class")))
     return (
-        pairs.join(words.select(F.col("class_id").alias("train_class"), F.col("words").alias("w1")), "train_class")
-        .join(words.select(F.col("class_id").alias("eval_class"), F.col("words").alias("w2")), "eval_class")
+        pairs.join(one, "id1").join(two, "id2")
         .withColumn("similarity", shared / (F.size("w1") + F.size("w2") - shared))
-        .where(F.col("similarity") >= threshold - 1e-9)
+        .where(F.col("similarity") >= threshold - _EPS)
         .select("train_class", "eval_class", "similarity")
     )
 
 
-@F.pandas_udf(T.IntegerType())
-def _bucket_udf(words: pd.Series) -> pd.Series:
-    return words.map(_bucket).astype("int32")
-
-
 def split_overlaps(records: DataFrame, record_id: str, text: str, splits: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Class links between training and evaluation records, and who belongs to the classes.
 
     ``splits`` has ``record_id``, ``split`` (train, validation or test) and ``source``.  Gives ``links`` (train_class,
-    eval_class, similarity) and ``members`` (record_id, class_id, split, source).
+    eval_class, similarity) and ``members`` (record_id, class_id, same_id, split, source).
     """
     known = splits.where(F.col("split").isin("train", "validation", "test")).select(record_id, "split", "source").distinct()
-    members, classes = word_classes(records.join(known.select(record_id).distinct(), record_id, "left_semi"), record_id, text)
-    members = checkpointed(members.join(known, record_id))
-    roles = checkpointed(
-        members.select("class_id", F.when(F.col("split") == "train", "train").otherwise("eval").alias("role")).distinct()
+    texts = records.select(F.col(record_id), F.col(text).alias("_text")).where(F.col(record_id).isNotNull() & F.col("_text").isNotNull())
+    forms = checkpointed(
+        texts.select(record_id, _canonical_udf("_text").alias("_c")).select(record_id, "_c.*").where(F.size("words") > 0).join(known, record_id)
+    )
+    members = forms.select(record_id, "class_id", "same_id", "split", "source").distinct()
+    held = F.col("split") != "train"
+    classes = checkpointed(
+        forms.groupBy("class_id")
+        .agg(F.first("words").alias("words"), (F.max((~held).cast("int")) * TRAIN + F.max(held.cast("int")) * EVAL).alias("role"))
+        .withColumn("id", F.monotonically_increasing_id())
+    )
+    exact = classes.where(F.col("role") == TRAIN + EVAL).select(
+        F.col("class_id").alias("train_class"), F.col("class_id").alias("eval_class"), F.lit(1.0).alias("similarity")
     )
-    same = roles.groupBy("class_id").agg(F.count("*").alias("k")).where("k = 2")
-    exact = same.select(F.col("class_id").alias("train_class"), F.col("class_id").alias("eval_class"), F.lit(1.0).alias("similarity"))
-    return exact.union(near_classes(classes, roles, threshold)), members
+    return exact.union(near_classes(classes, threshold)), members
 
 
 def overlap_pairs(links: DataFrame, members: DataFrame, record_id: str) -> DataFrame:
@@ -147,11 +152,16 @@ def overlap_pairs(links: DataFrame, members: DataFrame, record_id: str) -> DataF
 
 
 def overlap_report(links: DataFrame, members: DataFrame, record_id: str) -> DataFrame:
-    """Per evaluation split and source: records, and records that also stand in training exactly or almost."""
-    best = links.groupBy(F.col("eval_class").alias("class_id")).agg(F.max("similarity").alias("best"))
-    held = members.where("split <> 'train'").join(best, "class_id", "left")
-    return held.groupBy("split", "source").agg(
+    """Per evaluation split and source: records, those whose words stand in training in the same order, and those that
+    stand there exactly or almost."""
+    train = members.where("split = 'train'").select("same_id").distinct().withColumn("_same", F.lit(True))
+    near = links.select(F.col("eval_class").alias("class_id")).distinct().withColumn("_near", F.lit(True))
+    held = checkpointed(members.where("split <> 'train'"))
+    by_text = held.groupBy("class_id", "same_id").agg(F.count("*").alias("n"))
+    found = by_text.join(train, "same_id", "left").join(near, "class_id", "left").where("_same or _near").select("class_id", "same_id", "_same", "_near")
+    rows = spread_lookup(held, found, ["class_id", "same_id"], [record_id], by_text, "left")
+    return rows.groupBy("split", "source").agg(
         F.countDistinct(record_id).alias("records"),
-        F.countDistinct(F.when(F.col("best") >= 1, F.col(record_id))).alias("same"),
-        F.countDistinct(F.when(F.col("best").isNotNull(), F.col(record_id))).alias("same_or_near"),
+        F.countDistinct(F.when(F.col("_same"), F.col(record_id))).alias("same"),
+        F.countDistinct(F.when(F.col("_near"), F.col(record_id))).alias("same_or_near"),
     )

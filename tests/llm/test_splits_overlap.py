@@ -123,6 +123,9 @@ def test_overlap_edge_cases(spark):
     known = [("a", "train", "s"), ("b", "test", "s"), ("c", "test", "s"), ("d", "train", "s"), ("e", "validation", None), ("g", "train", "s"), ("h", "test", "s"), ("b", "test", "s")]
     got, _ = _overlap_pairs(spark, questions, known)
     assert got == {("a", "b"), ("g", "h")}  # f has no split; е and sira are other words
+    # the same words in another order are near, not the same
+    _, report = _overlap_pairs(spark, [("a", "bir iki üç"), ("b", "Üç, iki bir"), ("c", "Bir iki üç!")], [("a", "train", "s"), ("b", "test", "s"), ("c", "test", "s")])
+    assert [tuple(r) for r in report] == [("test", "s", 2, 1, 2)]
     assert _overlap_pairs(spark, [], [])[0] == set()
     hot = [(f"q{i:03d}", "aynı soru metni") for i in range(60)]
     got, _ = _overlap_pairs(spark, hot, [(q, "train" if i < 50 else "test", "s") for i, (q, _) in enumerate(hot)])
