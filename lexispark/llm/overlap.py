@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexispark.cluster import checkpointed, spread_lookup
 from lexispark.llm.charforms import words_of
@@ -33,7 +34,12 @@ BUCKETS = 1 << 16
 _EPS = 1e-9
 
 
-@F.pandas_udf("class_id string, same_id string, words array<bigint>")
+_CANONICAL = T.StructType(
+    [T.StructField("class_id", T.StringType()), T.StructField("same_id", T.StringType()), T.StructField("words", T.ArrayType(T.LongType()))]
+)
+
+
+@F.pandas_udf(_CANONICAL)
 def _canonical_udf(texts: pd.Series) -> pd.DataFrame:
     """Hash of the set of words, hash of the words in order, and the distinct words' own hashes."""
     sets, orders, hashes = [], [], []
