@@ -35,7 +35,7 @@ RUN = 12
 #: Up to this many distinct item n-grams are looked up in the scan of the corpus; beyond, by a shuffle join.
 LOOKUP_GRAMS = 2_000_000
 
-_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,500}>")
+_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
 _BROKEN = re.compile("[-\u2010\u00ad][\u200b-\u200d\u2060\ufeff]*[^\\S\n]*\n\\s*(?=[^\\W\\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
