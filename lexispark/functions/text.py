@@ -97,7 +97,7 @@ def cited_sources(text: Column) -> Column:
 def without_markers(text: Column) -> Column:
     """Text without ``[Sn]`` markers and without the blanks they leave before punctuation."""
     bare = squeeze_blanks(F.regexp_replace(text, r"\[\s*S\s*\d+\s*\]", " "))
-    return F.regexp_replace(bare, r" ([.,;:!?…])", "$1")
+    return F.regexp_replace(bare, r" ([.,;:!?…»)\]])", "$1")
 
 
 def honest_miss(status: Column, abstained: Column, answer: Column) -> Column:
@@ -107,9 +107,14 @@ def honest_miss(status: Column, abstained: Column, answer: Column) -> Column:
 
 
 def parse_verdict(raw: Column) -> Column:
-    """``supported``, ``unsupported`` or ``belirsiz`` from a model's reply: JSON, fenced JSON, a list of one, or a word."""
-    body = F.trim(F.regexp_replace(F.trim(raw), r"^```[a-zA-Z]*\s*|\s*```$", ""))
-    as_json = F.coalesce(F.get_json_object(body, "$.verdict"), F.get_json_object(body, "$[0].verdict"))
-    loose = F.regexp_extract(body, r'"verdict"\s*:\s*"([a-z]+)"', 1)
-    found = F.coalesce(as_json, F.nullif(loose, F.lit("")))
-    return F.when(found.isin("supported", "unsupported", "belirsiz"), found).otherwise(F.lit("belirsiz"))
+    """``verdict`` (supported, unsupported or belirsiz) and ``parsed`` from a model's reply.
+
+    A JSON object, fenced or not, or the first of a list, has the verdict under its key in any letter case; else the key
+    and its value are looked for in the text.  What holds neither is undecided and not parsed; a bare word is not enough.
+    """
+    body = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?m)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    as_json = F.lower(F.trim(F.coalesce(F.get_json_object(body, "$.verdict"), F.get_json_object(body, "$[0].verdict"))))
+    loose = F.lower(F.regexp_extract(body, r"(?i)[\"']?verdict[\"']?\s*[:=]\s*[\"']?(supported|unsupported|belirsiz)\b", 1))
+    known = lambda c: F.when(c.isin("supported", "unsupported", "belirsiz"), c)
+    found = F.coalesce(known(as_json), known(loose))
+    return F.struct(F.coalesce(found, F.lit("belirsiz")).alias("verdict"), found.isNotNull().alias("parsed"))

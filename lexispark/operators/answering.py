@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.operators.calibration import clopper_pearson_udf
 from lexispark.operators.structure import MAX_CLAIMS
 
 # Prices per million tokens.
 PRICE_IN, PRICE_OUT = 0.10, 0.40
 
 
-def evidence_gate(claims: DataFrame) -> DataFrame:
+def evidence_gate(answers: DataFrame, claims: DataFrame) -> DataFrame:
     """Per answer: claims, supported claims and whether it is demoted.
 
-    An answer stands only if it has claims, at most ``MAX_CLAIMS``, and every one is supported.  Needs ``answer_id``,
-    ``verdict``; a null verdict counts as undecided.
+    An answer stands only if it has claims, at most ``MAX_CLAIMS``, and every one is supported.  ``answers`` has
+    ``answer_id``, ``claims`` has ``answer_id``, ``verdict``; a null verdict counts as undecided, an answer without claims
+    is demoted.
     """
     ok = F.coalesce(F.col("verdict") == "supported", F.lit(False))
-    out = claims.groupBy("answer_id").agg(F.count("*").alias("claims"), F.count_if(ok).alias("supported"))
-    return out.withColumn("demoted", (F.col("claims") > MAX_CLAIMS) | (F.col("supported") < F.col("claims")))
+    counts = claims.groupBy("answer_id").agg(F.count("*").alias("claims"), F.count_if(ok).alias("supported"))
+    out = answers.select("answer_id").distinct().join(counts, "answer_id", "left").fillna(0, ["claims", "supported"])
+    return out.withColumn("demoted", (F.col("claims") == 0) | (F.col("claims") > MAX_CLAIMS) | (F.col("supported") < F.col("claims")))
 
 
 def ask_decision(hit: Column, passed: Column, failed: Column, demoted: Column) -> Column:
@@ -60,23 +63,36 @@ def token_cost(tokens_in: Column, tokens_out: Column) -> Column:
     return tokens_in / 1e6 * PRICE_IN + tokens_out / 1e6 * PRICE_OUT
 
 
-def answer_metrics(claims: DataFrame) -> DataFrame:
-    """One row: cited claims that are supported, answers whose every claim is supported, supported answers that are false.
+def answer_metrics(answers: DataFrame, claims: DataFrame) -> DataFrame:
+    """One row: how often a cited claim is supported, how many claims are cited, and how often an unanswerable question is
+    answered with support, each with its numbers and the Clopper-Pearson bound of the errors.
 
-    Needs ``answer_id``, ``verdict``, ``cited`` and ``answerable``; a rate over nothing is null.
+    ``answers`` has ``answer_id``, ``answerable``, ``status``, ``honest_miss``; ``claims`` has ``answer_id``, ``verdict``,
+    ``cited``.  A falsely supported answer is one to an unanswerable question that was given, admits no miss, and has
+    claims all of which are supported.  A rate over nothing is null, and so is its bound.
     """
     ok = F.coalesce(F.col("verdict") == "supported", F.lit(False))
-    per_answer = claims.groupBy("answer_id").agg(
-        F.count_if(F.col("cited")).alias("cited"),
-        F.count_if(F.col("cited") & ok).alias("cited_ok"),
-        F.bool_and(ok).alias("complete"),
-        F.bool_and("answerable").alias("answerable"),
+    cited = F.coalesce(F.col("cited"), F.lit(False))
+    own = claims.groupBy("answer_id").agg(
+        F.count("*").alias("n"), F.count_if(cited).alias("cited"), F.count_if(cited & ok).alias("cited_ok"), F.count_if(ok).alias("ok")
     )
-    none = F.lit(0)
-    wrong = F.count_if(F.col("complete") & ~F.col("answerable"))
-    return per_answer.agg(
+    false = (F.col("status") == "answered") & ~F.coalesce("honest_miss", F.lit(False)) & (F.col("n") > 0) & (F.col("ok") == F.col("n"))
+    closed = ~F.col("answerable")
+    sums = answers.join(own, "answer_id", "left").agg(
         F.count("*").alias("answers"),
-        (F.sum("cited_ok") / F.nullif(F.sum("cited"), none)).alias("citation_precision"),
-        (F.count_if(F.col("complete")) / F.nullif(F.count("*"), none)).alias("completeness"),
-        (wrong / F.nullif(F.count_if(F.col("complete")), none)).alias("false_supported"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("claims"),
+        F.coalesce(F.sum("cited"), F.lit(0)).alias("cited"),
+        F.coalesce(F.sum("cited_ok"), F.lit(0)).alias("cited_supported"),
+        F.count_if(closed).alias("unanswerable"),
+        F.count_if(closed & false).alias("false_supported"),
+    )
+    rate = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    return sums.select(
+        "*",
+        rate("cited_supported", "cited").alias("citation_precision"),
+        (1 - clopper_pearson_udf(F.col("cited") - F.col("cited_supported"), F.col("cited"))).alias("precision_lower"),
+        rate("cited", "claims").alias("completeness"),
+        clopper_pearson_udf(F.col("claims") - F.col("cited"), F.col("claims")).alias("uncited_upper"),
+        rate("false_supported", "unanswerable").alias("false_supported_rate"),
+        clopper_pearson_udf(F.col("false_supported"), F.col("unanswerable")).alias("false_supported_upper"),
     )

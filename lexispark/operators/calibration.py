@@ -141,11 +141,17 @@ def clopper_pearson(errors: int, n: int, alpha: float = ALPHA) -> float:
         return 1.0
     if errors == 0:
         return 1 - alpha ** (1 / n)
-    ways = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(errors + 1)]
-    low, high = 0.0, 1.0
+    # terms from the largest down; those further than 40 deviations below it add nothing that a double could hold
+    k = np.arange(errors, max(errors - 100 - 40 * math.isqrt(n), 0), -1)
+    top = math.lgamma(n + 1) - math.lgamma(errors + 1) - math.lgamma(n - errors + 1)
+    ways = top + np.concatenate([[0.0], np.cumsum(np.log(k) - np.log(n - k + 1.0))])
+    k = np.concatenate([k, [k[-1] - 1]])
+    low, high = errors / n, 1.0  # below the rate the distribution at ``errors`` is about a half or more
     for _ in range(100):
         mid = (low + high) / 2
-        cdf = sum(math.exp(w + k * math.log(mid) + (n - k) * math.log1p(-mid)) for k, w in enumerate(ways))
+        if mid >= 1:
+            break
+        cdf = np.exp(ways + k * math.log(mid) + (n - k) * math.log1p(-mid)).sum()
         low, high = (mid, high) if cdf > alpha else (low, mid)
     return (low + high) / 2
 
@@ -157,19 +163,53 @@ def clopper_pearson_udf(errors: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def false_answers(rows: DataFrame, tau: float) -> DataFrame:
-    """How often unanswerable questions are answered at ``tau``, with its Wilson upper bound."""
+    """How often unanswerable questions are answered at ``tau``, with its Clopper-Pearson and its Wilson upper bound."""
     seen = usable(rows).where("not answerable").agg(F.count("*").alias("n"), F.count_if(F.col("p") >= tau).alias("errors"))
     return seen.select(
-        "n", "errors", (F.col("errors") / F.nullif(F.col("n"), F.lit(0))).alias("rate"), wilson_upper(F.col("errors"), F.col("n")).alias("upper")
-    )
+        "n", "errors", (F.col("errors") / F.nullif(F.col("n"), F.lit(0))).alias("rate"),
+        clopper_pearson_udf("errors", "n").alias("upper"), wilson_upper(F.col("errors"), F.col("n")).alias("wilson"),
+    )
 
 
 def choose_threshold(curve: DataFrame, budget: float = RISK_BUDGET) -> DataFrame:
-    """The point of largest coverage above 0 whose risk keeps the budget; the sentinel if there is none."""
+    """The point of largest coverage above 0 whose risk keeps the budget, the sentinel if there is none; with the
+    Clopper-Pearson bound of its risk and whether that bound keeps the budget too (``guaranteed``)."""
     fits = (F.col("coverage") > 0) & (F.col("risk") <= budget)
     order = F.struct(F.when(fits, F.col("coverage")).otherwise(F.lit(-1.0)), (F.col("tau").isNull()).cast("int"))
     row = F.struct("tau", "coverage", "risk", "answered", "errors")
-    return curve.agg(F.max_by(row, order).alias("r")).select("r.*")
+    best = curve.agg(F.max_by(row, order).alias("r")).select("r.*")
+    bounded = best.withColumn("upper", clopper_pearson_udf(F.col("errors").cast("long"), F.col("answered").cast("long")))
+    return bounded.withColumn("guaranteed", F.coalesce(F.col("upper") <= budget, F.lit(False)))
+
+
+def safe_to_answer(questions: DataFrame, gold: DataFrame, ranked: DataFrame, k: int = 5) -> DataFrame:
+    """``query_id``, ``gold_in_topk``, ``label``: a question is safe to answer if it is answerable and one of its gold
+    pages stands among the first ``k`` pages.
+
+    ``questions`` has ``query_id``, ``answerable``; ``gold`` and ``ranked`` have ``query_id``, ``page_id``, ``ranked`` also
+    ``rank``.  Questions without gold pages or without hits are not hit; a null ``answerable`` counts as false.
+    """
+    hit = gold.join(ranked.where(F.col("rank") <= k).select("query_id", "page_id"), ["query_id", "page_id"]).select("query_id").distinct()
+    found = questions.join(hit.withColumn("_hit", F.lit(True)), "query_id", "left")
+    in_top = F.coalesce("_hit", F.lit(False))
+    return found.select("query_id", in_top.alias("gold_in_topk"), (F.coalesce("answerable", F.lit(False)) & in_top).cast("int").alias("label"))
+
+
+def calibration_report(rows: DataFrame, tau: float, bins: int = BINS) -> DataFrame:
+    """One row: rows, Brier score, calibration error, AUROC, AURC, and at ``tau`` coverage, risk with its bound, precision
+    and recall of abstaining, and false answers with their bound.  Each part is a statistic of its own over the rows."""
+    at = usable(rows).agg(
+        F.count_if(F.col("p") >= tau).alias("answered"), F.count_if((F.col("p") >= tau) & (F.col("label") == 0)).alias("errors")
+    )
+    held = abstain_quality(rows, tau).select(F.col("precision").alias("abstain_precision"), F.col("recall").alias("abstain_recall"))
+    wrong = false_answers(rows, tau).select(F.col("rate").alias("false_answer_rate"), F.col("upper").alias("false_answer_upper"))
+    out = brier(rows)
+    for part in (ece(rows, bins), auroc(rows), aurc(risk_coverage(rows)), at, held, wrong):
+        out = out.join(F.broadcast(part), how="left")  # each is one row
+    none = F.lit(0)
+    return out.withColumn("coverage", F.col("answered") / F.nullif(F.col("n"), none)).withColumn(
+        "risk", F.col("errors") / F.nullif(F.col("answered"), none)
+    ).withColumn("risk_upper", clopper_pearson_udf("errors", "answered"))
 
 
 def feature_stats(rows: DataFrame) -> DataFrame:
@@ -218,17 +258,19 @@ def fit_logistic(rows: DataFrame, names: list[str], max_rows: int = 200_000) ->
     if not len(data):
         raise ValueError("no rows to fit")
     x, y = data[:, :-1], data[:, -1]
+    if y.min() == y.max():
+        raise ValueError("both classes are needed")
     mean, std = x.mean(0), x.std(0)
     std[std == 0] = 1.0
     z = (x - mean) / std
-    w, b, n = np.zeros(z.shape[1]), 0.0, len(z)
+    w, b, n, steps = np.zeros(z.shape[1]), 0.0, len(z), 0
     for _ in range(MAX_ITER):
         error = 1 / (1 + np.exp(-np.clip(z @ w + b, -500, 500))) - y
         gw, gb = z.T @ error / n + L2 / n * w, error.mean()
-        w, b = w - LEARNING_RATE * gw, b - LEARNING_RATE * gb
         if max(np.abs(gw).max(), abs(gb)) < TOL:
             break
-    return {"names": names, "mean": mean.tolist(), "std": std.tolist(), "weights": w.tolist(), "bias": float(b)}
+        w, b, steps = w - LEARNING_RATE * gw, b - LEARNING_RATE * gb, steps + 1
+    return {"rows": n, "positive": int(y.sum()), "steps": steps, "names": names, "mean": mean.tolist(), "std": std.tolist(), "weights": w.tolist(), "bias": float(b)}
 
 
 def predict_logistic(features: Column, model: dict) -> Column:

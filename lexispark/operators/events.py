@@ -54,23 +54,40 @@ def summary(events: DataFrame) -> DataFrame:
     )
 
 
-def latency_percentiles(events: DataFrame, points: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles of the latency per endpoint, from counts by value."""
-    ms = duration(F.col("total_ms"))
-    values = events.where(F.col("status") != "rejected").select("endpoint", ms.alias("v")).where("v is not null")
+def _placed(values: DataFrame) -> DataFrame:
+    """``endpoint``, ``v`` and its number ``k``, ``upto`` (how many are no larger) and ``n`` (how many there are)."""
     counts = values.groupBy("endpoint", "v").agg(F.count("*").alias("k"))
     size = counts.groupBy(F.col("endpoint").alias("_e")).agg(F.sum("k").alias("n"))  # a row an endpoint
     sums = running_sums(counts, ["endpoint"], [F.col("v")], ["k"]).withColumnRenamed("k_upto", "upto")
-    ranked = sums.join(broadcast_if_small(size), F.col("endpoint").eqNullSafe(F.col("_e")))
+    return sums.join(broadcast_if_small(size), F.col("endpoint").eqNullSafe(F.col("_e"))).drop("_e")
+
+
+def latency_percentiles(events: DataFrame, points: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Nearest-rank percentiles of the latency per endpoint, from counts by value."""
+    ms = duration(F.col("total_ms"))
+    ranked = _placed(events.where(F.col("status") != "rejected").select("endpoint", ms.alias("v")).where("v is not null"))
     return ranked.groupBy("endpoint").agg(
         F.first("n").alias("n"),
         *[F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("n") * q - 1e-9), F.lit(1)), F.col("v"))).alias(f"p{round(q * 100)}") for q in points],
     )
 
 
+def latency_interpolated(events: DataFrame, points: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """Percentiles per endpoint interpolated between the two nearest values, from counts by value: no task holds the values
+    of an endpoint."""
+    ranked = _placed(events.select("endpoint", duration(F.col("total_ms")).alias("v")).where("v is not null"))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    out = []
+    for q in points:
+        want = F.lit(float(q)) * (F.col("n") - 1)
+        low, high, part = at(F.floor(want)), at(F.ceil(want)), F.first(want - F.floor(want))
+        out.append((low + (high - low) * part).alias(f"p{round(q * 100)}"))
+    return ranked.groupBy("endpoint").agg(*out)
+
+
 def recent_rows(events: DataFrame, rows: int = RECENT) -> DataFrame:
-    """The last rows by id: a top-k, so that no task sorts the table."""
-    return events.orderBy(F.desc("id")).limit(rows)
+    """The last rows by id that were not rejected: a top-k, so that no task sorts the table."""
+    return events.where("status <> 'rejected'").orderBy(F.desc("id")).limit(rows)
 
 
 def histogram(values: DataFrame, by: Sequence[str], value: str, bounds: Sequence[float]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexispark.operators import calibration as cal
 from lexispark.plans.registry import query
+from lexispark.plans.views import GOLD_SQL, HITS_SQL, gold_pages, hit_list, sql_upper_bound
 from lexispark.sources.tables import table
 
 TAU = 0.65
@@ -91,27 +92,82 @@ def conformal_threshold(spark, folder):
     return out.select("errors", F.round("threshold", 6).alias("threshold"), "available")
 
 
-@query(f"""WITH {_ROWS}, s AS (SELECT count(*) AS n, count(CASE WHEN p >= {TAU} THEN 1 END) AS errors FROM u WHERE NOT answerable),
-t AS (SELECT *, errors / nullif(n, 0) AS r, {cal.Z95} AS z FROM s)
-SELECT n, errors, round(r, 6) AS rate, round((r + z * z / (2 * n) + z * sqrt(r * (1 - r) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS upper FROM t""")
+_FALSE = f"""WITH RECURSIVE {_ROWS}, s AS (SELECT 1 AS one, count(*) AS n, count(CASE WHEN p >= {TAU} THEN 1 END) AS errors FROM u WHERE NOT answerable), {sql_upper_bound('s', 'one')}"""
+
+
+@query(f"""{_FALSE}, t AS (SELECT *, errors / nullif(n, 0) AS r, {cal.Z95} AS z FROM s)
+SELECT n, errors, round(r, 6) AS rate, round(cp.upper, 6) AS upper, round((r + z * z / (2 * n) + z * sqrt(r * (1 - r) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS wilson FROM t, cp""")
 def false_answer_rate(spark, folder):
-    """Unanswerable questions that would be answered, with a Wilson bound."""
+    """Unanswerable questions that would be answered, with their bounds."""
     return _rounded(cal.false_answers(rows(spark, folder), TAU), "n", "errors")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ROWS}, s AS (SELECT slice, count(*) AS n, count(CASE WHEN label = 0 THEN 1 END) AS errors FROM u WHERE p >= {TAU} GROUP BY slice), {sql_upper_bound('s', 'slice')}
+SELECT s.slice, n, errors, round(upper, 6) AS upper FROM s JOIN cp ON cp.key IS NOT DISTINCT FROM s.slice""")
 def clopper_pearson_by_slice(spark, folder):
     """Clopper-Pearson bound of wrong answers per slice."""
     seen = cal.usable(rows(spark, folder)).where(F.col("p") >= TAU).groupBy("slice").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("errors"))
     return seen.withColumn("upper", F.round(cal.clopper_pearson_udf("errors", "n"), 6))
 
 
-@query(f"""{_CURVE}, k AS (SELECT *, coverage > 0 AND risk <= 0.3 AS fits FROM curve), m AS (SELECT max(coverage) AS best FROM k WHERE fits)
-SELECT round(tau, 6) AS tau, round(coverage, 6) AS coverage, round(risk, 6) AS risk, CAST(answered AS BIGINT) AS answered, CAST(errors AS BIGINT) AS errors
-FROM k, m WHERE (best IS NOT NULL AND fits AND coverage = best) OR (best IS NULL AND tau IS NULL)""")
+def _threshold_sql(budget: float) -> str:
+    return f"""{_CURVE.replace('WITH', 'WITH RECURSIVE', 1)}, k AS (SELECT *, coverage > 0 AND risk <= {budget} AS fits FROM curve), m AS (SELECT max(coverage) AS best FROM k WHERE fits),
+s AS (SELECT 1 AS one, tau, coverage, risk, answered AS n, errors FROM k, m WHERE (best IS NOT NULL AND fits AND coverage = best) OR (best IS NULL AND tau IS NULL)), {sql_upper_bound('s', 'one')}
+SELECT round(tau, 6) AS tau, round(coverage, 6) AS coverage, round(risk, 6) AS risk, CAST(n AS BIGINT) AS answered, CAST(errors AS BIGINT) AS errors, round(upper, 6) AS upper, coalesce(upper <= {budget}, false) AS guaranteed FROM s, cp"""
+
+
+@query(_threshold_sql(cal.RISK_BUDGET))
 def choose_threshold(spark, folder):
-    """Widest coverage within a risk budget of 0.3."""
-    return _rounded(cal.choose_threshold(cal.risk_coverage(rows(spark, folder)), 0.3), "answered", "errors")
+    """Widest coverage within the risk budget, with the bound of its risk; nothing is answered where no point keeps it."""
+    return _rounded(cal.choose_threshold(cal.risk_coverage(rows(spark, folder))), "answered", "errors", "guaranteed")
+
+
+@query(_threshold_sql(0.3))
+def choose_threshold_wide(spark, folder):
+    """The same within a budget of 0.3."""
+    return _rounded(cal.choose_threshold(cal.risk_coverage(rows(spark, folder)), 0.3), "answered", "errors", "guaranteed")
+
+
+_LABELS = f"""{GOLD_SQL}, {HITS_SQL}, hit AS (SELECT DISTINCT query_id FROM gold JOIN hits USING (query_id, page_id) WHERE rank <= 5),
+l AS (SELECT q.question_id AS query_id, hit.query_id IS NOT NULL AS gold_in_topk, CAST(coalesce(answerable, false) AND hit.query_id IS NOT NULL AS INTEGER) AS label
+      FROM (SELECT DISTINCT question_id, answerable FROM bench_questions) q LEFT JOIN hit ON hit.query_id = q.question_id)"""
+
+
+@query(f"WITH {_LABELS} SELECT query_id, gold_in_topk, label FROM l")
+def safe_to_answer(spark, folder):
+    """Whether each question is answerable with a gold page among its five best hits."""
+    questions = table(spark, folder, "bench_questions").select(F.col("question_id").alias("query_id"), "answerable").distinct()
+    return cal.safe_to_answer(questions, gold_pages(spark, folder), hit_list(spark, folder, limit=5))
+
+
+@query(f"""WITH human AS (SELECT DISTINCT question_id, answerable FROM bench_questions WHERE answerable AND coalesce(verification_kind, 'human') = 'human'),
+closed AS (SELECT DISTINCT question_id, answerable FROM bench_questions WHERE NOT answerable AND verification_status = 'verified')
+SELECT question_id, answerable, 'retrieval' AS source FROM human UNION ALL SELECT question_id, answerable, 'abstention' FROM closed""")
+def calibration_load(spark, folder):
+    """Questions to calibrate on from two sources: answerable ones that a human verified, unanswerable ones verified."""
+    q = table(spark, folder, "bench_questions")
+    human = q.where("answerable and coalesce(verification_kind, 'human') = 'human'").select("question_id", "answerable").distinct()
+    closed = q.where("not answerable and verification_status = 'verified'").select("question_id", "answerable").distinct()
+    return human.withColumn("source", F.lit("retrieval")).unionByName(closed.withColumn("source", F.lit("abstention")))
+
+
+@query(f"""{_FALSE}, b AS (SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(label) AS accuracy, avg(p) AS confidence FROM u GROUP BY 1),
+v AS (SELECT p, count(*) AS n, sum(label) AS pos FROM u GROUP BY p),
+x AS (SELECT *, coalesce(sum(n - pos) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v),
+c AS (SELECT p AS tau, sum(n) OVER w AS answered, sum(n - pos) OVER w AS errors FROM v WINDOW w AS (ORDER BY p DESC) UNION ALL SELECT NULL, 0, 0),
+curve AS (SELECT answered / total AS coverage, CASE WHEN answered = 0 THEN 0 ELSE errors / answered END AS risk FROM c, (SELECT sum(n) AS total FROM v)),
+h AS (SELECT coverage - lag(coverage) OVER w AS dx, (risk + lag(risk) OVER w) / 2 AS h FROM curve WINDOW w AS (ORDER BY coverage)),
+a AS (SELECT 1 AS one, count(CASE WHEN p >= {TAU} THEN 1 END) AS n, count(CASE WHEN p >= {TAU} AND label = 0 THEN 1 END) AS errors, count(*) AS total, avg((p - label) * (p - label)) AS brier,
+      count(CASE WHEN p < {TAU} AND label = 0 THEN 1 END) AS held_wrong, count(CASE WHEN label = 0 THEN 1 END) AS wrong FROM u), {sql_upper_bound('a', 'one', 'risk_cp')}
+SELECT total AS n, round(brier, 6) AS brier, round((SELECT sum(n * abs(accuracy - confidence)) / sum(n) FROM b), 6) AS ece,
+(SELECT CAST(sum(pos) AS BIGINT) FROM x) AS positives, (SELECT CAST(sum(n - pos) AS BIGINT) FROM x) AS negatives,
+round((SELECT sum(pos * (below + (n - pos) / 2)) / nullif(sum(pos) * sum(n - pos), 0) FROM x), 6) AS auroc, round((SELECT sum(dx * h) FROM h), 6) AS aurc,
+a.n AS answered, a.errors, round(held_wrong / nullif(total - a.n, 0), 6) AS abstain_precision, round(held_wrong / nullif(wrong, 0), 6) AS abstain_recall,
+round(s.errors / nullif(s.n, 0), 6) AS false_answer_rate, round(cp.upper, 6) AS false_answer_upper, round(a.n / total, 6) AS coverage,
+round(a.errors / nullif(a.n, 0), 6) AS risk, round(risk_cp.upper, 6) AS risk_upper FROM a, s, cp, risk_cp""")
+def calibration_report(spark, folder):
+    """All calibration statistics in one row."""
+    return _rounded(cal.calibration_report(rows(spark, folder), TAU), "n", "positives", "negatives", "answered", "errors")
 
 
 _LONG = """WITH l AS (SELECT label, unnest(map_entries(features)) AS e FROM calibration_rows WHERE features IS NOT NULL),

@@ -36,12 +36,11 @@ def latency_nearest_rank(spark, folder):
 @query(f"WITH {_E} SELECT endpoint, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95 FROM e WHERE ms IS NOT NULL GROUP BY endpoint")
 def latency_interpolated(spark, folder):
     """Interpolated percentiles per endpoint."""
-    ms = ev.duration(F.col("total_ms"))
-    rows = _clean(spark, folder).select("endpoint", ms.alias("ms")).where("ms is not null")
-    return rows.groupBy("endpoint").agg(F.round(F.percentile("ms", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95"))
+    out = ev.latency_interpolated(_clean(spark, folder))
+    return out.select("endpoint", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
-@query(f"""WITH {_E}, r AS (SELECT * FROM e ORDER BY id DESC LIMIT {ev.RECENT}) SELECT count(*) AS n, min(id) AS first_id, quantile_disc(ms, 0.95) AS p95 FROM r""")
+@query(f"""WITH {_E}, r AS (SELECT * FROM e WHERE status <> 'rejected' ORDER BY id DESC LIMIT {ev.RECENT}) SELECT count(*) AS n, min(id) AS first_id, quantile_disc(ms, 0.95) AS p95 FROM r""")
 def recent_p95(spark, folder):
     """95th percentile over the last ten thousand requests."""
     rows = ev.recent_rows(_clean(spark, folder)).select("id", ev.duration(F.col("total_ms")).alias("v"))
@@ -120,13 +119,13 @@ def abstain_reasons(spark, folder):
     return ev.abstain_counts(_clean(spark, folder))
 
 
-@query(f"""WITH {_E}, d AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(CASE WHEN abstained THEN 1 END) AS a, count(abstained) AS n, count(CASE WHEN honest_miss THEN 1 END) AS h, count(honest_miss) AS hn FROM e GROUP BY 1)
+@query(f"""WITH {_E}, d AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(CASE WHEN abstained THEN 1 END) AS a, count(abstained) AS n, count(CASE WHEN honest_miss THEN 1 END) AS h, count(honest_miss) AS hn FROM e WHERE endpoint = '/ask' GROUP BY 1)
 SELECT day, round(a / nullif(n, 0), 6) AS abstain_rate, round(h / nullif(hn, 0), 6) AS honest_miss_rate FROM d""")
 def daily_ratios(spark, folder):
-    """Daily abstain and honest-miss rates; a day without any has null."""
+    """Daily abstain and honest-miss rates of answers; a day without any has null."""
     rate = lambda c: F.round(F.count_if(c) / F.nullif(F.count(c), F.lit(0)), 6)
     day = F.floor(F.unix_seconds("ts") / 86400).alias("day")
-    return _clean(spark, folder).groupBy(day).agg(rate("abstained").alias("abstain_rate"), rate("honest_miss").alias("honest_miss_rate"))
+    return _clean(spark, folder).where("endpoint = '/ask'").groupBy(day).agg(rate("abstained").alias("abstain_rate"), rate("honest_miss").alias("honest_miss_rate"))
 
 
 @query(f"""WITH {_E} SELECT pipeline, count(*) AS n, round(avg(CAST(json_extract_string(detail, '$.stages.text_bm25') AS DOUBLE)), 6) AS bm25_ms,

@@ -66,3 +66,15 @@ def hit_list(spark: SparkSession, folder: str, score: str = "score", limit: int
     rows = table(spark, folder, "page_hits").where(F.col(score).isNotNull() & ~F.isnan(score) & F.col("query_id").isNotNull() & F.col("page_id").isNotNull())
     best = rows.groupBy("query_id", "page_id").agg(F.max(score).alias("score"))
     return rank_pages(best, limit).select("query_id", "page_id", "rank")
+
+
+def sql_upper_bound(source: str, key: str, name: str = "cp", alpha: float = 0.05) -> str:
+    """CTEs that end in ``name`` (key, upper): the Clopper-Pearson bound of ``errors`` in ``n`` of every row of ``source``."""
+    return f"""{name}_steps AS (
+    SELECT {key} AS key, CAST(errors AS BIGINT) AS k, CAST(n AS BIGINT) AS n, 0 AS i, errors / n AS lo, CAST(1 AS DOUBLE) AS hi FROM {source} WHERE errors > 0 AND errors < n
+    UNION ALL SELECT key, k, n, i + 1, CASE WHEN cdf > {alpha} THEN mid ELSE lo END, CASE WHEN cdf > {alpha} THEN hi ELSE mid END
+    FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2)))) AS cdf
+          FROM {name}_steps WHERE i < 50)),
+{name} AS (
+    SELECT t.{key} AS key, CASE WHEN t.n = 0 THEN NULL WHEN t.errors = t.n THEN 1 WHEN t.errors = 0 THEN 1 - pow({alpha}, 1.0 / t.n) ELSE (s.lo + s.hi) / 2 END AS upper
+    FROM {source} t LEFT JOIN (SELECT * FROM {name}_steps WHERE i = 50) s ON s.key IS NOT DISTINCT FROM t.{key})"""

@@ -213,12 +213,14 @@ def test_structure(spark):
 
 
 def test_chunks_cover_every_page():
-    pages = [(8, "V. Yerleşim yeri\n1. Tanım\nMadde 17- Uzun madde"), (9, "devamı burada"), (10, "Madde 18- Kısa")]
-    chunks = structure.chunk_pages("k213", pages)
-    assert chunks[0][:3] == ("k213:m17", "article", "V. Yerleşim yeri / 1. Tanım")
-    assert chunks[0][4] == ["k213:8", "k213:9"]
-    annex = structure.chunk_pages("k492", [(1, "Madde 1- x"), (2, "(1) SAYILI TARİFE"), (3, "satır")])
-    assert [c[0] for c in annex] == ["k492:m1", "k492:p2", "k492:p3"]
+    pages = [(3, "B. Depo\n2. Kapasite\nMadde 41- Depo sahibi kayıt tutar"), (4, "ve kayıtları saklar."), (5, "Madde 42- Ceza"), (6, "Cümle biter.\nMadde 43- Son")]
+    chunks = structure.chunk_pages("d7", pages)
+    assert chunks[0][:3] == ("d7:m41", "article", "B. Depo / 2. Kapasite") and chunks[0][4] == ["d7:3", "d7:4"]
+    assert [c[2] for c in chunks[1:]] == ["", ""]  # a line that ends with a point is body text
+    annex = structure.chunk_pages("d8", [(1, "Madde 5- a"), (2, "(3) SAYILI CETVEL"), (3, "sıra no")])
+    assert [c[0] for c in annex] == ["d8:m5", "d8:p2", "d8:p3"]
+    note = "1  2/3/2001 tarihli ve 9 sayılı\nmaddesiyle değiştirilmiştir\nMadde 6- b"
+    assert structure.chunk_pages("d9", [(1, note)])[0][3] == "Madde 6- b"
     rng = random.Random(1)
     for _ in range(200):
         pages = [(i + 1, "\n".join(rng.choice(["Madde 3- a", "metin", "", "EKLİ CETVEL"]) for _ in range(rng.randrange(1, 5)))) for i in range(rng.randrange(1, 12))]
@@ -226,22 +228,59 @@ def test_chunks_cover_every_page():
         assert seen == {f"d:{no}" for no, _ in pages}
 
 
-def test_claims():
-    texts = lambda s: [c[1] for c in structure.claims_of(s)]
-    assert len(texts("Bkz. TMK m. 19 uyarınca yerleşim yeri tektir.")) == 1
-    assert len(texts("Ücret 2.806,50 TL olarak belirlenmiştir.")) == 1
-    assert len(texts("Bu husus 320. maddesinde açıkça düzenlenmiştir.")) == 1
-    assert len(texts("Kural budur. Ancak. İstisna 320. maddededir.")) == 2
-    assert structure.claims_of("Kural şudur ve uygulanır [S2] [S4].")[0][2] == [2, 4]
-    rows = structure.claims_of("Birinci cümle burada [S1].\nİkinci cümle kaynaksızdır.\nÜçüncü cümle burada [S2].\nDördüncü cümle kaynaksızdır.")
-    assert [(c[2], c[3]) for c in rows] == [([1], False), ([1], True), ([2], False), ([2], True)]
-    assert len(structure.claims_of("Şunlar gerekir:\n- Birinci belge aslı\n- İkinci belge sureti")) == 3
-    assert structure.claims_of(None) == [] and structure.claims_of(" \n\n ") == []
+def test_claims(spark):
+    texts = [
+        "Depo kirası s. 14 gereğince peşin ödenir.",
+        "Harç 1.250,75 TL tutarındadır. Makbuz hemen verilir.",
+        "Başvuru 12. Maddeye göre yapılır.",
+        "Süre on gündür. Kısaca. Uzatma ayrıca istenir.",
+        "Evet. Depo sahibi kayıt tutmak zorundadır.",
+        "Kayıtlar saklanır ve gösterilir [S3] [S1].",
+        "İlk kural kayıttır (bkz. [S1]). İkinci kural saklamadır.\n\nÜçüncü kural ayrı paragraftadır.\nDördüncü kural [S2] gösterilir. Son kural da böyledir.",
+        "Gerekli belgeler şunlardır:\n- Depo sözleşmesinin aslı\n2) Kimlik belgesinin sureti",
+        "[S1] [S2] ...", None, " \n\n ",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("claim", F.lit(1))
+    got = {}
+    for r in structure.segment_claims(df, "id", "t").orderBy("id", "claim_no").collect():
+        got.setdefault(r["id"], []).append((r["claim_no"], r["claim"], r["sources"], r["inherited"]))
+    assert {i: [c[1] for c in rows] for i, rows in got.items()} == {
+        0: ["Depo kirası s. 14 gereğince peşin ödenir."],
+        1: ["Harç 1.250,75 TL tutarındadır.", "Makbuz hemen verilir."],
+        2: ["Başvuru 12. Maddeye göre yapılır."],
+        3: ["Süre on gündür. Kısaca.", "Uzatma ayrıca istenir."],
+        4: ["Evet. Depo sahibi kayıt tutmak zorundadır."],
+        5: ["Kayıtlar saklanır ve gösterilir."],
+        6: ["İlk kural kayıttır (bkz.).", "İkinci kural saklamadır.", "Üçüncü kural ayrı paragraftadır.", "Dördüncü kural gösterilir.", "Son kural da böyledir."],
+        7: ["Gerekli belgeler şunlardır:", "- Depo sözleşmesinin aslı", "2) Kimlik belgesinin sureti"],
+    }
+    assert [(n, s, i) for n, _, s, i in got[6]] == [(1, [1], False), (2, [1], True), (3, [], False), (4, [2], False), (5, [2], True)]
+    assert got[5][0][2] == [1, 3]
+
+
+def test_verdicts_of_replies(spark):
+    replies = {
+        '{"verdict": "SUPPORTED"}': ("supported", True), "verdict: supported": ("supported", True), '```json\n[{"verdict": "Unsupported"}]\n```': ("unsupported", True),
+        "supported": ("belirsiz", False), '{"verdict": "maybe"}': ("belirsiz", False), "'verdict' = 'belirsiz'": ("belirsiz", True), "": ("belirsiz", False),
+    }
+    df = spark.createDataFrame([(r,) for r in replies] + [(None,)], "raw string")
+    got = {r["raw"]: tuple(r["v"]) for r in df.select("raw", tx.parse_verdict(F.col("raw")).alias("v")).collect()}
+    assert got == replies | {None: ("belirsiz", False)}
+    assert _one(spark, tx.without_markers(F.col("t")), t=("string", "Kural (bkz. [S1]) «böyle [S2]» olur [S3].")) == "Kural (bkz.) «böyle» olur."
+
+
+def test_answer_metrics(spark):
+    answers = [("a", True, "answered", False), ("b", False, "answered", False), ("c", False, "answered", True), ("d", False, "abstained", False), ("e", False, "answered", None)]
+    claims = [("a", "supported", True), ("a", "unsupported", True), ("a", None, False), ("b", "supported", True), ("c", "supported", True)]
+    got = answering.answer_metrics(spark.createDataFrame(answers, "answer_id string, answerable boolean, status string, honest_miss boolean"), spark.createDataFrame(claims, "answer_id string, verdict string, cited boolean")).first()
+    assert (got["citation_precision"], got["completeness"], got["false_supported_rate"]) == (0.75, 0.8, 0.25)
+    assert got["false_supported_upper"] == pytest.approx(calibration.clopper_pearson(1, 4)) and got["precision_lower"] == pytest.approx(1 - calibration.clopper_pearson(1, 4))
 
 
 def test_gates(spark):
     claims = spark.createDataFrame([("a", "supported"), ("a", None), ("b", "supported")], "answer_id string, verdict string")
-    assert {r["answer_id"]: r["demoted"] for r in answering.evidence_gate(claims).collect()} == {"a": True, "b": False}
+    answers = spark.createDataFrame([("a",), ("b",), ("c",)], "answer_id string")
+    assert {r["answer_id"]: r["demoted"] for r in answering.evidence_gate(answers, claims).collect()} == {"a": True, "b": False, "c": True}
     reason = answering.abstain_reason(F.col("s"), F.col("a"), F.col("d"))
     ask = lambda s, a, d: _one(spark, reason, s=("string", s), a=("boolean", a), d=("string", d))
     assert ask("degraded", None, None) == "degraded"
