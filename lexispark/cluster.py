@@ -79,6 +79,23 @@ def spread_lookup(
     return left.join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
+def distinct_rows(df: DataFrame, keys: Sequence[str], wide: str) -> DataFrame:
+    """``df`` with repeated rows of equal ``keys`` and ``wide`` dropped; other columns are those of one of them.
+
+    Only keys and hashes are shuffled to find what stands more than once; the long texts in ``wide`` leave the scan only
+    for those few rows.  Null keys and texts are values like any other.
+    """
+    rows = df.withColumn("_hash", F.sha2(F.coalesce(F.col(wide).cast("string"), F.lit("\0")), 256))
+    by = [*keys, "_hash"]
+    more = rows.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)])
+    more = broadcast_if_small(checkpointed(more))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    once = rows.join(more, same, "left_anti")
+    return once.unionByName(rows.join(more, same, "left_semi").dropDuplicates(by)).drop("_hash")
+
+
 def running_sums(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], values: Sequence[str], partitions: int | None = None
 ) -> DataFrame:

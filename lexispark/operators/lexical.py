@@ -6,12 +6,12 @@ distinct keys).  Equal scores go by page id in code-point order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.cluster import broadcast_if_small, checkpointed
-from lexispark.functions.text import GENERIC_NAME_TOKENS, page_doc, tokenize
+from lexispark.cluster import BROADCAST_ROWS, broadcast_if_small, checkpointed, spread_lookup
+from lexispark.functions.text import GENERIC_NAME_TOKENS, TITLE_KEYWORDS, TITLE_LINE, page_doc, page_number, tokenize
 
 # BM25 parameters, cap of repeated query terms, routing window, score floor.
 K1, B = 1.5, 0.75
@@ -69,13 +69,17 @@ def bm25_scores(lists: DataFrame, terms: DataFrame) -> DataFrame:
     index = postings(lists, terms)
     stats = corpus_stats(index.where(F.col("token") == _PAGE))
     tf = index.where(F.col("token") != _PAGE)
-    idf = _with_idf(tf.groupBy("token").agg(F.count("*").alias("df")), stats)
+    counts = checkpointed(tf.groupBy("token").agg(F.count("*").alias("df")))
+    idf = _with_idf(counts, stats)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = broadcast_if_small(checkpointed(terms.join(idf, "token")))
+    weighted = checkpointed(terms.join(idf, "token"))
+    pages = tf.join(F.broadcast(stats), how="left")  # one row
+    if weighted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        both = pages.join(F.broadcast(weighted), "token")
+    else:  # a frequent token's pages are spread over as many tasks as they need
+        both = spread_lookup(pages, weighted, ["token"], ["page_id"], counts.withColumnRenamed("df", "n"))
     return (
-        tf.join(F.broadcast(stats), how="left")  # one row
-        .join(weighted, "token")
-        .groupBy("query_id", "page_id")
+        both.groupBy("query_id", "page_id")
         .agg(F.sum(F.col("qtf") * F.col("idf") * weight).alias("score"), F.count("*").alias("matched"))
     )
 
@@ -108,6 +112,26 @@ def name_tokens(docs: DataFrame, doc_id: str = "doc_id", name: str = "doc_name")
     return docs.select(F.col(doc_id).alias("doc_id"), names.alias("names")).where(F.size("names") > 0).distinct()
 
 
+def title_line(text: Column) -> Column:
+    """The longest line of capitals that names a law, the first of several as long; null if there is none."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    named = lambda x: F.contains(x, F.lit(TITLE_KEYWORDS[0])) | F.contains(x, F.lit(TITLE_KEYWORDS[1]))
+    titles = F.filter(lines, lambda x: x.rlike(TITLE_LINE) & named(x))
+    return F.aggregate(titles, F.lit(None).cast("string"), lambda best, x: F.when(F.length(x) > F.coalesce(F.length(best), F.lit(0)), x).otherwise(best))
+
+
+def title_names(pages: DataFrame, first_only: bool = True) -> DataFrame:
+    """``doc_id``, ``names``: tokens of the title on a document's first page (or on any), without generic ones.
+
+    ``pages`` has ``page_id`` and ``text``.  Documents without a title or with generic words only are left out; of several
+    titles the longest counts, then the first in code-point order.
+    """
+    rows = pages.where(page_number(F.col("page_id")) == 1) if first_only else pages
+    titles = rows.select(page_doc(F.col("page_id")).alias("doc_id"), title_line(F.col("text")).alias("title")).where("title is not null")
+    best = titles.groupBy("doc_id").agg(F.min_by("title", F.struct(-F.length("title"), "title")).alias("title"))
+    return name_tokens(best, "doc_id", "title")
+
+
 def routed_docs(names: DataFrame, terms: DataFrame) -> DataFrame:
     """``query_id``, ``doc_id`` where all name tokens stand in the query: a relational division, not a cross join."""
     owned = names.select("doc_id", F.size("names").alias("need"), F.explode("names").alias("token"))
@@ -137,10 +161,11 @@ def route_window(ranked: DataFrame, routed: DataFrame, window: int = ROUTE_WINDO
     return rows.withColumn("new_rank", place)
 
 
-def confidence_features(scores: DataFrame, routed: DataFrame, terms: DataFrame) -> DataFrame:
+def confidence_features(scores: DataFrame, routed: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
     """One row a query: best score, margin to the second, terms matched by the best page, their share, routed or not.
 
-    ``scores`` holds at least the two best pages of a query.  Queries without any match get zeros.
+    ``scores`` holds at least the two best pages of a query.  Queries without any match get zeros, and so do those of
+    ``queries`` that have no token.
     """
     best = scores if "rank" in scores.columns else rank_pages(scores, 2)
     top = best.where("rank <= 2").groupBy("query_id").agg(
@@ -148,7 +173,8 @@ def confidence_features(scores: DataFrame, routed: DataFrame, terms: DataFrame)
         F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"),
         F.max(F.when(F.col("rank") == 1, F.col("matched"))).alias("matched_terms_top1"),
     )
-    size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    asked = queries.select("query_id").where("query_id is not null").distinct()
+    size = asked.join(terms.groupBy("query_id").agg(F.count("*").alias("n_terms")), "query_id", "left")
     hit = routed.select("query_id").distinct().withColumn("_routed", F.lit(1))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (
@@ -159,7 +185,7 @@ def confidence_features(scores: DataFrame, routed: DataFrame, terms: DataFrame)
             # a single match has no margin
             F.when(F.col("second").isNull(), F.lit(0.0)).otherwise(F.col("served_top1") - F.col("second")).alias("bm25_margin"),
             zero("matched_terms_top1").alias("matched_terms_top1"),
-            (zero("matched_terms_top1") / F.col("n_terms")).alias("matched_frac"),
+            F.coalesce(zero("matched_terms_top1") / F.col("n_terms"), F.lit(0.0)).alias("matched_frac"),
             zero("_routed").alias("routed"),
         )
     )

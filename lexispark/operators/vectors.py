@@ -35,14 +35,27 @@ def norm(a: Column) -> Column:
 
 
 def sign_bits(vec: Column) -> Column:
-    """Up to 64 signs as the bits of a long, the first element in the highest place."""
-    return F.aggregate(vec, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR((x > 0).cast("long")))
+    """Up to 64 signs as the bits of a long, the first element in the highest place; a longer vector raises an error."""
+    bits = F.aggregate(vec, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR((x > 0).cast("long")))
+    return F.when(F.size(vec) > 64, F.raise_error(F.lit("more than 64 elements: use sign_words")).cast("long")).otherwise(bits)
+
+
+def sign_words(vec: Column) -> Column:
+    """Signs of a vector of any width as longs of 64 bits each; the last one holds what is left."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(vec), F.lit(1)), F.lit(64))
+    return F.when(F.size(vec) > 0, F.transform(starts, lambda at: sign_bits(F.slice(vec, at, 64))))
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def hamming_words(a: Column, b: Column) -> Column:
+    """Bits in which two arrays of longs differ; null if they are not of one length."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), both)
+
+
 def int8_scale(vec: Column) -> Column:
     """Scale of int8 codes: the largest magnitude over 127, at least 1e-8."""
     return F.greatest(F.array_max(F.transform(vec, lambda x: F.abs(x.cast("double")))) / INT8_MAX, F.lit(MIN_SCALE))
@@ -54,79 +67,125 @@ def int8_codes(vec: Column, scale: Column) -> Column:
     return F.transform(vec, lambda x: F.greatest(F.least(code(x), F.lit(float(INT8_MAX))), F.lit(-float(INT8_MAX))).cast("tinyint"))
 
 
+def mean_vectors(tokens: DataFrame) -> DataFrame:
+    """``page_id``, ``vec``: the mean vector of a page, each element rounded to twelve places so that the order of the sum
+    doesn't matter; a page without vectors has none."""
+    cells = tokens.where("vec is not null").select("page_id", F.posexplode("vec").alias("i", "x"))
+    means = cells.groupBy("page_id", "i").agg(F.round(F.avg(F.col("x").cast("double")), 12).alias("m"))
+    rows = means.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))  # as many as a vector is wide
+    return rows.select("page_id", F.transform("v", lambda s: s["m"]).alias("vec"))
+
+
 def mean_sign_vectors(tokens: DataFrame) -> DataFrame:
     """``page_id``, ``bits``: signs of the mean vector of a page."""
-    cells = tokens.where("vec is not null").select("page_id", F.posexplode("vec").alias("i", "x"))
-    means = cells.groupBy("page_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    rows = means.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
-    return rows.select("page_id", sign_bits(F.transform("v", lambda s: s["m"])).alias("bits"))
+    return mean_vectors(tokens).select("page_id", sign_bits(F.col("vec")).alias("bits"))
 
 
-def dense_top(pages: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """``query_id``, ``page_id``, ``score``, ``rank``: best cosine neighbours of each query vector.
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list()).astype(np.float64)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+
+def _codes(m: np.ndarray) -> np.ndarray:
+    """What int8 codes give back: rounded half to even, clipped, scaled again."""
+    scale = np.maximum(np.abs(m).max(axis=1, keepdims=True) / INT8_MAX, MIN_SCALE)
+    return np.clip(np.rint(m / scale), -INT8_MAX, INT8_MAX) * scale
+
+
+def _signs(m: np.ndarray) -> np.ndarray:
+    return np.where(m > 0, 1.0, -1.0)
+
+
+#: What is done to query vectors and to page vectors before their products are taken.
+REPRESENTATIONS = {"float": (lambda m: m, lambda m: m), "cosine": (_unit, _unit), "int8": (lambda m: m, _codes), "binary": (_signs, _signs)}
+
+
+def _blocks(queries: DataFrame, score) -> DataFrame:
+    """The union of ``score(block)`` over blocks of the query set.
 
-    The query set is scored in blocks against all pages; each Arrow batch keeps the ``limit`` best pages of a query, so
-    what is shuffled grows with batches, not with pairs.
+    A stated query set meets all pages block by block: never more than a block of ``QUERY_BLOCK`` vectors is on the driver
+    or in a task, and with several blocks each one's result is written before the next is taken.
     """
-    spark = pages.sparkSession
-    asked = queries.where("vec is not null").select("query_id", "vec").orderBy("query_id").toPandas()
-    kinds = {c: pages.schema["page_id"].dataType.simpleString() if c == "page_id" else queries.schema["query_id"].dataType.simpleString() for c in ("query_id", "page_id")}
-    schema = f"query_id {kinds['query_id']}, page_id {kinds['page_id']}, score double"
+    asked = queries.where("vec is not null")
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return score(asked.toPandas())
+    asked = checkpointed(asked.repartitionByRange(blocks, "query_id").withColumn("_block", F.spark_partition_id()))
     parts = []
-    for at in range(0, len(asked), QUERY_BLOCK):
-        block = asked.iloc[at : at + QUERY_BLOCK]
-        ids = block["query_id"].to_numpy()
-        q = np.stack(block["vec"].to_list()).astype(np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
+    for block in range(blocks):
+        rows = asked.where(F.col("_block") == block).drop("_block").toPandas()
+        parts += [checkpointed(score(rows.iloc[at : at + QUERY_BLOCK])) for at in range(0, len(rows), QUERY_BLOCK)]
+    return reduce(DataFrame.unionByName, parts)
 
-        def run(batches: Iterator[pd.DataFrame], q=q, ids=ids) -> Iterator[pd.DataFrame]:
+
+def nearest(pages: DataFrame, queries: DataFrame, limit: int, kind: str = "cosine") -> DataFrame:
+    """``query_id``, ``page_id``, ``score``, ``rank``: the ``limit`` pages with the largest product to each query vector.
+
+    Each Arrow batch is one matrix product and keeps the ``limit`` best pages of a query, so what is shuffled grows with
+    batches, not with pairs.
+    """
+    of_query, of_page = REPRESENTATIONS[kind]
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (pages, "page_id"))}
+    schema = f"query_id {types['query_id']}, page_id {types['page_id']}, score double"
+
+    def score(block: pd.DataFrame) -> DataFrame:
+        ids, q = block["query_id"].to_numpy(), of_query(_matrix(block["vec"])) if len(block) else None
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if not len(batch):
+                if not len(batch) or not len(ids):
                     continue
-                m = np.stack(batch["vec"].to_list()).astype(np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
                 names = batch["page_id"].to_numpy()
                 order = np.argsort(names, kind="stable")
-                sims = np.round(q @ m[order].T, 9)
+                sims = np.round(q @ of_page(_matrix(batch["vec"]))[order].T, 9)
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :limit]
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(ids, top.shape[1]),
-                        "page_id": names[order][top.ravel()],
-                        "score": np.take_along_axis(sims, top, 1).ravel(),
-                    }
-                )
+                best = np.take_along_axis(sims, top, 1)
+                yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "page_id": names[order][top.ravel()], "score": best.ravel()})
+
+        return pages.where("vec is not null").select("page_id", "vec").mapInPandas(run, schema)
 
-        parts.append(pages.where("vec is not null").select("page_id", "vec").mapInPandas(run, schema))
-    if not parts:
-        return spark.createDataFrame([], f"{schema}, rank int")
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id"))
-    return both.withColumn("rank", place).where(F.col("rank") <= limit)
+    return _blocks(queries.select("query_id", "vec"), score).withColumn("rank", place).where(F.col("rank") <= limit)
 
 
-def maxsim(tokens: DataFrame, queries: DataFrame, similarity) -> DataFrame:
-    """``query_id``, ``page_id``, ``total``, ``n_query``: sum over query tokens of the best page token.
+def dense_top(pages: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """``query_id``, ``page_id``, ``score``, ``rank``: best cosine neighbours of each query vector."""
+    return nearest(pages, queries, limit, "cosine")
+
 
-    ``similarity`` is a function of the two vector columns.  A stated set of query tokens meets all page tokens; the best
-    match of a query token within a page is found before anything is shuffled by query.
+def maxsim(tokens: DataFrame, queries: DataFrame, kind: str = "float") -> DataFrame:
+    """``query_id``, ``page_id``, ``total``, ``n_query``: sum over query tokens of the best page token, by ``kind`` of
+    representation (float, int8 or binary).
+
+    A batch of page tokens meets a block of query tokens in one matrix product; of each page in the batch only the best
+    token for each query token leaves it.
     """
-    asked = queries.where("vec is not null").select("query_id", F.col("token_pos").alias("q_pos"), F.col("vec").alias("q_vec"))
-    # page tokens meet one array per query, not one row per pair
-    packed = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("q_pos", "q_vec"))).alias("qs"))
-    packed = checkpointed(packed)
-    blocks = max(1, -(-packed.count() // QUERY_BLOCK))
-    pages = tokens.where("vec is not null").select("page_id", "vec")
-    parts = [
-        pages.join(F.broadcast(packed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), how="inner").select(
-            "query_id", "page_id", F.posexplode(F.transform("qs", lambda s: similarity(s["q_vec"], F.col("vec")))).alias("i", "s")
-        )
-        for i in range(blocks)
-    ]
+    of_query, of_page = REPRESENTATIONS[kind]
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (tokens, "page_id"))}
+    schema = f"query_id {types['query_id']}, i long, page_id {types['page_id']}, s double"
+
+    def score(block: pd.DataFrame) -> DataFrame:
+        ids, at = block["query_id"].to_numpy(), block["token_pos"].to_numpy()
+        q = of_query(_matrix(block["vec"])) if len(block) else None
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch) or not len(ids):
+                    continue
+                names, first = np.unique(np.sort(batch["page_id"].to_numpy()), return_index=True)
+                order = np.argsort(batch["page_id"].to_numpy(), kind="stable")
+                best = np.maximum.reduceat(q @ of_page(_matrix(batch["vec"]))[order].T, first, axis=1)
+                yield pd.DataFrame(
+                    {"query_id": np.repeat(ids, len(names)), "i": np.repeat(at, len(names)).astype("int64"), "page_id": np.tile(names, len(ids)), "s": best.ravel()}
+                )
+
+        return tokens.where("vec is not null and page_id is not null").select("page_id", "vec").mapInPandas(run, schema)
+
     return (
-        reduce(DataFrame.unionByName, parts)
+        _blocks(queries.select("query_id", "token_pos", "vec"), score)
         .groupBy("query_id", "page_id", "i")
         .agg(F.max("s").alias("s"))
         .groupBy("query_id", "page_id")
@@ -136,18 +195,19 @@ def maxsim(tokens: DataFrame, queries: DataFrame, similarity) -> DataFrame:
 
 def two_stage(tokens: DataFrame, queries: DataFrame, limit: int, first: int = STAGE1) -> DataFrame:
     """``query_id``, ``page_id``, ``score``, ``rank``: the ``first`` nearest pages of each query by Hamming distance to
-    the signs of their mean vectors, of those the ``limit`` best by exact MaxSim.
+    the signs of their mean vectors, of those the ``limit`` best by exact MaxSim on sign bits.
 
-    Queries hold one vector each.  A page beyond the first stage is lost however close its best token is.
+    Queries hold one vector each; of vectors up to 64 wide.  A page beyond the first stage is lost however close its best
+    token is.
     """
     from lexispark.operators.lexical import rank_pages
 
-    means = mean_sign_vectors(tokens).select("page_id", F.col("bits").alias("vec"))
-    near = maxsim(means, queries.withColumn("vec", sign_bits(F.col("vec"))), lambda a, b: -hamming(a, b))
-    stage1 = rank_pages(near.withColumn("score", F.col("total")), first).select("query_id", "page_id")
-    pairs = stage1.join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(tokens, "page_id")
-    exact = pairs.groupBy("query_id", "page_id").agg(F.max(dot(F.col("q"), F.col("vec"))).alias("score"))
-    return rank_pages(exact, limit)
+    stage1 = nearest(mean_vectors(tokens), queries, first, "binary").select("query_id", "page_id")
+    asked = queries.select("query_id", sign_bits(F.col("vec")).alias("_q"), F.size("vec").alias("_w"))
+    own = tokens.where("vec is not null").select("page_id", sign_bits(F.col("vec")).alias("_t")).distinct()  # one product each
+    pairs = stage1.join(asked, "query_id").join(own, "page_id")
+    best = pairs.groupBy("query_id", "page_id").agg(F.max(F.col("_w") - 2 * hamming(F.col("_q"), F.col("_t"))).cast("double").alias("score"))
+    return rank_pages(best, limit)
 
 
 def late_ranking(scores: DataFrame, score: str = "total") -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lexispark.cluster import checkpointed
 from lexispark.functions.text import page_doc
-from lexispark.operators import lexical
+from lexispark.operators import lexical, lists
 from lexispark.plans.registry import query
-from lexispark.plans.views import QUESTIONS_SQL, UNITS_SQL, search_questions, sql_tokens, units
+from lexispark.plans.views import HITS_SQL, QUESTIONS_SQL, UNITS_SQL, VISUAL_SQL, hit_list, search_questions, sql_tokens, units
 from lexispark.sources.tables import table
 
 _TERMS = f"""qt AS (SELECT query_id, token, least(count(*), {lexical.QUERY_TERM_CAP}) AS qtf
@@ -71,8 +71,8 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 SELECT query_id, page_id, rank, round(score, 6) AS score FROM placed WHERE rank <= 10""")
 def bm25_top10(spark, folder):
     """The ten best chunks of every query of the query set; chunks without a match fill up with score 0."""
-    lists, terms, questions = _inputs(spark, folder)
-    return lexical.bm25_top(lists, terms, questions, 10).select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
+    units_, terms, questions = _inputs(spark, folder)
+    return lexical.bm25_top(units_, terms, questions, 10).select("query_id", "page_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH names AS (SELECT DISTINCT doc_id, unnest(list_distinct(list_filter({sql_tokens('doc_name')}, lambda w: w NOT IN ('kanun', 'türk', 'türki', 'cumhu')))) AS token FROM manifest)
@@ -98,8 +98,8 @@ moved AS (
 
 
 def _moved(spark, folder):
-    lists, terms, _ = _inputs(spark, folder)
-    ranked = checkpointed(lexical.rank_pages(lexical.bm25_scores(lists, terms), 200))
+    units_, terms, _ = _inputs(spark, folder)
+    ranked = checkpointed(lexical.rank_pages(lexical.bm25_scores(units_, terms), 200))
     return lexical.route_window(ranked, _routed(spark, folder, terms))
 
 
@@ -146,8 +146,8 @@ SELECT query_id, page_id, new_rank AS hit_rank, round(score, 6) AS score, doc_na
 FROM moved LEFT JOIN meta ON meta.doc_id = split_part(page_id, ':', 1) WHERE new_rank <= 5""")
 def search_hybrid_filled(spark, folder):
     """The same search over all chunks: those without a match score 0 and fill the ranks by page id before routing."""
-    lists, terms, questions = _inputs(spark, folder)
-    ranked = checkpointed(lexical.bm25_top(lists, terms, questions, 200))
+    units_, terms, questions = _inputs(spark, folder)
+    ranked = checkpointed(lexical.bm25_top(units_, terms, questions, 200))
     return _served(lexical.route_window(ranked, _routed(spark, folder, terms)), spark, folder)
 
 
@@ -156,14 +156,96 @@ def search_hybrid_filled(spark, folder):
            max(CASE WHEN rank = 1 THEN matched END) AS m FROM ranked WHERE rank <= 2 GROUP BY query_id),
 size AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id)
 SELECT query_id, round(coalesce(s1, 0), 6) AS served_top1, round(CASE WHEN s2 IS NULL THEN 0 ELSE s1 - s2 END, 6) AS bm25_margin,
-       coalesce(m, 0) AS matched_terms_top1, round(coalesce(m, 0) / n, 6) AS matched_frac,
+       coalesce(m, 0) AS matched_terms_top1, round(coalesce(coalesce(m, 0) / n, 0), 6) AS matched_frac,
        CASE WHEN query_id IN (SELECT query_id FROM routed) THEN 1 ELSE 0 END AS routed
-FROM size LEFT JOIN top USING (query_id)""")
+FROM (SELECT DISTINCT query_id FROM qs) LEFT JOIN size USING (query_id) LEFT JOIN top USING (query_id)""")
 def confidence_features(spark, folder):
     """Five confidence features of every query of the query set."""
-    lists, terms, _ = _inputs(spark, folder)
-    out = lexical.confidence_features(checkpointed(lexical.rank_pages(lexical.bm25_scores(lists, terms), 2)), _routed(spark, folder, terms), terms)
+    units_, terms, questions = _inputs(spark, folder)
+    out = lexical.confidence_features(checkpointed(lexical.rank_pages(lexical.bm25_scores(units_, terms), 2)), _routed(spark, folder, terms), terms, questions)
     return out.select(
         "query_id", *[F.round(c, 6).alias(c) for c in ("served_top1", "bm25_margin")], "matched_terms_top1",
         F.round("matched_frac", 6).alias("matched_frac"), "routed",
     )
+
+
+# questions of the query set that name their gold document, so that routing has something to route
+_NAMED = """qs AS (SELECT q.question_id AS query_id, min(m.doc_name || ' ' || q.question) AS text
+    FROM bench_questions q JOIN manifest m ON m.doc_id = q.gold_doc_ids[1] WHERE CAST(substr(question_id, 2) AS BIGINT) % 20 = 0 AND m.doc_name IS NOT NULL AND q.question IS NOT NULL GROUP BY 1)"""
+
+
+def _named_questions(spark, folder):
+    rows = table(spark, folder, "bench_questions").where(F.substring("question_id", 2, 20).cast("long") % 20 == 0)
+    names = table(spark, folder, "manifest").where("doc_name is not null").select(F.col("doc_id").alias("_doc"), "doc_name")
+    asked = rows.where("question is not null").select("question_id", "question", F.get("gold_doc_ids", F.lit(0)).alias("_doc")).join(names, "_doc")
+    return asked.groupBy(F.col("question_id").alias("query_id")).agg(F.min(F.concat_ws(" ", "doc_name", "question")).alias("text"))
+
+
+@query(f"WITH {_NAMED}, {_TERMS}, {_ROUTED} SELECT query_id, doc_id FROM routed")
+def routed_named_documents(spark, folder):
+    """Documents whose whole name stands in a question that names its gold document."""
+    return _routed(spark, folder, lexical.query_terms(_named_questions(spark, folder))).distinct()
+
+
+@query(_WINDOW.replace(QUESTIONS_SQL, _NAMED) + " SELECT query_id, page_id, rank, new_rank, routed FROM moved")
+def route_window_named(spark, folder):
+    """Ranks before and after routing for questions that name their gold document."""
+    asked = _named_questions(spark, folder)
+    terms = checkpointed(lexical.query_terms(asked))
+    ranked = checkpointed(lexical.rank_pages(lexical.bm25_scores(lexical.token_lists(units(spark, folder)), terms), 200))
+    return lexical.route_window(ranked, _routed(spark, folder, terms)).select("query_id", "page_id", "rank", "new_rank", "routed")
+
+
+_TITLES = """lines AS (SELECT doc_id, trim(l, ' ' || chr(9) || chr(13)) AS title FROM (SELECT split_part(page_id, ':', 1) AS doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE page_id IS NOT NULL)),
+best AS (SELECT doc_id, arg_min(title, struct_pack(a := -length(title), b := title)) AS title FROM lines
+    WHERE regexp_full_match(title, '[A-ZÇĞİÖŞÜÂÎÛ0-9 ()''’.,;:-]{8,}') AND (contains(title, 'KANUN') OR contains(title, 'ANAYASA')) GROUP BY doc_id)"""
+
+
+@query(f"""WITH {_TITLES}, n AS (SELECT doc_id, unnest(list_distinct(list_filter({sql_tokens('title')}, lambda w: w NOT IN ('kanun', 'türk', 'türki', 'cumhu')))) AS token FROM best)
+SELECT doc_id, token FROM n""")
+def title_name_tokens(spark, folder):
+    """Name tokens of documents out of the title lines of their pages (of any page: few first pages are in the table)."""
+    pages = table(spark, folder, "documents").where("page_id is not null").select("page_id", "text")
+    return lexical.title_names(pages, first_only=False).select("doc_id", F.explode("names").alias("token"))
+
+
+def _page_scores(scores, spark, folder):
+    chunks = table(spark, folder, "chunks").where("chunk_id is not null").select("chunk_id", "page_ids")
+    return lists.chunks_to_pages(scores.withColumnRenamed("page_id", "chunk_id"), chunks)
+
+
+_FULL = f"""{_BM25}, {HITS_SQL}, {VISUAL_SQL}, {_ROUTED},
+on_page AS (SELECT query_id, pg.page_id, max(score) AS score FROM scores JOIN (SELECT DISTINCT chunk_id, unnest(page_ids) AS page_id FROM chunks WHERE chunk_id IS NOT NULL) pg ON pg.chunk_id = scores.page_id WHERE pg.page_id IS NOT NULL GROUP BY ALL),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS rank FROM on_page),
+moved AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank > {lexical.ROUTE_WINDOW} THEN 2 WHEN routed THEN 0 ELSE 1 END, rank) AS rank FROM (
+    SELECT r.*, x.doc_id IS NOT NULL AS routed FROM ranks r LEFT JOIN routed x ON x.query_id = r.query_id AND x.doc_id = split_part(r.page_id, ':', 1) WHERE rank <= 200)),
+l0 AS (SELECT * FROM moved)"""
+
+
+def _fold_sql(k: int, other: str) -> str:
+    """One late channel woven into list ``l<k>``."""
+    return f""", a{k} AS (SELECT query_id, page_id, rank, 0 AS src FROM l{k} UNION ALL SELECT query_id, page_id, rank, 1 FROM {other} WHERE rank <= 50 AND query_id IN (SELECT query_id FROM l0)),
+n{k} AS (SELECT query_id, least(coalesce(max(CASE WHEN src = 0 THEN rank END), 0), coalesce(max(CASE WHEN src = 1 THEN rank END), 0)) AS paired FROM a{k} GROUP BY query_id),
+o{k} AS (SELECT query_id, page_id, CASE WHEN rank <= paired THEN 0 ELSE 1 END AS k1, CASE WHEN rank <= paired THEN rank ELSE src END AS k2, CASE WHEN rank <= paired THEN src ELSE rank END AS k3 FROM a{k} JOIN n{k} USING (query_id)),
+f{k} AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY k1, k2, k3) AS nth FROM o{k}),
+l{k + 1} AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY k1, k2, k3) AS rank FROM f{k} WHERE nth = 1)"""
+
+
+@query(f"""{_FULL}{_fold_sql(0, 'visual')}{_fold_sql(1, 'hits')}, vs AS (SELECT query_id, page_id, max(visual_score) AS visual_score FROM page_hits WHERE NOT isnan(visual_score) GROUP BY ALL)
+SELECT l2.query_id, l2.page_id, l2.rank AS hit_rank, round(coalesce(score, 0), 6) AS score, round(visual_score, 6) AS visual_score
+FROM l2 LEFT JOIN on_page USING (query_id, page_id) LEFT JOIN vs USING (query_id, page_id) WHERE l2.rank <= 5""")
+def search_late(spark, folder):
+    """The whole search by pages: BM25 of the best chunk on a page, routing, then two late channels woven in one after the
+    other; the first page stays first, visual scores are shown and rank nothing of the text channel."""
+    units_, terms, _ = _inputs(spark, folder)
+    scored = checkpointed(_page_scores(lexical.bm25_scores(units_, terms).select("query_id", "page_id", "score"), spark, folder))
+    moved = lexical.route_window(lexical.rank_pages(scored, 200), _routed(spark, folder, terms))
+    base = checkpointed(moved.select("query_id", "page_id", F.col("new_rank").alias("rank")))
+    asked = base.select("query_id").distinct()
+    late = [hit_list(spark, folder, score, 50).join(asked, "query_id", "left_semi") for score in ("visual_score", "score")]
+    merged = lists.interleave_all(base, late).where("rank <= 5")
+    seen = table(spark, folder, "page_hits").where("not isnan(visual_score)").groupBy("query_id", "page_id").agg(F.max("visual_score").alias("visual_score"))
+    keys = ["query_id", "page_id"]
+    return merged.join(scored, keys, "left").join(seen, keys, "left").select(
+        *keys, F.col("rank").alias("hit_rank"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), F.round("visual_score", 6).alias("visual_score")
+    )

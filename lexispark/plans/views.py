@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.cluster import distinct_rows
 from lexispark.functions.text import FOLD_FROM, FOLD_TO, FOLDED_STOPWORDS, LOWER_FROM, LOWER_TO, MIN_TOKEN_CHARS, PREFIX
 from lexispark.sources.tables import table
 
@@ -39,7 +40,7 @@ def search_questions(spark: SparkSession, folder: str) -> DataFrame:
 def units(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks as units of retrieval, each once."""
     rows = table(spark, folder, "chunks").where("chunk_id is not null")
-    return rows.select(F.col("chunk_id").alias("page_id"), F.coalesce("index_text", F.lit("")).alias("text")).distinct()
+    return distinct_rows(rows.select(F.col("chunk_id").alias("page_id"), F.coalesce("index_text", F.lit("")).alias("text")), ["page_id"], "text")
 
 
 def gold_pages(spark: SparkSession, folder: str) -> DataFrame:
