@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexispark.cluster import broadcast_if_small, running_sums
-from lexispark.operators.answering import abstain_reason
+from lexispark.functions.text import honest_miss
+from lexispark.operators.answering import abstain_reason, token_cost
 
-# Histogram bounds (seconds, seconds, score) and the window of recent rows.
+# Histogram bounds (seconds, seconds, scores, margins, tokens a second), classes of rejections and the
+# window of recent rows.
 REQUEST_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1, 2, 4, 8, 15, 30, 45, 60)
 STAGE_BOUNDS = (0.005, 0.02, 0.05, 0.1, 0.25, 0.5, 1, 2, 5, 10, 20, 35, 60)
 SCORE_BOUNDS = (0.30, 0.40, 0.45, 0.50, 0.55, 0.58, 0.60, 0.65, 0.70, 0.80)
 BM25_SCORE_BOUNDS = (0, 5, 10, 10.6, 15, 20, 30, 45, 70, 100)
+MARGIN_BOUNDS, BM25_MARGIN_BOUNDS = (0.0, 0.005, 0.01, 0.02, 0.04, 0.08), (0, 0.5, 1, 2, 5, 10, 20, 40)
+SPEED_BOUNDS = (5, 10, 20, 40, 80, 160)
+REJECT_REASONS = {422: "unsearchable", 429: "rate_limited"}
 RECENT = 10_000
 LIMIT_WINDOW_SECONDS = 60
 
@@ -62,6 +67,14 @@ def _placed(values: DataFrame) -> DataFrame:
     return sums.join(broadcast_if_small(size), F.col("endpoint").eqNullSafe(F.col("_e"))).drop("_e")
 
 
+def stage_durations(events: DataFrame) -> DataFrame:
+    """``id``, ``stage``, ``s``: every stage of every request in the JSON detail, in seconds; what isn't a measured duration
+    is left out."""
+    stages = F.from_json(F.get_json_object("detail", "$.stages"), "map<string,double>")
+    rows = events.where("status <> 'rejected'").select("id", F.explode(stages).alias("stage", "ms"))
+    return rows.select("id", "stage", (duration(F.col("ms")) / 1000).alias("s")).where("s is not null")
+
+
 def latency_percentiles(events: DataFrame, points: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Nearest-rank percentiles of the latency per endpoint, from counts by value."""
     ms = duration(F.col("total_ms"))
@@ -128,16 +141,56 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", time: str = "
     )
 
 
+def runs_of(rows: DataFrame, key: str, us: str, gap: int) -> DataFrame:
+    """Adds ``run``: the number of the run of rows of a ``key`` that follow one another by less than ``gap`` microseconds.
+
+    Rows in one cell of the width of the gap belong together, so cells are counted first and only cells, not rows, meet in
+    a window by key; then each row takes the number of its cell.  Null keys are left out.
+    """
+    cell = F.floor(F.col(us) / F.lit(gap)).alias("_cell")
+    cells = rows.where(F.col(key).isNotNull()).groupBy(key, cell).agg(F.min(us).alias("_low"), F.max(us).alias("_high"))
+    order = Window.partitionBy(key).orderBy("_cell")
+    fresh = F.col("_low") - F.lag("_high").over(order) >= gap
+    numbered = cells.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("_cell", F.floor(F.col(us) / F.lit(gap))).join(numbered.select(key, "_cell", "run"), [key, "_cell"]).drop("_cell")
+
+
+def batch_sessions(events: DataFrame, key: str, gap_seconds: int = 1800, time: str = "ts") -> DataFrame:
+    """The sessions of ``sessions`` for a batch: counted in cells of the width of the gap before anything meets by key."""
+    gap = gap_seconds * 1_000_000
+    us = F.unix_micros(time)
+    cells = events.where(F.col(key).isNotNull()).groupBy(key, F.floor(us / F.lit(gap)).alias("_cell")).agg(
+        F.min(us).alias("_low"), F.max(us).alias("_high"), F.count("*").alias("_n")
+    )
+    order = Window.partitionBy(key).orderBy("_cell")
+    new = F.coalesce(F.col("_low") - F.lag("_high").over(order) >= gap, F.lit(True)).cast("int")
+    numbered = cells.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "_run").agg(
+        F.timestamp_micros(F.min("_low")).alias("session_start"), F.timestamp_micros(F.max("_high") + gap).alias("session_end"), F.sum("_n").alias("requests")
+    ).drop("_run")
+
+
 def abstain_counts(events: DataFrame) -> DataFrame:
     """Requests not answered, by reason."""
     reason = abstain_reason(F.col("status"), F.col("abstained"), F.col("detail"))
     return events.withColumn("reason", reason).where("reason is not null").groupBy("reason").agg(F.count("*").alias("requests"))
 
 
-def recent_requests(events: DataFrame, key: str, seconds: int = LIMIT_WINDOW_SECONDS) -> DataFrame:
-    """Adds ``in_window``: requests of the key in the last seconds, admitted or not (not the limiter itself)."""
-    span = Window.partitionBy(key).orderBy(F.col("ts").cast("double")).rangeBetween(-float(seconds), 0.0)
-    return events.withColumn("in_window", F.count("*").over(span))
+def recent_requests(events: DataFrame, key: str, seconds: int = LIMIT_WINDOW_SECONDS, cell_seconds: int = 3600) -> DataFrame:
+    """``key``, ``us`` and ``in_window``: requests of the key in the last seconds, admitted or not (not the limiter itself).
+
+    Counts by microsecond are cut into cells of an hour; each cell also gets what the last seconds of the one before hold,
+    so a window is over a key's hour and not over all it ever did.  Null keys are left out.
+    """
+    span, cell = seconds * 1_000_000, cell_seconds * 1_000_000
+    if span > cell:
+        raise ValueError("the window must fit into a cell")
+    counts = events.where(F.col(key).isNotNull()).groupBy(key, F.unix_micros("ts").alias("us")).agg(F.count("*").alias("n"))
+    own = F.floor(F.col("us") / F.lit(cell))
+    carried = F.when(F.col("us") >= (own + 1) * cell - span, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = counts.select("*", own.alias("_own"), F.explode(carried).alias("_cell"))
+    window = Window.partitionBy(key, "_cell").orderBy("us").rangeBetween(-span, 0)
+    return rows.withColumn("in_window", F.sum("n").over(window)).where("_own = _cell").drop("_own", "_cell")
 
 
 def in_flight(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -154,3 +207,42 @@ def in_flight(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     changes = rows.groupBy(*by, "day", F.col("e.t").alias("t"), F.col("e.d").alias("sign")).agg(F.sum("e.d").alias("d"))
     sums = running_sums(changes, by, [F.col("day"), F.col("t"), F.col("sign")], ["d"])
     return sums.groupBy(*by, "day").agg(F.max("d_upto").alias("most"))
+
+
+def merge_notes(notes: DataFrame) -> DataFrame:
+    """``request_id``, ``notes`` (a map): of notes with one name the last by ``seq`` holds, fields of others stay.
+
+    Needs ``request_id``, ``seq``, ``name``, ``value``; null names are left out.
+    """
+    last = notes.where("name is not null").groupBy("request_id", "name").agg(F.max_by("value", "seq").alias("value"))
+    return last.groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("notes"))  # a few names a request
+
+
+def event_rows(requests: DataFrame) -> DataFrame:
+    """One event row a request: scores, margin, stage times, cost and speed, honest miss and the JSON detail.
+
+    ``requests`` has ``id``, ``ts``, ``endpoint``, ``status``, ``http_status``, ``total_ms``, ``query``, ``hits`` (array of
+    page_id, score), ``stages`` (map of ms), ``answer_text``, ``abstained``, ``tokens_in``, ``tokens_out``, ``error_type``.
+    A rejected request keeps only what is known of it: endpoint, reason, time and the query's identity; all else is null,
+    so that it enters no histogram.
+    """
+    served = F.col("status") != "rejected"
+    keep = lambda c: F.when(served, c)
+    score = lambda i: F.get("hits", F.lit(i))["score"]
+    answer_ms, used = F.col("stages")["answerer"], F.col("tokens_out")
+    reason = F.lit(None).cast("string")
+    for code, name in REJECT_REASONS.items():
+        reason = F.when(F.col("http_status") == code, name).otherwise(reason)
+    detail = F.to_json(F.struct(F.col("hits"), F.col("stages")))
+    return requests.select(
+        "id", "ts", "endpoint", "status", "http_status", "total_ms",
+        keep(F.col("stages")["query_encode"]).alias("encode_ms"), keep(answer_ms).alias("answer_ms"),
+        keep(score(0)).alias("top_score"), keep(score(0) - score(1)).alias("margin_1_2"), keep(F.col("abstained")).alias("abstained"),
+        keep(F.when(F.col("status") == "answered", honest_miss(F.lit("ok"), F.coalesce("abstained", F.lit(False)), F.coalesce("answer_text", F.lit(""))))).alias("honest_miss"),
+        F.length("query").alias("query_len"), F.sha2("query", 256).alias("query_sha256"), keep(F.length("answer_text")).alias("answer_len"),
+        keep(F.col("tokens_in")).alias("tokens_in"), keep(used).alias("tokens_out"),
+        keep(F.when(answer_ms > 0, used / (answer_ms / 1000))).alias("tokens_per_s"),
+        keep(token_cost(F.col("tokens_in"), used)).alias("est_cost_usd"),
+        F.when(served, F.col("error_type")).otherwise(F.coalesce(reason, F.lit("other"))).alias("error_type"),
+        keep(detail).alias("detail"),
+    )

@@ -5,12 +5,15 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexispark.cluster import running_sums
 from lexispark.functions.text import containment, page_doc, span_in, tokenize, tr_lower
+from lexispark.operators.events import runs_of
 
 # Limits of a request, words that generated questions must not hold, limits of the precheck, evidence
 # length, bounds of the enablement verdict, attempts of a verification.
@@ -65,31 +68,40 @@ def apply_decisions(questions: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def precheck(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """``question_id``, ``verdict``: clean, suspicious or manual.
+def precheck(questions: DataFrame, pages: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``question_id``, ``verdict`` (clean, suspicious or manual) and ``notes``, what was found wrong.
 
-    Manual if a gold page has no text to speak of; suspicious if a span is on no gold page or a paraphrase shares more
-    than half its tokens with a gold page; unanswerable questions are clean.  ``questions`` are distinct, with ``paraphrase``.
+    Unanswerable questions are clean.  Manual if a gold page has no text to speak of; else suspicious if there is a note:
+    a gold page of a document that is no gold document, a gold page that is not in ``indexed`` (``page_id``), a span on no
+    gold page, or a question of the paraphrase slice that shares more than half its tokens with a gold page.
+    ``questions`` are distinct, with ``slice``; null spans are left out.
     """
-    base = questions.select("question_id", "question", "answerable", "paraphrase", "minimal_evidence_spans", F.explode_outer("gold_page_ids").alias("page_id"))
-    rows = base.join(pages.select("page_id", "text"), "page_id", "left")
+    base = questions.select(
+        "question_id", "question", "answerable", "slice", "minimal_evidence_spans", "gold_doc_ids", F.explode_outer("gold_page_ids").alias("page_id")
+    )
+    known = indexed.select("page_id").distinct().withColumn("_known", F.lit(True))
+    rows = base.join(pages.select("page_id", "text"), "page_id", "left").join(known, "page_id", "left")
     spans = F.filter(F.coalesce("minimal_evidence_spans", F.array()), lambda s: s.isNotNull())
     found = F.filter(spans, lambda s: span_in(s, F.col("text")))
+    named = F.col("page_id").isNotNull()
     each = rows.select(
-        "question_id", "answerable", "paraphrase", spans.alias("spans"), found.alias("found"),
-        (F.length(F.trim(F.coalesce("text", F.lit("")))) < SCANNED_CHARS).alias("scanned"),
+        "question_id", "answerable", "slice", spans.alias("spans"), found.alias("found"),
+        (named & (F.length(F.trim(F.coalesce("text", F.lit("")))) < SCANNED_CHARS)).alias("scanned"),
+        (named & ~page_prefix_consistent(F.col("gold_doc_ids"), F.array("page_id"))).alias("other"),
+        (named & F.col("_known").isNull()).alias("missing"),
         containment(tokenize(F.col("question")), tokenize(F.col("text"))).alias("overlap"),
-    )
-    one = each.groupBy("question_id", "answerable", "paraphrase").agg(
-        F.max("scanned").alias("scanned"), F.max("overlap").alias("overlap"), F.first("spans").alias("spans"),
+    )
+    one = each.groupBy("question_id", "answerable", "slice").agg(
+        *[F.max(c).alias(c) for c in ("scanned", "other", "missing", "overlap")], F.first("spans").alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),  # a question has few gold pages
-    )
-    missing = F.size(F.array_except("spans", "found")) > 0
-    return one.select(
-        "question_id",
-        F.when(~F.col("answerable"), "clean").when(F.col("scanned"), "manual")
-        .when(missing | (F.col("paraphrase") & (F.col("overlap") > PARAPHRASE_OVERLAP)), "suspicious").otherwise("clean").alias("verdict"),
-    )
+    )
+    close = (F.col("slice") == "paraphrase") & (F.col("overlap") > PARAPHRASE_OVERLAP)
+    rules = {"other-document": F.col("other"), "not-indexed": F.col("missing"), "span-not-found": F.size(F.array_except("spans", "found")) > 0, "close-to-page": close}
+    notes = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]))
+    verdict = F.when(F.col("scanned"), "manual").when(F.size("notes") > 0, "suspicious").otherwise("clean")
+    answerable = F.coalesce("answerable", F.lit(False))
+    rated = one.withColumn("notes", F.when(answerable, notes).otherwise(F.array().cast("array<string>")))
+    return rated.select("question_id", F.when(~answerable, "clean").otherwise(verdict).alias("verdict"), "notes")
 
 
 def closest_lines(spans: DataFrame) -> DataFrame:
@@ -143,9 +155,9 @@ def valid_expansion(question: Column, expansion: Column) -> Column:
 
 
 def error_class(code: Column, kind: Column) -> Column:
-    """Class of a failed call from its HTTP code and kind."""
+    """Class of a failed call from its HTTP code and kind; a kind that speaks of a key or a permission is ``auth`` too."""
     return (
-        F.when(kind == "parse", "parse").when(code == 429, "http_429").when(code.isin(401, 403), "auth")
+        F.when(kind == "parse", "parse").when(code == 429, "http_429").when(code.isin(401, 403) | F.lower(kind).rlike("api.?key|permission|unauth|auth"), "auth")
         .when((code >= 500) & (code < 600), "http_5xx").when(kind == "timeout", "timeout").otherwise("other")
     )
 
@@ -170,11 +182,17 @@ def trim_by_mask(vectors: Column, mask: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda z: z["m"]), lambda z: z["v"])
 
 
+def page_offsets(sizes: DataFrame) -> DataFrame:
+    """Adds ``begin``: where a page's tokens begin in an index in order of page ids; needs ``page_id``, ``length``."""
+    return running_sums(sizes, [], [F.col("page_id")], ["length"]).withColumn("begin", F.col("length_upto") - F.col("length")).drop("length_upto")
+
+
 def offset_problems(index: DataFrame) -> DataFrame:
-    """Pages whose offset doesn't follow from the ones before; needs ``pos``, ``page_id``, ``begin``, ``length``."""
-    by_page = Window.orderBy("pos")  # one row a page of an index, not of its tokens
-    expected = F.coalesce(F.lag(F.col("begin") + F.col("length")).over(by_page), F.lit(0))
-    return index.withColumn("expected", expected).where((F.col("begin") != F.col("expected")) | (F.col("length") <= 0))
+    """Pages of an index whose ``begin`` doesn't follow from the lengths before, or that are empty, with ``expected``."""
+    kept = index.select("page_id", "length", F.col("begin").alias("_begin"))
+    return page_offsets(kept).withColumnRenamed("begin", "expected").withColumnRenamed("_begin", "begin").where(
+        ~F.col("begin").eqNullSafe(F.col("expected")) | (F.col("length") <= 0)
+    )
 
 
 def compatibility_problems(manifest: DataFrame, serving: dict[str, str], checked: Sequence[str] = ("model_name", "model_revision", "query_format", "mask_policy")) -> DataFrame:
@@ -190,23 +208,25 @@ def within_budget(claims: DataFrame, budget: int = ATTEMPTS) -> DataFrame:
 
 
 def rate_limited_warnings(events: DataFrame, key: str, seconds: int = 60) -> DataFrame:
-    """Warnings that are emitted, at most one a key and ``seconds``, with how many were suppressed since the last.
+    """Warnings that are emitted, at most one a key and ``seconds``, with how many after each are held back (``held``).
 
-    A fold in time order; only the failures of a key meet in one task, as two numbers each.
+    After a pause of ``seconds`` a warning is emitted whatever was before, so each run of warnings without such a pause is a
+    fold of its own, and a key with millions of failures is as many tasks' work as it has pauses.  Null keys are left out.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, last, held = [], None, 0
-        for row in frame.sort_values(["us", "id"]).itertuples(index=False):
-            if last is None or row.us - last >= seconds * 1_000_000:
-                out.append((getattr(row, key), row.id, held))
-                last, held = row.us, 0
-            else:
-                held += 1
-        return pd.DataFrame(out, columns=[key, "id", "suppressed"])
+        us = np.sort(frame["us"].to_numpy())
+        ids = frame.sort_values(["us", "id"])["id"].to_numpy()
+        out, at = [], 0
+        while at < len(us):
+            then = int(np.searchsorted(us, us[at] + seconds * 1_000_000))
+            out.append((frame[key].iloc[0], int(ids[at]), then - at - 1))
+            at = then
+        return pd.DataFrame(out, columns=[key, "id", "held"])
 
     rows = events.where(F.col(key).isNotNull()).select(key, "id", F.unix_micros("ts").alias("us"))
-    return rows.groupBy(key).applyInPandas(run, f"{key} string, id long, suppressed long")
+    runs = runs_of(rows, key, "us", seconds * 1_000_000)
+    return runs.groupBy(key, "run").applyInPandas(run, f"{key} string, id long, held long")
 
 
 def headings(lines: DataFrame, article: str, numbering: str, most: int = 3, chars: int = 90) -> DataFrame:

@@ -105,7 +105,7 @@ s AS (SELECT query_sha256, ts, sum(fresh) OVER (PARTITION BY query_sha256 ORDER
 SELECT query_sha256, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 1800000000 AS session_end, count(*) AS requests FROM s GROUP BY query_sha256, k""")
 def query_sessions(spark, folder):
     """Sessions of each query: requests less than thirty minutes apart."""
-    out = ev.sessions(_clean(spark, folder), "query_sha256")
+    out = ev.batch_sessions(_clean(spark, folder), "query_sha256")
     return out.select("query_sha256", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "requests")
 
 
@@ -142,11 +142,8 @@ def detail_stages(spark, folder):
 SELECT in_window, count(*) AS requests FROM w GROUP BY in_window""")
 def recent_request_counts(spark, folder):
     """How many requests of the same query fell into the minute before each."""
-    from pyspark.sql.window import Window
-
-    rows = _clean(spark, folder).where("query_sha256 is not null").select("query_sha256", F.unix_micros("ts").alias("us"))
-    span = Window.partitionBy("query_sha256").orderBy("us").rangeBetween(-60_000_000, 0)
-    return rows.withColumn("in_window", F.count("*").over(span)).groupBy("in_window").agg(F.count("*").alias("requests"))
+    out = ev.recent_requests(_clean(spark, folder), "query_sha256")
+    return out.groupBy("in_window").agg(F.sum("n").alias("requests"))
 
 
 @query(f"""WITH {_E}, b AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, epoch_us(ts) AS t0, epoch_us(ts) + CAST(round(ms * 1000) AS BIGINT) AS t1 FROM e WHERE ms IS NOT NULL),
@@ -219,3 +216,69 @@ def stream_limiter(spark, folder):
     requests.run_once(requests.limited(requests.deduplicated(_stream(spark, folder)), "query_sha256"), f"{base}/out", f"{base}/state")
     out = spark.read.parquet(f"{base}/out")
     return out.groupBy("admitted").agg(F.count("*").alias("requests"), F.round(F.max("retry_after"), 3).alias("longest_wait"))
+
+
+_STAGES = """st AS (SELECT id, k AS stage, CAST(json_extract_string(detail, '$.stages.' || k) AS DOUBLE) AS ms FROM (SELECT id, detail, unnest(json_keys(detail, '$.stages')) AS k FROM e WHERE status <> 'rejected'))"""
+
+
+@query(f"""WITH {_E}, {_STAGES} SELECT stage, le, count(CASE WHEN le IS NULL OR ms / 1000 <= le THEN 1 END) AS n FROM (SELECT * FROM st WHERE ms IS NOT NULL AND NOT isnan(ms) AND ms >= 0), {_bucket_sql(ev.STAGE_BOUNDS)} GROUP BY ALL""")
+def stage_histogram(spark, folder):
+    """Cumulative buckets of every stage's duration, out of the JSON detail."""
+    return ev.histogram(ev.stage_durations(_clean(spark, folder)), ["stage"], "s", ev.STAGE_BOUNDS)
+
+
+_SCALED = "coalesce(score_scale, 'none')"
+
+
+@query(f"""WITH {_E}, s AS (SELECT {_SCALED} AS scale, margin_1_2 AS x FROM e WHERE margin_1_2 IS NOT NULL AND NOT isnan(margin_1_2) AND status <> 'rejected')
+SELECT scale, le, count(CASE WHEN le IS NULL OR x <= le THEN 1 END) AS n FROM (SELECT * FROM s WHERE scale = 'hybrid-bm25'), {_bucket_sql(ev.BM25_MARGIN_BOUNDS)} GROUP BY ALL
+UNION ALL SELECT scale, le, count(CASE WHEN le IS NULL OR x <= le THEN 1 END) FROM (SELECT * FROM s WHERE scale <> 'hybrid-bm25'), {_bucket_sql(ev.MARGIN_BOUNDS)} GROUP BY ALL""")
+def margin_histogram(spark, folder):
+    """Cumulative buckets of the margin, BM25's and the normalised scales each with their own bounds."""
+    scale = F.coalesce("score_scale", F.lit("none"))
+    rows = _clean(spark, folder).where("status <> 'rejected'").select(scale.alias("scale"), "margin_1_2")
+    wide = ev.histogram(rows.where("scale = 'hybrid-bm25'"), ["scale"], "margin_1_2", ev.BM25_MARGIN_BOUNDS)
+    return wide.unionByName(ev.histogram(rows.where("scale <> 'hybrid-bm25'"), ["scale"], "margin_1_2", ev.MARGIN_BOUNDS))
+
+
+@query(f"""WITH {_E}, s AS (SELECT endpoint, tokens_per_s AS x FROM e WHERE tokens_per_s IS NOT NULL AND NOT isnan(tokens_per_s))
+SELECT endpoint, le, count(CASE WHEN le IS NULL OR x <= le THEN 1 END) AS n FROM s, {_bucket_sql(ev.SPEED_BOUNDS)} GROUP BY ALL""")
+def speed_histogram(spark, folder):
+    """Cumulative buckets of tokens a second."""
+    return ev.histogram(_clean(spark, folder), ["endpoint"], "tokens_per_s", ev.SPEED_BOUNDS)
+
+
+_ASKED = f"""asked AS (SELECT id, ts, endpoint, CASE WHEN http_status IN (422, 429) THEN 'rejected' WHEN status = 'ok' THEN 'answered' ELSE status END AS status, http_status, total_ms, coalesce(query_text, '') AS query,
+    json_extract_string(detail, '$.hits[0].score') AS s0, json_extract_string(detail, '$.hits[1].score') AS s1, answer_ms, encode_ms, abstained, tokens_in, tokens_out, error_type FROM e)"""
+
+
+@query(f"""WITH {_E}, {_ASKED} SELECT id, status, CASE WHEN status = 'rejected' THEN coalesce(CASE http_status WHEN 422 THEN 'unsearchable' WHEN 429 THEN 'rate_limited' END, 'other') ELSE error_type END AS error_type,
+length(query) AS query_len, sha256(query) AS query_sha256, round(CASE WHEN status <> 'rejected' THEN CAST(s0 AS DOUBLE) END, 6) AS top_score,
+round(CASE WHEN status <> 'rejected' THEN CAST(s0 AS DOUBLE) - CAST(s1 AS DOUBLE) END, 6) AS margin_1_2, CASE WHEN status <> 'rejected' THEN abstained END AS abstained,
+round(CASE WHEN status <> 'rejected' AND answer_ms > 0 AND NOT isnan(answer_ms) THEN tokens_out / (answer_ms / 1000) END, 6) AS tokens_per_s,
+round(CASE WHEN status <> 'rejected' THEN tokens_in / 1e6 * 0.10 + tokens_out / 1e6 * 0.40 END, 9) AS est_cost_usd FROM asked""")
+def event_rows(spark, folder):
+    """Event rows built from what the log knows of each request: hits and stages out of the detail, the rest recomputed."""
+    log = _clean(spark, folder)
+    hits = F.coalesce(F.from_json(F.get_json_object("detail", "$.hits"), "array<struct<page_id:string,score:double>>"), F.array().cast("array<struct<page_id:string,score:double>>"))
+    measured = F.map_filter(F.create_map(F.lit("query_encode"), F.col("encode_ms"), F.lit("answerer"), F.col("answer_ms")), lambda k, v: v.isNotNull() & ~F.isnan(v))
+    status = F.when(F.col("http_status").isin(422, 429), "rejected").when(F.col("status") == "ok", "answered").otherwise(F.col("status"))
+    requests = log.select(
+        "id", "ts", "endpoint", status.alias("status"), "http_status", "total_ms", F.coalesce("query_text", F.lit("")).alias("query"), hits.alias("hits"), measured.alias("stages"),
+        F.lit(None).cast("string").alias("answer_text"), "abstained", "tokens_in", "tokens_out", "error_type",
+    )
+    rows = ev.event_rows(requests)
+    return rows.select(
+        "id", "status", "error_type", "query_len", "query_sha256", *[F.round(c, 6).alias(c) for c in ("top_score", "margin_1_2", "tokens_per_s")], "abstained", F.round("est_cost_usd", 9).alias("est_cost_usd")
+    )
+
+
+@query(f"""WITH {_E}, n AS (SELECT id, 1 AS seq, 'status' AS name, status AS value FROM e UNION ALL SELECT id, 2, 'error', coalesce(error_type, 'none') FROM e UNION ALL SELECT id, 3, 'status', 'late-' || endpoint FROM e WHERE received_at > ts + INTERVAL 1 HOUR)
+SELECT id, arg_max(CASE WHEN name = 'status' THEN value END, seq) AS status, max(CASE WHEN name = 'error' THEN value END) AS error FROM n GROUP BY id""")
+def merged_notes(spark, folder):
+    """Notes of a request merged, the last of one name holding."""
+    log = _clean(spark, folder)
+    note = lambda df, seq, name, value: df.select(F.col("id").alias("request_id"), F.lit(seq).alias("seq"), F.lit(name).alias("name"), value.alias("value"))
+    late = log.where(F.col("received_at") > F.col("ts") + F.expr("interval 1 hour"))
+    notes = note(log, 1, "status", F.col("status")).unionByName(note(log, 2, "error", F.coalesce("error_type", F.lit("none")))).unionByName(note(late, 3, "status", F.concat(F.lit("late-"), "endpoint")))
+    return ev.merge_notes(notes).select(F.col("request_id").alias("id"), F.col("notes")["status"].alias("status"), F.col("notes")["error"].alias("error"))

@@ -9,7 +9,8 @@ from lexispark.operators import review, structure, vectors
 from lexispark.operators.events import clean_events
 from lexispark.plans.event_queries import _E
 from lexispark.plans.registry import query
-from lexispark.plans.views import sql_lower, sql_tokens
+from lexispark.operators.calibration import clopper_pearson_udf
+from lexispark.plans.views import sql_upper_bound, sql_lower, sql_tokens
 from lexispark.sources.tables import table
 
 
@@ -65,19 +66,21 @@ def _page_texts(spark, folder):
     return joined.select("page_id", F.array_join(F.transform("c", lambda s: s["text"]), "\n").alias("text"))
 
 
-@query(f"""WITH {_PAGES}, q AS (SELECT DISTINCT question_id, question, answerable, query_style = 'paraphrase' AS paraphrase, minimal_evidence_spans AS spans, gold_page_ids FROM bench_questions),
+@query(f"""WITH {_PAGES}, q AS (SELECT DISTINCT question_id, question, answerable, slice, gold_doc_ids, list_filter(coalesce(minimal_evidence_spans, []), lambda s: s IS NOT NULL) AS spans, gold_page_ids FROM bench_questions),
 g AS (SELECT *, unnest(CASE WHEN len(gold_page_ids) > 0 THEN gold_page_ids ELSE [NULL] END) AS page_id FROM q), r AS (SELECT g.*, pg.text FROM g LEFT JOIN pg USING (page_id)),
-e AS (SELECT question_id, answerable, paraphrase, spans, length(trim(coalesce(text, ''))) < 40 AS scanned,
+e AS (SELECT question_id, answerable, slice, spans, page_id IS NOT NULL AND length(trim(coalesce(text, ''))) < 40 AS scanned,
+  page_id IS NOT NULL AND NOT list_contains(coalesce(gold_doc_ids, []), split_part(page_id, ':', 1)) AS other, page_id IS NOT NULL AND page_id NOT IN (SELECT page_id FROM page_hits WHERE page_id IS NOT NULL) AS missing,
   CASE WHEN len(list_distinct({sql_tokens('question')})) = 0 THEN 0 ELSE len(list_intersect(list_distinct({sql_tokens('question')}), list_distinct({sql_tokens('text')}))) / len(list_distinct({sql_tokens('question')})) END AS overlap,
   list_filter(spans, lambda s: contains({_NORM('text')}, {_NORM('s')})) AS found FROM r),
-o AS (SELECT question_id, answerable, paraphrase, bool_or(scanned) AS scanned, max(overlap) AS overlap, any_value(spans) AS spans, flatten(list(found)) AS found FROM e GROUP BY question_id, answerable, paraphrase)
-SELECT question_id, CASE WHEN NOT answerable THEN 'clean' WHEN scanned THEN 'manual' WHEN len(list_filter(spans, lambda s: NOT list_contains(found, s))) > 0 OR (paraphrase AND overlap > 0.5) THEN 'suspicious' ELSE 'clean' END AS verdict FROM o""")
+o AS (SELECT question_id, answerable, slice, bool_or(scanned) AS scanned, bool_or(other) AS other, bool_or(missing) AS missing, max(overlap) AS overlap, any_value(spans) AS spans, flatten(list(found)) AS found FROM e GROUP BY question_id, answerable, slice),
+n AS (SELECT question_id, coalesce(answerable, false) AS a, scanned, list_filter([CASE WHEN other THEN 'other-document' END, CASE WHEN missing THEN 'not-indexed' END, CASE WHEN len(list_filter(spans, lambda s: NOT list_contains(found, s))) > 0 THEN 'span-not-found' END,
+  CASE WHEN slice = 'paraphrase' AND overlap > 0.5 THEN 'close-to-page' END], lambda x: x IS NOT NULL) AS notes FROM o)
+SELECT question_id, CASE WHEN NOT a THEN 'clean' WHEN scanned THEN 'manual' WHEN len(notes) > 0 THEN 'suspicious' ELSE 'clean' END AS verdict, CASE WHEN a THEN array_to_string(notes, ' ') ELSE '' END AS notes FROM n""")
 def gold_precheck(spark, folder):
-    """Machine check of every question's gold pages: clean, suspicious or manual."""
-    rows = _bench(spark, folder).select(
-        "question_id", "question", "answerable", (F.col("query_style") == "paraphrase").alias("paraphrase"), "minimal_evidence_spans", "gold_page_ids"
-    ).distinct()
-    return review.precheck(rows, _page_texts(spark, folder))
+    """Machine check of every question's gold pages: clean, suspicious or manual; pages with hits count as indexed."""
+    rows = _bench(spark, folder).select("question_id", "question", "answerable", "slice", "minimal_evidence_spans", "gold_doc_ids", "gold_page_ids").distinct()
+    out = review.precheck(rows, _page_texts(spark, folder), table(spark, folder, "page_hits").where("page_id is not null"))
+    return out.select("question_id", "verdict", F.array_join("notes", " ").alias("notes"))
 
 
 @query()
@@ -144,24 +147,31 @@ def error_classes(spark, folder):
     return rows.groupBy(review.error_class(F.col("http_status"), F.col("error_type")).alias("class")).agg(F.count("*").alias("requests"))
 
 
-@query("""WITH m AS (SELECT slice, 1 - avg(label) AS risk, avg(CASE WHEN NOT answerable THEN label END) AS fr, avg(CASE WHEN answerable THEN label END) AS safe FROM calibration_rows GROUP BY slice)
-SELECT slice, coalesce(risk <= 0.05 AND fr <= 0.02 AND fr <= 0.05 AND safe >= 0.8, false) AS eligible FROM m""")
+@query(f"""WITH RECURSIVE r AS (SELECT slice, answerable, label, coalesce(gold_in_topk, false) AS shown FROM calibration_rows WHERE label IS NOT NULL),
+m AS (SELECT slice, 1 - avg(label) AS risk, avg(CASE WHEN answerable THEN label END) AS safe, count(CASE WHEN NOT answerable THEN 1 END) AS n, count(CASE WHEN NOT answerable AND shown THEN 1 END) AS errors,
+      count(DISTINCT shown) = 1 AS identity FROM r GROUP BY slice), {sql_upper_bound('m', 'slice')}
+SELECT m.slice, round(risk, 6) AS risk, round(errors / nullif(n, 0), 6) AS false_rate, round(cp.upper, 6) AS false_upper, identity,
+coalesce(risk <= 0.05 AND errors / nullif(n, 0) <= 0.02 AND cp.upper <= 0.05 AND safe >= 0.8 AND identity, false) AS eligible FROM m JOIN cp ON cp.key IS NOT DISTINCT FROM m.slice""")
 def enablement_verdicts(spark, folder):
-    """Which slices would pass the five conditions."""
-    rows = table(spark, folder, "calibration_rows").groupBy("slice").agg(
-        (1 - F.avg("label")).alias("risk"), F.avg(F.when(~F.col("answerable"), F.col("label"))).alias("false_rate"), F.avg(F.when(F.col("answerable"), F.col("label"))).alias("safe_rate")
+    """Which slices would pass the five conditions, the false rate with its Clopper-Pearson bound."""
+    shown = F.coalesce("gold_in_topk", F.lit(False))
+    rows = table(spark, folder, "calibration_rows").where("label is not null").withColumn("_shown", shown).groupBy("slice").agg(
+        (1 - F.avg("label")).alias("risk"), F.avg(F.when(F.col("answerable"), F.col("label"))).alias("safe_rate"), F.count_if(~F.col("answerable")).alias("n"),
+        F.count_if(~F.col("answerable") & F.col("_shown")).alias("errors"), (F.countDistinct("_shown") == 1).alias("identity"),
     )
-    return review.enablement(rows.withColumn("false_upper", F.col("false_rate")).withColumn("identity", F.lit(True))).select("slice", "eligible")
+    rows = rows.withColumn("false_rate", F.col("errors") / F.nullif(F.col("n"), F.lit(0))).withColumn("false_upper", clopper_pearson_udf("errors", "n"))
+    return review.enablement(rows).select("slice", *[F.round(c, 6).alias(c) for c in ("risk", "false_rate", "false_upper")], "identity", "eligible")
 
 
-@query("""WITH a AS (SELECT pipeline AS arm, avg(CASE WHEN abstained THEN 0 ELSE 1 END) AS paraphrase, count(*) AS overall, max(candidates) AS disk FROM request_events WHERE pipeline IS NOT NULL GROUP BY pipeline)
-SELECT arm FROM a ORDER BY round(paraphrase, 9) DESC, overall DESC, disk, arm LIMIT 1""")
+@query("""WITH a AS (SELECT pipeline AS arm, avg(CASE WHEN abstained THEN 0 ELSE 1 END) AS paraphrase, count(*) AS overall, max(candidates) AS disk, round(avg(CASE WHEN total_ms >= 0 AND NOT isnan(total_ms) THEN total_ms END), 6) AS latency FROM request_events WHERE pipeline IS NOT NULL GROUP BY pipeline)
+SELECT arm FROM a ORDER BY round(paraphrase, 9) DESC, overall DESC, disk, latency, arm LIMIT 1""")
 def best_arm(spark, folder):
     """The pipeline that the tie-breaking rule would choose."""
     rows = table(spark, folder, "request_events").where("pipeline is not null").groupBy(F.col("pipeline").alias("arm")).agg(
-        F.round(F.avg(F.when(F.col("abstained"), 0).otherwise(1)), 9).alias("paraphrase"), F.count("*").alias("overall"), F.max("candidates").alias("disk")
+        F.round(F.avg(F.when(F.col("abstained"), 0).otherwise(1)), 9).alias("paraphrase"), F.count("*").alias("overall"), F.max("candidates").alias("disk"),
+        F.round(F.avg(F.when((F.col("total_ms") >= 0) & ~F.isnan("total_ms"), F.col("total_ms"))), 6).alias("latency"),
     )
-    return review.best_arm(rows.withColumn("latency", F.lit(0)))
+    return review.best_arm(rows)
 
 
 @query("""SELECT vec_id, CAST(count(CASE WHEN x > 0 THEN 1 END) AS BIGINT) AS kept, round(coalesce(sum(CASE WHEN x > 0 THEN x END), 0), 5) AS total
@@ -174,16 +184,14 @@ def mask_trimming(spark, folder):
     return rows.select("vec_id", F.size("k").cast("long").alias("kept"), F.round(F.aggregate("k", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
 
 
-@query("SELECT (SELECT count(DISTINCT label) FROM embeddings WHERE embedding IS NOT NULL) AS pages, 0 AS problems")
+@query("""WITH z AS (SELECT label AS page_id, count(*) AS length FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL GROUP BY label),
+o AS (SELECT *, coalesce(sum(length) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS expected FROM z)
+SELECT page_id, length, CAST(expected + 1 AS BIGINT) AS begin, CAST(expected AS BIGINT) AS expected FROM o WHERE page_id % 3 = 0""")
 def index_offsets(spark, folder):
-    """Offsets of an index by page, made from the token counts and checked for gaps."""
-    from pyspark.sql.window import Window
-
-    sizes = table(spark, folder, "embeddings").where("embedding is not null").groupBy(F.col("label").alias("page_id")).agg(F.count("*").alias("length"))
-    order = Window.orderBy("page_id")
-    index = sizes.withColumn("pos", F.row_number().over(order)).withColumn("begin", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    bad = review.offset_problems(index).agg(F.count("*").alias("problems"))
-    return index.agg(F.count("*").alias("pages")).join(F.broadcast(bad), how="left")  # one row each
+    """Offsets of an index by page, of which every third was written one too far: those are found."""
+    sizes = table(spark, folder, "embeddings").where("embedding is not null and label is not null").groupBy(F.col("label").alias("page_id")).agg(F.count("*").alias("length"))
+    stored = review.page_offsets(sizes).withColumn("begin", F.col("begin") + (F.col("page_id") % 3 == 0).cast("long"))
+    return review.offset_problems(stored).select("page_id", "length", "begin", "expected")
 
 
 _ART, _NUM = structure.ARTICLE_LINE, structure.NUMBERING
@@ -216,7 +224,9 @@ def verification_budget(spark, folder):
     return review.within_budget(claims).groupBy("answer_id").agg(F.count("*").alias("claims"), F.count_if("allowed").alias("verified"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_E}, x AS (SELECT error_type, id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY error_type ORDER BY epoch_us(ts), id) AS k FROM e WHERE error_type IS NOT NULL),
+f AS (SELECT error_type, id, us, k FROM x WHERE k = 1 UNION ALL SELECT n.error_type, n.id, n.us, n.k FROM f, LATERAL (SELECT * FROM x WHERE x.error_type = f.error_type AND x.us >= f.us + 60000000 ORDER BY k LIMIT 1) n)
+SELECT error_type, id, coalesce(lead(k) OVER w, 1 + (SELECT max(k) FROM x WHERE x.error_type = f.error_type)) - k - 1 AS held FROM f WINDOW w AS (PARTITION BY error_type ORDER BY k)""")
 def warning_log(spark, folder):
     """Warnings emitted at most once a minute and error type."""
     rows = clean_events(table(spark, folder, "request_events")).where("error_type is not null")
@@ -230,18 +240,21 @@ def path_slugs(spark, folder):
     return rows.select("doc_id", tx.slug(F.coalesce("doc_name", F.lit(""))).alias("slug"), F.concat_ws("__", "doc_id", F.coalesce("doc_type", F.lit("none"))).alias("key")).distinct()
 
 
-@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT vec_id AS query_id, v AS q FROM e WHERE vec_id % 20 = 0),
-s AS (SELECT query_id, label, max(round(list_dot_product(q, v), 9)) AS f, max(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q[i] > 0) = (v[i] > 0) THEN 1 ELSE 0 END))) AS b FROM q, e WHERE e.vec_id <> query_id GROUP BY ALL),
-t AS (SELECT query_id, arg_min(label, struct_pack(a := -f, b := label)) AS best_f, arg_min(label, struct_pack(a := -b, b := label)) AS best_b FROM s GROUP BY query_id)
-SELECT count(*) AS queries, count(CASE WHEN best_f = best_b THEN 1 END) AS agree FROM t""")
+_CODES = "list_transform(v, lambda x: greatest(least(round_even(x / greatest(list_max(list_transform(v, lambda y: abs(y))) / 127, 1e-8), 0), 127), -127) * greatest(list_max(list_transform(v, lambda y: abs(y))) / 127, 1e-8))"
+
+
+@query(f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL), c AS (SELECT vec_id, v, {_CODES} AS d, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END) AS b FROM e),
+q AS (SELECT vec_id AS query_id, v AS qv, b AS qb FROM c WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, round(list_dot_product(qv, v), 9) AS f, round(list_dot_product(qv, d), 9) AS i, list_dot_product(CAST(qb AS DOUBLE[]), CAST(b AS DOUBLE[])) AS b FROM q, c WHERE vec_id <> query_id)
+SELECT query_id, arg_min(vec_id, struct_pack(a := -f, b := vec_id)) AS best_float, arg_min(vec_id, struct_pack(a := -i, b := vec_id)) AS best_int8, arg_min(vec_id, struct_pack(a := -b, b := vec_id)) AS best_binary FROM s GROUP BY query_id""")
 def oracle_arms(spark, folder):
-    """How often the sign bits choose the same page as the float vectors."""
-    rows = table(spark, folder, "embeddings").where("embedding is not null").select("vec_id", "label", F.col("embedding").alias("v"), vectors.sign_bits(F.col("embedding")).alias("b"))
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("token_pos"), F.struct("v", "b", "vec_id").alias("vec"))
-    tokens = rows.select(F.col("label").alias("page_id"), F.struct("v", "b", "vec_id").alias("vec"))
-    other = lambda q, p, s: F.when(q["vec_id"] != p["vec_id"], s)
-    exact = vectors.maxsim(tokens, asked, lambda q, p: other(q, p, F.round(vectors.dot(q["v"], p["v"]), 9)))
-    bits = vectors.maxsim(tokens, asked, lambda q, p: other(q, p, 64 - vectors.hamming(q["b"], p["b"])))
-    best = lambda df, name: df.groupBy("query_id").agg(F.min_by("page_id", F.struct(-F.col("total"), F.col("page_id"))).alias(name))
-    both = best(exact, "f").join(best(bits, "b"), "query_id")
-    return both.agg(F.count("*").alias("queries"), F.count_if(F.col("f") == F.col("b")).alias("agree"))
+    """The vector each representation holds nearest to every vector of the query set, itself left out."""
+    rows = table(spark, folder, "embeddings").where("embedding is not null")
+    pages = rows.select(F.col("vec_id").alias("page_id"), F.col("embedding").alias("vec"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+    def best(kind):  # at most one of two is the vector itself
+        near = vectors.nearest(pages, asked, 2, kind).where("page_id <> query_id")
+        return near.groupBy("query_id").agg(F.min_by("page_id", "rank").alias(f"best_{kind}"))
+
+    return best("float").join(best("int8"), "query_id").join(best("binary"), "query_id")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
-from lexispark.operators import answering, calibration, events, lexical, lists, metrics, quality, structure, vectors
+from lexispark.operators import answering, calibration, events, lexical, lists, metrics, quality, review, structure, vectors
 from lexispark.sources import connectors
 
 
@@ -195,7 +195,7 @@ def test_vectors(spark):
     assert vectors.dense_top(pages, asked.limit(0), 2).count() == 0
     tokens = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 1.0]), ("b", 1, None)], "page_id string, token_pos int, vec array<float>")
     query = spark.createDataFrame([("q", 0, [0.0, 1.0])], "query_id string, token_pos int, vec array<float>")
-    ranked = vectors.late_ranking(vectors.maxsim(tokens, query, vectors.dot)).orderBy("rank").collect()
+    ranked = vectors.late_ranking(vectors.maxsim(tokens, query)).orderBy("rank").collect()
     assert [(r["page_id"], r["total"]) for r in ranked] == [("b", 1.0), ("a", 0.0)]
 
 
@@ -368,33 +368,107 @@ def _top3(rows):
     return {(r["query_id"], r["page_id"]) for r in rows.where("rank <= 3").collect()}
 
 
+def _maxsim_slow(queries, tokens, of_query, of_page):
+    total = {}
+    for q, _, v in queries:
+        best = {}
+        for p, _, t in tokens:
+            best[p] = max(best.get(p, float("-inf")), sum(a * b for a, b in zip(of_query(v), of_page(t), strict=True)))
+        for p, x in best.items():
+            total[q, p] = total.get((q, p), 0) + x
+    return total
+
+
+def test_maxsim_by_blocks_equals_a_plain_loop(spark, monkeypatch):
+    rng = random.Random(8)
+    tokens = [(f"p{i % 7}", i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    queries = [(f"q{i % 4}", i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(10)]
+    t = spark.createDataFrame([*tokens, ("p1", 99, None), (None, 98, [0.0] * 6)], "page_id string, token_pos int, vec array<float>").repartition(3)
+    q = spark.createDataFrame([*queries, ("q9", 99, None)], "query_id string, token_pos int, vec array<float>")
+    sign = lambda v: [1 if x > 0 else -1 for x in v]
+
+    def codes(v):
+        scale = max(max(abs(x) for x in v) / 127, 1e-8)
+        return [max(min(round(x / scale), 127), -127) * scale for x in v]
+
+    for block in (4096, 3):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        for kind, of_query, of_page in (("float", list, list), ("int8", list, codes), ("binary", sign, sign)):
+            want = _maxsim_slow(queries, tokens, of_query, of_page)
+            got = {(r["query_id"], r["page_id"]): r["total"] for r in vectors.maxsim(t, q, kind).collect()}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    assert vectors.maxsim(t, q.limit(0)).count() == 0 and vectors.maxsim(t.limit(0), q).count() == 0
+
+
 def test_two_stages_recall_the_exact_top(spark):
     rng = random.Random(21)
-    width = 16
+    width = 48
     pages = {}
     for p in range(250):  # more pages than the first stage keeps; tokens vary within a page
         centre = [rng.gauss(0, 1) for _ in range(width)]
-        pages[p] = [[c + rng.gauss(0, 1) for c in centre] for _ in range(4)]
+        pages[p] = [[c + rng.gauss(0, 0.7) for c in centre] for _ in range(4)]
     tokens = spark.createDataFrame([(p, i, v) for p, vs in pages.items() for i, v in enumerate(vs)], "page_id long, token_pos int, vec array<double>")
     asked = [(q, 0, [x + rng.gauss(0, 0.3) for x in pages[q * 12][0]]) for q in range(20)]
     queries = spark.createDataFrame(asked, "query_id long, token_pos int, vec array<double>")
+    sign = lambda v: [1 if x > 0 else -1 for x in v]
     exact = set()
     for q, _, v in asked:
-        scores = {p: max(sum(a * b for a, b in zip(v, t, strict=True)) for t in ts) for p, ts in pages.items()}
+        scores = {p: max(sum(a * b for a, b in zip(sign(v), sign(t), strict=True)) for t in ts) for p, ts in pages.items()}
         exact |= {(q, p) for p in sorted(scores, key=lambda p: (-scores[p], p))[:3]}
     assert vectors.STAGE1 == 200
     assert len(_top3(vectors.two_stage(tokens, queries, 3)) & exact) / len(exact) >= 0.95
-    assert len(_top3(vectors.two_stage(tokens, queries, 3, first=5)) & exact) / len(exact) < 0.7
 
 
-def test_two_stage_query_cuts_no_page_before_exact_scoring(spark, folder):
-    from lexispark.plans import vector_queries
+def test_wide_vectors_and_their_signs(spark):
+    v = [1.0 if i % 3 else -1.0 for i in range(130)]
+    row = spark.createDataFrame([(v, [-x for x in v])], "a array<double>, b array<double>")
+    got = row.select(vectors.sign_words(F.col("a")).alias("w"), vectors.hamming_words(vectors.sign_words(F.col("a")), vectors.sign_words(F.col("b"))).alias("d")).first()
+    assert len(got["w"]) == 3 and got["d"] == 130
+    with pytest.raises(Exception, match="64 elements"):
+        row.select(vectors.sign_bits(F.col("a"))).collect()
 
-    # ten pages, fewer than the first stage keeps
-    asked = vector_queries._vectors(spark, folder).where("vec_id % 20 = 0")
-    queries = asked.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("token_pos"), F.col("embedding").alias("vec"))
-    scores = vectors.maxsim(vector_queries._tokens(spark, folder), queries, vectors.dot).withColumn("score", F.col("total"))
-    assert _top3(vector_queries.two_stage_search_200(spark, folder)) == _top3(lexical.rank_pages(scores))
+
+def test_runs_sessions_and_windows_by_cells(spark):
+    rng = random.Random(5)
+    at = [(f"k{rng.randrange(2)}", i, rng.randrange(0, 4000)) for i in range(300)] + [(None, 999, 5)]
+    df = spark.createDataFrame(at, "k string, id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want, held = {}, {}
+    for k in ("k0", "k1"):
+        times = sorted((s, i) for key, i, s in at if key == k)
+        for n, (s, _) in enumerate(times):
+            if n == 0 or s - times[n - 1][0] >= 20:
+                want.setdefault(k, []).append(0)
+            want[k][-1] += 1
+        last = None
+        for s, i in times:
+            if last is None or s - last[0] >= 60:
+                last = (s, i)
+                held[i] = 0
+            else:
+                held[last[1]] += 1
+    got = {}
+    for r in events.batch_sessions(df, "k", 20).orderBy("session_start").collect():
+        got.setdefault(r["k"], []).append(r["requests"])
+    assert got == want
+    recent = {(r["k"], r["us"]): r["in_window"] for r in events.recent_requests(df, "k", 60, 100).collect()}
+    assert recent == {(k, s * 1_000_000): sum(1 for key, _, x in at if key == k and s - 60 <= x <= s) for k, _, s in at if k}
+    assert {r["id"]: r["held"] for r in review.rate_limited_warnings(df, "k").collect()} == held
+
+
+def test_precheck_notes(spark):
+    schema = "question_id string, question string, answerable boolean, slice string, minimal_evidence_spans array<string>, gold_doc_ids array<string>, gold_page_ids array<string>"
+    text = "Depo sahibi her girişi aynı gün deftere yazar ve saklar."
+    rows = [
+        ("ok", "Ne yazılır?", True, "x", ["her girişi  AYNI gün"], ["d"], ["d:1"]), ("other", "Ne?", True, "x", [None], ["e"], ["d:1"]),
+        ("missing", "Ne?", True, "x", None, ["d"], ["d:2"]), ("span", "Ne?", True, "x", ["başka söz"], ["d"], ["d:1"]),
+        ("close", "depo sahibi girişi deftere yazar", True, "paraphrase", [], ["d"], ["d:1"]), ("scan", "Ne?", True, "x", [], ["d"], ["d:3"]), ("no", "Ne?", False, "x", ["q"], [], []),
+    ]
+    pages = spark.createDataFrame([("d:1", text), ("d:2", text), ("d:3", " ")], "page_id string, text string")
+    got = {r["question_id"]: (r["verdict"], r["notes"]) for r in review.precheck(spark.createDataFrame(rows, schema), pages, pages.where("page_id <> 'd:2'")).collect()}
+    assert got == {
+        "ok": ("clean", []), "other": ("suspicious", ["other-document"]), "missing": ("suspicious", ["not-indexed"]), "span": ("suspicious", ["span-not-found"]),
+        "close": ("suspicious", ["close-to-page"]), "scan": ("manual", []), "no": ("clean", []),
+    }
 
 
 def test_every_question_is_encoded(spark, folder):
