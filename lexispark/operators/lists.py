@@ -80,6 +80,13 @@ def rerank(pool: DataFrame, scores: DataFrame, pin_first: bool) -> DataFrame:
 
 
 def chunks_to_pages(chunk_scores: DataFrame, chunk_pages: DataFrame) -> DataFrame:
-    """Page scores as the best of the chunks that touch the page."""
+    """Page scores as the best of the chunks that touch the page; ``n_chunks`` says how many of them had a score."""
     pairs = chunk_pages.select("chunk_id", F.explode("page_ids").alias("page_id")).where("page_id is not null").distinct()
-    return chunk_scores.join(pairs, "chunk_id").groupBy("query_id", "page_id").agg(F.max("score").alias("score"))
+    return chunk_scores.join(pairs, "chunk_id").groupBy("query_id", "page_id").agg(F.max("score").alias("score"), F.count("*").alias("n_chunks"))
+
+
+def pages_or_own(chunk_scores: DataFrame, chunk_pages: DataFrame, own: DataFrame) -> DataFrame:
+    """Scores of the pages in ``own`` (query_id, page_id, score): the best of the chunks on a page, its own without any."""
+    best = chunks_to_pages(chunk_scores, chunk_pages).select("query_id", "page_id", F.col("score").alias("_best"), "n_chunks")
+    rows = own.join(best, ["query_id", "page_id"], "left")
+    return rows.select("query_id", "page_id", F.coalesce("_best", "score").alias("score"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))

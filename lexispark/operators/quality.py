@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.text import ascii_fold, page_doc, tr_lower
 
-# Strengths of verification kinds, byte limit of the inner split, near-duplicate similarity.
+# Strengths of verification kinds, byte limit and salt of the inner split, near-duplicate similarity.
 LEVELS = {"model-cross-check": 1, "human": 2}
-INNER_FIT_BELOW = 170
+INNER_FIT_BELOW, INNER_SALT = 170, "late-calibration-v1"
 NEAR_DUPLICATE = 0.8
 
 
@@ -51,7 +51,47 @@ def assign_split(questions: DataFrame, test_docs: DataFrame) -> DataFrame:
     )
 
 
-def inner_split(group_key: Column, salt: str = "inner") -> Column:
+def question_group_key() -> Column:
+    """What a question belongs to: its first gold document, else its anchor law if it is outside the corpus, else its
+    subject document if evidence is lacking, else itself."""
+    reason = F.col("unanswerable_reason")
+    return (
+        F.when(F.size("gold_doc_ids") > 0, F.concat(F.lit("doc:"), F.get("gold_doc_ids", F.lit(0))))
+        .when((reason == "korpus-disi") & (F.coalesce("anchor_law", F.lit("")) != ""), F.concat(F.lit("anchor:"), "anchor_law"))
+        .when((reason == "eksik-kanit") & (F.coalesce("subject_doc", F.lit("")) != ""), F.concat(F.lit("doc:"), "subject_doc"))
+        .otherwise(F.concat(F.lit("qid:"), "question_id"))
+    )
+
+
+def question_split(questions: DataFrame, test_docs: DataFrame) -> DataFrame:
+    """``question_id``, ``assigned``: test if the first gold document is a test document, dev if it is another; without one
+    the parity of SHA-256 of the id decides."""
+    first = F.get("gold_doc_ids", F.lit(0))
+    known = test_docs.select(F.col("doc_id").alias("_doc"), F.lit(True).alias("_test")).distinct()
+    rows = questions.select("question_id", first.alias("_doc")).join(known, "_doc", "left")
+    side = F.when(F.col("_doc").isNull(), hash_half(F.col("question_id"))).when(F.col("_test"), "test").otherwise("dev")
+    return rows.select("question_id", side.alias("assigned")).distinct()
+
+
+def derive_test_docs(docs: DataFrame, seed: str, pinned: list[str], blocked: list[str], size: int, scarce: str = "rg_tarihi", least: int = 2) -> DataFrame:
+    """``doc_id``: the pinned documents, filled up to ``size`` in the order of SHA-256 of seed and id.
+
+    At least ``least`` of type ``scarce`` are taken, the rest from the other types; blocked documents only if pinned.
+    ``docs`` has ``doc_id``, ``doc_type``; a handful of ids is pinned or blocked, the documents themselves stay distributed.
+    """
+    rows = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("doc_type").alias("doc_type"))
+    own = rows.where(F.col("doc_id").isin(pinned)) if pinned else rows.limit(0)
+    n_pinned, n_scarce = (own.agg(F.count("*"), F.count_if(F.col("doc_type") == scarce)).first()) if pinned else (0, 0)
+    free = rows.where(~F.col("doc_id").isin([*pinned, *blocked])) if pinned or blocked else rows
+    order = [F.sha2(F.concat(F.lit(f"{seed}|"), "doc_id"), 256), F.col("doc_id")]
+    of_scarce = max(least - n_scarce, 0)
+    others = max(size - n_pinned - of_scarce, 0)
+    kind = F.col("doc_type").eqNullSafe(scarce)
+    parts = [own.select("doc_id"), free.where(kind).orderBy(*order).limit(of_scarce).select("doc_id"), free.where(~kind).orderBy(*order).limit(others).select("doc_id")]
+    return union_violations(parts)
+
+
+def inner_split(group_key: Column, salt: str = INNER_SALT) -> Column:
     """``fit`` or ``calibration`` by the first byte of SHA-256 of salt and group."""
     byte = F.conv(F.left(F.sha2(F.concat(F.lit(f"{salt}:"), group_key), 256), F.lit(2)), 16, 10).cast("int")
     return F.when(group_key.isNull(), F.lit(None).cast("string")).when(byte < INNER_FIT_BELOW, "fit").otherwise("calibration")
@@ -93,11 +133,87 @@ def near_duplicates(texts: DataFrame, text_id: str, text: str, threshold: float
     )
 
 
+def near_reference(texts: DataFrame, reference: DataFrame, text_id: str, text: str, threshold: float = NEAR_DUPLICATE) -> DataFrame:
+    """``id_a`` of ``texts``, ``id_b`` of ``reference``, ``similarity``: links between the classes of equal token sets of
+    either side at or above a similarity, equal sets included; a class is represented by its smallest id on its side."""
+    side = lambda df, mark: df.select(F.concat(F.lit(mark), F.col(text_id).cast("string")).alias("id"), F.col(text).alias("text"))
+    a, b = side(texts, "a"), side(reference, "b")
+    classes = lambda df: duplicate_classes(df, "id", "text").groupBy("class_id").agg(F.first("tokens").alias("tokens"))
+    both = classes(a).unionByName(classes(b))
+    words = both.select(F.col("class_id").alias("id"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    common = words.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = words.join(common, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    prefix = ranked.select("id", "n", F.explode(F.slice("r", 1, keep)).alias("e")).select("id", "n", "e.token")
+    left = prefix.where("id like 'a%'").select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token")
+    right = prefix.where("id like 'b%'").select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token")
+    pairs = left.join(right, "token").where(F.expr(f"n_a >= {threshold} * n_b - 1e-9 and n_b >= {threshold} * n_a - 1e-9")).select("id_a", "id_b").distinct()
+    sets = lambda k: both.select(F.col("class_id").alias(f"id_{k}"), F.col("tokens").alias(f"t_{k}"))
+    shared = F.size(F.array_intersect("t_a", "t_b"))
+    linked = pairs.join(sets("a"), "id_a").join(sets("b"), "id_b").withColumn("similarity", shared / (F.size("t_a") + F.size("t_b") - shared))
+    return linked.where(F.col("similarity") >= threshold - 1e-12).select(F.substring("id_a", 2, 1 << 30).alias("id_a"), F.substring("id_b", 2, 1 << 30).alias("id_b"), "similarity")
+
+
+def closest_names(names: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``name``, ``doc_id``, ``similarity``: the corpus name most like each name by Jaccard of tokens, the first document
+    on a tie; names that share no token with any are left out.  ``corpus`` has ``doc_id``, ``name``."""
+    own = names.select("name").where("name is not null").distinct().select("name", fold_tokens(F.col("name")).alias("a"))
+    theirs = corpus.where("name is not null").select("doc_id", fold_tokens(F.col("name")).alias("b")).distinct()
+    near = own.select("name", F.size("a").alias("n"), F.explode("a").alias("token")).join(theirs.select("doc_id", F.size("b").alias("m"), F.explode("b").alias("token")), "token")
+    rated = near.groupBy("name", "doc_id", "n", "m").agg(F.count("*").alias("both")).withColumn("similarity", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
+    best = rated.groupBy("name").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "doc_id")).alias("r"))
+    return best.select("name", "r.doc_id", (-F.col("r.s")).alias("similarity"))
+
+
+def abstention_violations(questions: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``question_id``, ``rule`` for every broken rule of a set of unanswerable questions.
+
+    Such questions hold no gold, no reference and no visual or multi-hop mark, and say how they were checked; those outside
+    the corpus name an anchor law that is not in it and stands in the question; those that lack evidence name a subject
+    document of the corpus.  ``corpus`` has ``doc_id``; laws are documents ``k<number>``.
+    """
+    docs = corpus.select("doc_id").where("doc_id is not null").distinct()
+    is_law = docs.select(F.expr("substring(doc_id, 2)").alias("anchor_law"), F.lit(True).alias("_law")).where("doc_id like 'k%'")
+    subjects = docs.select(F.col("doc_id").alias("subject_doc"), F.lit(True).alias("_subject"))
+    rows = questions.join(is_law, "anchor_law", "left").join(subjects, "subject_doc", "left")
+    none = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0
+    outside, lacking = F.col("slice") == "korpus-disi", F.col("slice") == "eksik-kanit"
+    words, name = fold_tokens(F.col("question")), fold_tokens(F.col("anchor_name"))
+    named = F.array_contains(words, F.col("anchor_law")) | ((F.size(name) > 0) & (F.size(F.array_except(name, words)) == 0))
+    has_anchor = F.col("anchor_law").isNotNull() & F.col("anchor_name").isNotNull()
+    rules = {
+        "answerable": ~F.coalesce(~F.col("answerable"), F.lit(False)),
+        **{f"{c}-not-empty": ~none(c) for c in ("gold_doc_ids", "gold_page_ids", "gold_article_ids", "minimal_evidence_spans")},
+        "reference-not-empty": F.trim(F.coalesce("reference_answer", F.lit(""))) != "",
+        "visual-or-multi-hop": F.coalesce("requires_visual", F.lit(False)) | F.coalesce("requires_multi_hop", F.lit(False)),
+        "no-verification-note": F.trim(F.coalesce("verification_note", F.lit(""))) == "",
+        "reason-of-other-slice": (outside & ~F.col("unanswerable_reason").eqNullSafe("korpus-disi")) | (lacking & ~F.col("unanswerable_reason").eqNullSafe("eksik-kanit"))
+        | ((F.col("slice") == "anlamsiz-ood") & ~F.col("unanswerable_reason").eqNullSafe("anlamsiz")),
+        "no-anchor": outside & ~has_anchor,
+        "anchor-in-corpus": outside & has_anchor & F.col("_law").isNotNull(),
+        "anchor-not-in-question": outside & has_anchor & ~named,
+        "no-subject": lacking & F.col("subject_doc").isNull(),
+        "subject-not-in-corpus": lacking & F.col("subject_doc").isNotNull() & F.col("_subject").isNull(),
+    }
+    broken = F.array_compact(F.array(*[F.when(cond, F.lit(n)) for n, cond in rules.items()]))
+    return rows.select("question_id", F.explode(broken).alias("rule")).distinct()
+
+
+def metric_differences(stored: DataFrame, recomputed: DataFrame, keys: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """``keys``, ``metric``, ``stored``, ``recomputed`` where a stored number isn't the recomputed one; a key or number that
+    only one side has differs too."""
+    names = [c for c in recomputed.columns if c not in keys]
+    cell = lambda df, name: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in names])).alias("c")).select(*keys, "c.*")
+    both = cell(stored, "stored").join(cell(recomputed, "recomputed"), [*keys, "metric"], "full")
+    near = F.coalesce(F.abs(F.col("stored") - F.col("recomputed")) <= tolerance, F.col("stored").isNull() & F.col("recomputed").isNull())
+    return both.where(~near)
+
+
 def duplicate_classes(texts: DataFrame, text_id: str, text: str) -> DataFrame:
-    """``id``, ``class_id``: texts with equal token sets share the smallest id; texts without tokens are left out."""
+    """``id``, ``class_id``, ``tokens``: texts with equal token sets share the smallest id; texts without tokens are left out."""
     sets = texts.select(F.col(text_id).alias("id"), F.array_sort(fold_tokens(F.col(text))).alias("tokens")).where(F.size("tokens") > 0)
     first = sets.groupBy("tokens").agg(F.min("id").alias("class_id"))
-    return sets.join(first, "tokens").select("id", "class_id")
+    return sets.join(first, "tokens").select("id", "class_id", "tokens")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexispark.cluster import shared_folder
+from lexispark.cluster import scratch_path
 from lexispark.operators import events as ev
 from lexispark.plans.registry import query
 from lexispark.sources.tables import table
@@ -190,30 +190,26 @@ def _stream(spark, folder):
     return requests.read_requests(spark, f"{folder}/request_events.parquet*", schema)
 
 
-def _scratch(spark, name: str) -> str:
-    """A folder of this run that all executors share."""
-    import uuid
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"""WITH {_E} SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS window_start, endpoint, count(*) AS requests, count(CASE WHEN abstained THEN 1 END) AS abstained FROM e GROUP BY ALL""")
 def stream_hourly(spark, folder):
     """Hourly counts computed as a stream with de-duplication under a watermark; equals the batch result."""
     from lexispark.streaming import requests
 
-    base = _scratch(spark, "hourly")
+    base = scratch_path(spark, "hourly")
     requests.run_once(requests.windowed(_stream(spark, folder)), f"{base}/out", f"{base}/state", mode="complete")
     return spark.read.parquet(f"{base}/out").select(F.unix_seconds("window_start").alias("window_start"), "endpoint", "requests", "abstained")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_E}, x AS (SELECT query_sha256 AS c, id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY query_sha256 ORDER BY epoch_us(ts), id) AS k FROM e WHERE query_sha256 IS NOT NULL AND ts IS NOT NULL),
+f AS (SELECT c, id, us, k FROM x WHERE k = 1 UNION ALL SELECT n.c, n.id, n.us, n.k FROM f, LATERAL (SELECT * FROM x WHERE x.c = f.c AND x.us >= f.us + 600000000 ORDER BY k LIMIT 1) n),
+w AS (SELECT f.id IS NOT NULL AS admitted, CASE WHEN f.id IS NULL THEN greatest(1, 600 - (x.us - max(f.us) OVER (PARTITION BY x.c ORDER BY x.k)) / 1e6) ELSE 0 END AS wait FROM x LEFT JOIN f ON f.c = x.c AND f.k = x.k)
+SELECT admitted, count(*) AS requests, round(max(wait), 3) AS longest_wait FROM w GROUP BY admitted""")
 def stream_limiter(spark, folder):
-    """Admissions of the sliding-window limiter with the query as client, computed as a stream."""
+    """Admissions of the sliding-window limiter with the query as client, one in ten minutes, computed as a stream."""
     from lexispark.streaming import requests
 
-    base = _scratch(spark, "limiter")
-    requests.run_once(requests.limited(requests.deduplicated(_stream(spark, folder)), "query_sha256"), f"{base}/out", f"{base}/state")
+    base = scratch_path(spark, "limiter")
+    requests.run_once(requests.limited(requests.deduplicated(_stream(spark, folder)), "query_sha256", 1, 600), f"{base}/out", f"{base}/state")
     out = spark.read.parquet(f"{base}/out")
     return out.groupBy("admitted").agg(F.count("*").alias("requests"), F.round(F.max("retry_after"), 3).alias("longest_wait"))
 

@@ -64,7 +64,7 @@ def split_assignment(spark, folder):
 
 
 @query("""SELECT question_id, group_key, CASE WHEN group_key IS NULL THEN NULL
-WHEN CAST(concat('0x', left(sha256('inner:' || group_key), 2)) AS INTEGER) < 170 THEN 'fit' ELSE 'calibration' END AS inner_side FROM calibration_rows""")
+WHEN CAST(concat('0x', left(sha256('late-calibration-v1:' || group_key), 2)) AS INTEGER) < 170 THEN 'fit' ELSE 'calibration' END AS inner_side FROM calibration_rows""")
 def inner_split(spark, folder):
     """Inner split of every calibration row by its group."""
     return table(spark, folder, "calibration_rows").select("question_id", "group_key", quality.inner_split(F.col("group_key")).alias("inner_side"))
@@ -77,7 +77,7 @@ cls AS (SELECT tokens, min(id) AS id FROM sets WHERE len(tokens) > 0 GROUP BY to
 @query(f"WITH {_SETS} SELECT sets.id, cls.id AS class_id FROM sets JOIN cls USING (tokens)")
 def duplicate_question_classes(spark, folder):
     """Questions with equal token sets."""
-    return quality.duplicate_classes(_bench(spark, folder), "question_id", "question")
+    return quality.duplicate_classes(_bench(spark, folder), "question_id", "question").select("id", "class_id")
 
 
 @query(f"""WITH {_SETS} SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))), 6) AS similarity
@@ -140,18 +140,6 @@ def span_precheck(spark, folder):
     )
 
 
-@query("""WITH t(scale, threshold) AS (VALUES ('hybrid-bm25', 10.6), ('hybrid-bm25', 0.58), ('hybrid-bm25', 250), ('visual-normalized', 0.58), ('visual-normalized', 10.6), ('visual-normalized', -1)),
-s AS (SELECT DISTINCT score_scale FROM request_events)
-SELECT scale, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN scale = 'hybrid-bm25' AND threshold > 0 AND threshold <= 1.5 THEN 'looks normalised'
-WHEN scale = 'hybrid-bm25' AND threshold > 200 THEN 'too large' WHEN scale = 'visual-normalized' AND threshold > 1.5 THEN 'looks like BM25' END AS problem FROM t JOIN s ON s.score_scale = t.scale""")
-def threshold_guard(spark, folder):
-    """Thresholds checked against the scales in use."""
-    given = [("hybrid-bm25", 10.6), ("hybrid-bm25", 0.58), ("hybrid-bm25", 250.0), ("visual-normalized", 0.58), ("visual-normalized", 10.6), ("visual-normalized", -1.0)]
-    rows = spark.createDataFrame(given, "scale string, threshold double")
-    scales = table(spark, folder, "request_events").select(F.col("score_scale").alias("scale")).distinct()
-    return rows.join(scales, "scale").withColumn("problem", quality.threshold_violation(F.col("scale"), F.col("threshold")))
-
-
 @query(f"""SELECT DISTINCT question_id, sha256(coalesce(question, '')) AS fingerprint, left(sha256(coalesce(question, '')), 12) AS short,
 trim(regexp_replace({sql_lower("coalesce(question, '')")}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS normal FROM bench_questions""")
 def question_fingerprints(spark, folder):
@@ -160,3 +148,116 @@ def question_fingerprints(spark, folder):
     return _bench(spark, folder).select(
         "question_id", F.sha2(q, 256).alias("fingerprint"), tx.hash_prefix(q, 12).alias("short"), tx.squeeze_blanks(tx.tr_lower(q)).alias("normal")
     ).distinct()
+
+
+_GROUP = """CASE WHEN len(gold_doc_ids) > 0 THEN 'doc:' || gold_doc_ids[1] WHEN unanswerable_reason = 'korpus-disi' AND coalesce(anchor_law, '') <> '' THEN 'anchor:' || anchor_law
+WHEN unanswerable_reason = 'eksik-kanit' AND coalesce(subject_doc, '') <> '' THEN 'doc:' || subject_doc ELSE 'qid:' || question_id END"""
+
+
+@query(f"""WITH g AS (SELECT DISTINCT question_id, {_GROUP} AS group_key FROM bench_questions)
+SELECT question_id, group_key, CASE WHEN CAST(concat('0x', left(sha256('late-calibration-v1:' || group_key), 2)) AS INTEGER) < 170 THEN 'fit' ELSE 'calibration' END AS inner_side FROM g""")
+def question_groups(spark, folder):
+    """Group of every question and the inner split of its group."""
+    rows = _bench(spark, folder).select("question_id", quality.question_group_key().alias("group_key")).distinct()
+    return rows.withColumn("inner_side", quality.inner_split(F.col("group_key")))
+
+
+_PINNED, _SIZE = ["k101", "k102"], 12
+_DERIVED = f"""blocked AS (SELECT DISTINCT subject_doc AS doc_id FROM bench_questions WHERE subject_doc IS NOT NULL AND verification_kind = 'human'),
+docs AS (SELECT doc_id, min(doc_type) AS doc_type FROM manifest WHERE doc_id IS NOT NULL GROUP BY 1), own AS (SELECT * FROM docs WHERE doc_id IN ('k101', 'k102')),
+free AS (SELECT *, sha256('seed|' || doc_id) AS h FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM own) AND doc_id NOT IN (SELECT doc_id FROM blocked) AND doc_id NOT IN ('k101', 'k102')),
+need AS (SELECT greatest(2 - count(CASE WHEN doc_type = 'rg_tarihi' THEN 1 END), 0) AS scarce, count(*) AS pinned FROM own),
+derived AS (SELECT doc_id FROM own UNION ALL SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS k FROM free WHERE doc_type = 'rg_tarihi'), need WHERE k <= scarce
+UNION ALL SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS k FROM free WHERE doc_type IS DISTINCT FROM 'rg_tarihi'), need WHERE k <= greatest({_SIZE} - pinned - scarce, 0))"""
+
+
+def _derived(spark, folder):
+    blocked = _bench(spark, folder).where("subject_doc is not null and verification_kind = 'human'").select("subject_doc").distinct()
+    ids = [r[0] for r in blocked.collect()]  # documents that a human chose as subject: a handful
+    return quality.derive_test_docs(table(spark, folder, "manifest"), "seed", _PINNED, ids, _SIZE)
+
+
+@query(f"WITH {_DERIVED} SELECT doc_id FROM derived")
+def derived_test_documents(spark, folder):
+    """Test documents: two pinned, subject documents blocked, filled to twelve in hash order with two gazettes."""
+    return _derived(spark, folder)
+
+
+@query(f"""WITH {_DERIVED}, q AS (SELECT DISTINCT question_id, CASE WHEN len(gold_doc_ids) > 0 THEN gold_doc_ids[1] END AS g FROM bench_questions)
+SELECT DISTINCT question_id, CASE WHEN g IS NULL THEN {_HALF.format(x='question_id')} WHEN g IN (SELECT doc_id FROM derived) THEN 'test' ELSE 'dev' END AS assigned FROM q""")
+def question_split(spark, folder):
+    """Side of every question by its first gold document, else by the parity of its hash."""
+    return quality.question_split(_bench(spark, folder), _derived(spark, folder))
+
+
+_FOLDED = lambda x: f"list_distinct(list_filter(regexp_split_to_array(translate({sql_lower(f'coalesce({x}, chr(32))')}, '{tx.FOLD_FROM}', '{tx.FOLD_TO}'), '[^0-9a-z]+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH s AS (SELECT question_id AS id, answerable, list_sort({_FOLDED('question')}) AS tokens FROM bench_questions WHERE answerable IS NOT NULL),
+a AS (SELECT tokens, min(id) AS id FROM s WHERE NOT answerable AND len(tokens) > 0 GROUP BY tokens), b AS (SELECT tokens, min(id) AS id FROM s WHERE answerable AND len(tokens) > 0 GROUP BY tokens),
+p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.tokens, b.tokens)) AS i, len(a.tokens) AS n, len(b.tokens) AS m FROM a, b WHERE len(list_intersect(a.tokens, b.tokens)) > 0)
+SELECT id_a, id_b, round(i / (n + m - i), 6) AS similarity FROM p WHERE i / (n + m - i) >= 0.3 - 1e-12""")
+def near_reference_questions(spark, folder):
+    """Unanswerable questions near an answerable one (at 0.3: no two are closer by chance)."""
+    q = _bench(spark, folder)
+    out = quality.near_reference(q.where("not answerable"), q.where("answerable"), "question_id", "question", 0.3)
+    return out.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH n AS (SELECT DISTINCT anchor_name || ' Kanunu' AS name FROM bench_questions WHERE anchor_name IS NOT NULL), a AS (SELECT name, {_FOLDED('name')} AS t FROM n),
+c AS (SELECT DISTINCT doc_id, {_FOLDED('doc_name')} AS t FROM manifest WHERE doc_name IS NOT NULL), p AS (SELECT name, doc_id, len(list_intersect(a.t, c.t)) AS i, len(a.t) AS x, len(c.t) AS y FROM a, c WHERE len(list_intersect(a.t, c.t)) > 0)
+SELECT name, arg_min(doc_id, struct_pack(s := -(i / (x + y - i)), d := doc_id)) AS doc_id, round(max(i / (x + y - i)), 6) AS similarity FROM p GROUP BY name""")
+def anchor_names(spark, folder):
+    """The corpus name most like the name of each anchor law (written as a law's name): none may be the same law."""
+    names = _bench(spark, folder).where("anchor_name is not null").select(F.concat("anchor_name", F.lit(" Kanunu")).alias("name"))
+    corpus = table(spark, folder, "manifest").select("doc_id", F.col("doc_name").alias("name"))
+    return quality.closest_names(names, corpus).select("name", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT doc_id FROM manifest WHERE doc_id IS NOT NULL), q AS (SELECT *, {_FOLDED('question')} AS w, {_FOLDED('anchor_name')} AS a FROM bench_questions WHERE unanswerable_reason IS NOT NULL),
+r AS (SELECT question_id, unnest(list_filter([CASE WHEN answerable IS NULL OR answerable THEN 'answerable' END, CASE WHEN len(coalesce(gold_doc_ids, [])) > 0 THEN 'gold_doc_ids-not-empty' END,
+CASE WHEN len(coalesce(gold_page_ids, [])) > 0 THEN 'gold_page_ids-not-empty' END, CASE WHEN len(coalesce(gold_article_ids, [])) > 0 THEN 'gold_article_ids-not-empty' END,
+CASE WHEN len(coalesce(minimal_evidence_spans, [])) > 0 THEN 'minimal_evidence_spans-not-empty' END, CASE WHEN trim(coalesce(reference_answer, '')) <> '' THEN 'reference-not-empty' END,
+CASE WHEN coalesce(requires_visual, false) OR coalesce(requires_multi_hop, false) THEN 'visual-or-multi-hop' END, CASE WHEN trim(coalesce(verification_note, '')) = '' THEN 'no-verification-note' END,
+CASE WHEN (slice = 'korpus-disi' AND unanswerable_reason IS DISTINCT FROM 'korpus-disi') OR (slice = 'eksik-kanit' AND unanswerable_reason IS DISTINCT FROM 'eksik-kanit') OR (slice = 'anlamsiz-ood' AND unanswerable_reason IS DISTINCT FROM 'anlamsiz') THEN 'reason-of-other-slice' END,
+CASE WHEN slice = 'korpus-disi' AND (anchor_law IS NULL OR anchor_name IS NULL) THEN 'no-anchor' END,
+CASE WHEN slice = 'korpus-disi' AND anchor_law IS NOT NULL AND anchor_name IS NOT NULL AND 'k' || anchor_law IN (SELECT doc_id FROM d) THEN 'anchor-in-corpus' END,
+CASE WHEN slice = 'korpus-disi' AND anchor_law IS NOT NULL AND anchor_name IS NOT NULL AND NOT (list_contains(w, anchor_law) OR (len(a) > 0 AND len(list_filter(a, lambda x: NOT list_contains(w, x))) = 0)) THEN 'anchor-not-in-question' END,
+CASE WHEN slice = 'eksik-kanit' AND subject_doc IS NULL THEN 'no-subject' END, CASE WHEN slice = 'eksik-kanit' AND subject_doc IS NOT NULL AND subject_doc NOT IN (SELECT doc_id FROM d) THEN 'subject-not-in-corpus' END], lambda x: x IS NOT NULL)) AS rule FROM q)
+SELECT DISTINCT question_id, rule FROM r""")
+def abstention_violations(spark, folder):
+    """Broken rules of the unanswerable questions."""
+    rows = _bench(spark, folder).where("unanswerable_reason is not null")
+    return quality.abstention_violations(rows, table(spark, folder, "manifest"))
+
+
+_FLIPPED = "CASE WHEN CAST(substr(question_id, 2) AS BIGINT) % 7 = 0 THEN NOT answerable ELSE answerable END"
+
+
+@query(f"""WITH v AS (SELECT question_id, coalesce(gold_page_ids, []) AS gp, CASE WHEN CAST(substr(question_id, 2) AS BIGINT) % 5 = 0 THEN [] ELSE coalesce(gold_doc_ids, []) END AS gd, trim(coalesce(reference_answer, '')) AS ref, {_FLIPPED} AS answerable, unanswerable_reason,
+verification_status, CASE WHEN CAST(substr(question_id, 2) AS BIGINT) % 11 <> 0 THEN verified_by END AS verified_by FROM bench_questions)
+SELECT DISTINCT question_id, rule FROM (
+SELECT question_id, 'answerable-without-gold' AS rule FROM v WHERE answerable AND len(gp) = 0
+UNION ALL SELECT question_id, 'answerable-without-reference' FROM v WHERE answerable AND ref = ''
+UNION ALL SELECT question_id, 'answerable-with-reason' FROM v WHERE answerable AND unanswerable_reason IS NOT NULL
+UNION ALL SELECT question_id, 'unanswerable-with-gold' FROM v WHERE NOT answerable AND len(gp) > 0
+UNION ALL SELECT question_id, 'unanswerable-without-reason' FROM v WHERE NOT answerable AND unanswerable_reason IS NULL
+UNION ALL SELECT question_id, 'gold-page-without-number' FROM v WHERE len(list_filter(gp, lambda p: NOT contains(p, ':'))) > 0
+UNION ALL SELECT question_id, 'gold-page-of-other-doc' FROM v WHERE len(list_filter(gp, lambda p: NOT list_contains(gd, split_part(p, ':', 1)))) > 0
+UNION ALL SELECT question_id, 'verified-by-nobody' FROM v WHERE verification_status = 'verified' AND verified_by IS NULL)""")
+def planted_violations(spark, folder):
+    """Broken rules of a question table in which every seventh answer mark is turned, every fifth question has lost its gold
+    documents and every eleventh its verifier."""
+    n = F.substring("question_id", 2, 20).cast("long")
+    rows = _bench(spark, folder).withColumn("answerable", F.when(n % 7 == 0, ~F.col("answerable")).otherwise(F.col("answerable")))
+    rows = rows.withColumn("gold_doc_ids", F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("gold_doc_ids")))
+    return quality.question_violations(rows.withColumn("verified_by", F.when(n % 11 != 0, F.col("verified_by"))))
+
+
+@query("""WITH t AS (SELECT DISTINCT score_scale AS scale, top_score AS threshold FROM request_events WHERE top_score IS NOT NULL AND NOT isnan(top_score) AND score_scale IS NOT NULL)
+SELECT scale, threshold, CASE WHEN scale = 'hybrid-bm25' AND threshold > 0 AND threshold <= 1.5 THEN 'looks normalised' WHEN scale = 'hybrid-bm25' AND threshold > 200 THEN 'too large' WHEN scale = 'visual-normalized' AND threshold > 1.5 THEN 'looks like BM25' END AS problem FROM t""")
+def threshold_guard(spark, folder):
+    """Every score that was ever the best, taken as a threshold on its scale."""
+    rows = table(spark, folder, "request_events").where("top_score is not null and not isnan(top_score) and score_scale is not null")
+    given = rows.select(F.col("score_scale").alias("scale"), F.col("top_score").alias("threshold")).distinct()
+    return given.withColumn("problem", quality.threshold_violation(F.col("scale"), F.col("threshold")))

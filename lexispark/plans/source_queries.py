@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexispark.cluster import scratch_path
 from lexispark.functions.text import page_doc, page_number
-from lexispark.plans.event_queries import _scratch
 from lexispark.plans.registry import query
 from lexispark.sources import connectors
 from lexispark.sources.tables import table
@@ -15,7 +15,7 @@ from lexispark.sources.tables import table
 WHEN coalesce(doc_type, '') NOT IN ('kanun', 'rg_tarihi') THEN 'doc_type' WHEN trim(coalesce(url, '')) = '' THEN 'url' END AS problem FROM manifest) GROUP BY problem""")
 def manifest_csv(spark, folder):
     """The manifest written as CSV and read back with its problems."""
-    path = f"{_scratch(spark, 'manifest')}.csv"
+    path = f"{scratch_path(spark, 'manifest')}.csv"
     table(spark, folder, "manifest").write.csv(path, header=True)
     return connectors.read_manifest(spark, path).groupBy("problem").agg(F.count("*").alias("n"))
 
@@ -24,7 +24,7 @@ def manifest_csv(spark, folder):
 def questions_jsonl(spark, folder):
     """The question table written as JSON lines and read back with its schema."""
     rows = table(spark, folder, "bench_questions")
-    path = f"{_scratch(spark, 'questions')}.jsonl"
+    path = f"{scratch_path(spark, 'questions')}.jsonl"
     connectors.write_json_lines(rows, path)
     back = connectors.read_json_lines(spark, path, rows.schema)
     return back.select("question_id", "question", "answerable", F.coalesce(F.size("gold_page_ids"), F.lit(0)).cast("long").alias("n_gold"))
@@ -56,7 +56,7 @@ def schema_evolution(spark, folder):
 @query("SELECT count(*) AS n, min(id) AS first_id, max(id) AS last_id, count(total_ms) AS with_ms FROM request_events")
 def export_round_trip(spark, folder):
     """The request log exported as Parquet ordered by id and read back."""
-    path = f"{_scratch(spark, 'export')}.parquet"
+    path = f"{scratch_path(spark, 'export')}.parquet"
     connectors.export_events(table(spark, folder, "request_events"), path)
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("total_ms").alias("with_ms"))
 

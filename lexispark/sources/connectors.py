@@ -49,20 +49,22 @@ def with_all_ids(ids: DataFrame, texts: DataFrame, key: str, text: str) -> DataF
 
 
 def extract_text_layer(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """``path``, ``page_no``, ``text`` from the content of binary files; an unreadable file gives no page."""
+    """``path``, ``page_no``, ``text``, ``problem`` from the content of binary files.
+
+    A file that cannot be read gives one row with an empty text, no page number and the error in ``problem``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    pages = extract(bytes(content))
-                except Exception:  # noqa: BLE001 - a broken file must not end the job
-                    pages = []
-                rows.extend((path, i, t) for i, t in enumerate(pages, 1))
-            yield pd.DataFrame(rows, columns=["path", "page_no", "text"])
+                    rows.extend([(path, i, t, None) for i, t in enumerate(extract(bytes(content)), 1)])
+                except Exception as error:  # noqa: BLE001 - a broken file must not end the job
+                    rows.append((path, None, "", f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "page_no", "text", "problem"]).astype({"page_no": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_no int, text string")
+    return files.select("path", "content").mapInPandas(run, "path string, page_no int, text string, problem string")
 
 
 def blank_pages(pages: DataFrame) -> DataFrame:

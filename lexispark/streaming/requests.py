@@ -45,6 +45,9 @@ def limiter(limit: int, seconds: int):
     the last ``seconds``; rejected requests take no slot; otherwise the wait until the oldest slot frees is given."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nothing was admitted within the window any more: as if the client had never been seen
+            state.remove()
+            return
         admitted = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(frames)).sort_values(["ts", "id"])
         out = []
@@ -57,22 +60,27 @@ def limiter(limit: int, seconds: int):
             if ok:
                 admitted.append(now)
         state.update((list(admitted),))
+        last = max([*admitted, 0.0]) * 1000
+        state.setTimeoutTimestamp(int(max(last, state.getCurrentWatermarkMs()) + seconds * 1000 + 1))
         yield pd.DataFrame(out, columns=["client", "id", "admitted", "retry_after"])
 
     return run
 
 
 def limited(stream: DataFrame, client: str, limit: int = 2, seconds: int = 60) -> DataFrame:
-    """``client``, ``id``, ``admitted``, ``retry_after`` of every request; state is one short deque per client."""
+    """``client``, ``id``, ``admitted``, ``retry_after`` of every request; state is one short deque per client.
+
+    ``stream`` has a watermark on ``ts``: a client's state ends when the watermark has left its last admitted request behind.
+    """
     return (
-        stream.select(F.col(client).alias("client"), "id", "ts").where("client is not null and id is not null")
+        stream.select(F.col(client).alias("client"), "id", "ts").where("client is not null and id is not null and ts is not null")
         .groupBy("client")
         .applyInPandasWithState(
             limiter(limit, seconds),
             "client string, id long, admitted boolean, retry_after double",
             "slots array<double>",
             "append",
-            GroupStateTimeout.NoTimeout,
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 

@@ -321,6 +321,17 @@ def test_limiter_counts_only_admitted_requests():
         def get(self):
             return self.value
 
+        hasTimedOut = False  # noqa: N815
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return 0
+
+        def setTimeoutTimestamp(self, ms):  # noqa: N802
+            self.ends = ms
+
+        def remove(self):
+            self.exists = False
+
         def update(self, value):
             self.exists, self.value = True, value
 
@@ -341,7 +352,22 @@ def test_connectors(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == [("a", ""), ("b", "")]
     files = spark.createDataFrame([("f", bytearray(b"one\ftwo")), ("bad", None)], "path string, content binary")
     pages = connectors.extract_text_layer(files, lambda b: b.decode().split("\f"))
-    assert sorted(map(tuple, pages.collect())) == [("f", 1, "one"), ("f", 2, "two")]
+    got = {(r["path"], r["page_no"], r["text"], r["problem"] is None) for r in pages.collect()}
+    assert got == {("f", 1, "one", True), ("f", 2, "two", True), ("bad", None, "", False)}
+
+
+def test_document_split_rules(spark):
+    q = [("a", ["t1"], None, None, None), ("b", ["x"], None, None, None), ("c", [], "korpus-disi", "77", None), ("d", [], "eksik-kanit", None, "t1"), ("e", None, None, None, None), ("f", [], "eksik-kanit", None, None)]
+    df = spark.createDataFrame(q, "question_id string, gold_doc_ids array<string>, unanswerable_reason string, anchor_law string, subject_doc string")
+    keys = {r["question_id"]: r["k"] for r in df.select("question_id", quality.question_group_key().alias("k")).collect()}
+    assert keys == {"a": "doc:t1", "b": "doc:x", "c": "anchor:77", "d": "doc:t1", "e": "qid:e", "f": "qid:f"}
+    docs = spark.createDataFrame([("t1",)], "doc_id string")
+    got = {r["question_id"]: r["assigned"] for r in quality.question_split(df, docs).collect()}
+    assert got["a"] == "test" and got["b"] == "dev" and {got[x] for x in "cdef"} <= {"dev", "test"}
+    assert got["e"] == ("dev" if int(__import__("hashlib").sha256(b"e").hexdigest()[-1], 16) % 2 == 0 else "test")
+    types = [(f"k{i}", "kanun") for i in range(6)] + [(f"r{i}", "rg_tarihi") for i in range(4)]
+    chosen = {r["doc_id"] for r in quality.derive_test_docs(spark.createDataFrame(types, "doc_id string, doc_type string"), "s", ["k0"], ["k1", "r0"], 5).collect()}
+    assert len(chosen) == 5 and "k0" in chosen and not chosen & {"k1", "r0"} and sum(d[0] == "r" for d in chosen) == 2
 
 
 def test_running_sums_equal_a_slow_restatement(spark):
