@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
-from lexispark.operators import answering, calibration, events, lexical, lists, metrics, quality, review, structure, vectors
+from lexispark.operators import answering, calibration, events, lexical, lists, metrics, quality, review, sparse, structure, vectors
 from lexispark.sources import connectors
 
 
@@ -69,6 +69,45 @@ def test_bm25_fills_up_with_unmatched_pages(spark):
     assert {(r["query_id"], r["rank"], r["page_id"]) for r in out} == {("q", 1, "b"), ("q", 2, "a"), ("empty", 1, "a"), ("empty", 2, "b")}
 
 
+def _random_texts(spark, n, seed=5):
+    rng = random.Random(seed)
+    words = ["kira", "ceza", "borç", "vergi", "miras", "dava", "tapu", "nafaka"]
+    rows = [(f"d{i % 7}:{i}", " ".join(rng.choice(words) for _ in range(rng.randrange(6)))) for i in range(n)]
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words) for _ in range(i % 4))) for i in range(12)], "query_id string, text string")
+    return spark.createDataFrame(rows, "page_id string, text string"), queries
+
+
+def test_best_pages_are_those_of_all_pairs_in_any_blocks(spark, monkeypatch):
+    pages, queries = _random_texts(spark, 300)
+    # a page of two rows of one length and one of two lengths
+    pages = pages.unionByName(spark.createDataFrame([("d0:0", "kira"), ("d0:0", "ceza"), ("d1:1", "kira ceza"), ("d1:1", "tapu")], pages.schema))
+    lists_, terms = lexical.token_lists(pages), lexical.query_terms(queries)
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["page_id"], round(r["score"], 9), r["matched"]) for r in rows)
+    stats, scores = lexical.corpus_stats(lists_), lexical.bm25_scores(lists_.where("page_id not in ('d0:0', 'd1:1')"), terms)
+    assert stats.first()["n_pages"] == 304
+    clean = lists_.where("page_id not in ('d0:0', 'd1:1')")
+    expected = key(lexical.rank_pages(scores, 5).collect())
+    assert expected and key(lexical.bm25_best(clean, terms, 5).collect()) == expected
+    monkeypatch.setattr(sparse, "POSTINGS", 20)
+    monkeypatch.setattr(sparse, "QUERY_BLOCK", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert key(lexical.bm25_best(clean, terms, 5).collect()) == expected
+        both = {r["page_id"] for r in lexical.bm25_best(lists_, terms, 400).collect()}
+        assert {"d0:0", "d1:1"} <= both
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_what_leaves_the_scan_follows_the_limit_not_the_pairs(spark):
+    pages, queries = _random_texts(spark, 3000)
+    lists_, terms = lexical.written(lexical.token_lists(pages.coalesce(1))), lexical.query_terms(queries)
+    weighted, avgdl = lexical.term_weights(lists_, terms)
+    index = lexical.unit_index(lists_).coalesce(1)
+    assert lexical.bm25_scores(lists_, terms).count() > 3000
+    assert sparse.best_scores(index, weighted, avgdl, lexical.K1, lexical.B, 3).count() <= 3 * 12
+
+
 def test_routing_moves_only_the_window(spark):
     rng = random.Random(3)
     pages = [f"d{rng.randrange(4)}:{i}" for i in range(80)]
