@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.cluster import checkpointed
 from lexispark.functions.text import ascii_fold, page_doc, tr_lower
+from lexispark.operators import sparse
 
 # Strengths of verification kinds, byte limit and salt of the inner split, near-duplicate similarity.
 LEVELS = {"model-cross-check": 1, "human": 2}
@@ -136,22 +138,11 @@ def near_duplicates(texts: DataFrame, text_id: str, text: str, threshold: float
 def near_reference(texts: DataFrame, reference: DataFrame, text_id: str, text: str, threshold: float = NEAR_DUPLICATE) -> DataFrame:
     """``id_a`` of ``texts``, ``id_b`` of ``reference``, ``similarity``: links between the classes of equal token sets of
     either side at or above a similarity, equal sets included; a class is represented by its smallest id on its side."""
-    side = lambda df, mark: df.select(F.concat(F.lit(mark), F.col(text_id).cast("string")).alias("id"), F.col(text).alias("text"))
-    a, b = side(texts, "a"), side(reference, "b")
-    classes = lambda df: duplicate_classes(df, "id", "text").groupBy("class_id").agg(F.first("tokens").alias("tokens"))
-    both = classes(a).unionByName(classes(b))
-    words = both.select(F.col("class_id").alias("id"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    common = words.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = words.join(common, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    prefix = ranked.select("id", "n", F.explode(F.slice("r", 1, keep)).alias("e")).select("id", "n", "e.token")
-    left = prefix.where("id like 'a%'").select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token")
-    right = prefix.where("id like 'b%'").select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token")
-    pairs = left.join(right, "token").where(F.expr(f"n_a >= {threshold} * n_b - 1e-9 and n_b >= {threshold} * n_a - 1e-9")).select("id_a", "id_b").distinct()
-    sets = lambda k: both.select(F.col("class_id").alias(f"id_{k}"), F.col("tokens").alias(f"t_{k}"))
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    linked = pairs.join(sets("a"), "id_a").join(sets("b"), "id_b").withColumn("similarity", shared / (F.size("t_a") + F.size("t_b") - shared))
-    return linked.where(F.col("similarity") >= threshold - 1e-12).select(F.substring("id_a", 2, 1 << 30).alias("id_a"), F.substring("id_b", 2, 1 << 30).alias("id_b"), "similarity")
+    def classes(df: DataFrame) -> DataFrame:
+        sets = df.select(F.col(text_id).cast("string").alias("id"), F.array_sort(fold_tokens(F.col(text))).alias("tokens"))
+        return checkpointed(sets.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("id")).where("id is not null"))
+
+    return sparse.similar_sets(classes(texts), classes(reference), threshold)
 
 
 def closest_names(names: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -108,6 +108,22 @@ def test_what_leaves_the_scan_follows_the_limit_not_the_pairs(spark):
     assert sparse.best_scores(index, weighted, avgdl, lexical.K1, lexical.B, 3).count() <= 3 * 12
 
 
+def test_near_reference_by_blocks_equals_all_pairs(spark, monkeypatch):
+    pages, _ = _random_texts(spark, 120, seed=9)
+    rows = pages.collect()
+    folded = {r["page_id"]: set(r["text"].replace("ç", "c").split()) for r in rows}
+    texts, reference = pages.where("hash(page_id) % 2 = 0"), pages.where("hash(page_id) % 2 <> 0")
+    first = lambda df: {frozenset(folded[i]): i for i in sorted((r["page_id"] for r in df.collect()), reverse=True) if folded[i]}
+    pairs = [(i, j, len(a & b) / len(a | b)) for a, i in first(texts).items() for b, j in first(reference).items()]
+    expected = sorted((i, j, round(s, 9)) for i, j, s in pairs if s >= 0.5)
+    monkeypatch.setattr(sparse, "POSTINGS", 30)
+    monkeypatch.setattr(sparse, "QUERY_BLOCK", 20)
+    got = quality.near_reference(texts, reference, "page_id", "text", 0.5)
+    assert sorted((r[0], r[1], round(r[2], 9)) for r in got.collect()) == expected and expected
+    joins = got._jdf.queryExecution().toString().count("Join")
+    assert joins == 0  # no candidate pair is ever a row
+
+
 def test_routing_moves_only_the_window(spark):
     rng = random.Random(3)
     pages = [f"d{rng.randrange(4)}:{i}" for i in range(80)]
