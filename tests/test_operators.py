@@ -108,6 +108,26 @@ def test_what_leaves_the_scan_follows_the_limit_not_the_pairs(spark):
     assert sparse.best_scores(index, weighted, avgdl, lexical.K1, lexical.B, 3).count() <= 3 * 12
 
 
+def test_best_targets_score_as_their_best_page_in_any_blocks(spark, monkeypatch):
+    pages, queries = _random_texts(spark, 200)
+    lists_, terms = lexical.token_lists(pages), lexical.query_terms(queries)
+    of = spark.createDataFrame([(f"d{i % 7}:{i}", [f"t{i // 3}", f"t{i % 11}"] if i % 5 else []) for i in range(200)], "chunk_id string, page_ids array<string>")
+    all_pairs = lists.chunks_to_pages(lexical.bm25_scores(lists_, terms).withColumnRenamed("page_id", "chunk_id"), of)
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["page_id"], round(r["score"], 9)) for r in rows)
+    expected = key(lexical.rank_pages(all_pairs, 4).collect())
+    monkeypatch.setattr(sparse, "POSTINGS", 20)
+    monkeypatch.setattr(sparse, "QUERY_BLOCK", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        targets = lists.pages_of_chunks(of).toDF("page_id", "targets")
+        ranked, score_of = lexical.best_by_targets(lists_, terms, targets, 4)
+        assert key(ranked.collect()) == expected
+        got = {(r["query_id"], r["page_id"]): round(r["score"], 9) for r in score_of(all_pairs).collect()}
+        assert got == {(r["query_id"], r["page_id"]): round(r["score"], 9) for r in all_pairs.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_near_reference_by_blocks_equals_all_pairs(spark, monkeypatch):
     pages, _ = _random_texts(spark, 120, seed=9)
     rows = pages.collect()
