@@ -108,3 +108,30 @@ def test_a_sample_is_trained_on_once(spark, monkeypatch):
     assert len(calls) <= 1 and one is two
     abuse.model_of(docs.where("doc_id = 1"), labels)
     assert len(calls) >= 1
+
+
+def test_near_misses_with_some_wrong_labels_are_not_flagged(spark):
+    rng = random.Random(1)
+    plain = [f"kelime{rng.choice('abcdefgh')}{rng.choice('klmnprst')}{rng.choice('aeiou')}" for _ in range(200)]
+    bad = ["kapa ceneni sen tam bir aptal", "defol git buradan serefsiz", "hepiniz pis bir surusunuz", "kadinlarin yeri mutfak"]
+    near = ["tam bir hayal kirikligi", "kadinlarin calisma hakki korunur"]
+    texts, labels = [], []
+    for i in range(400):
+        sentences = [" ".join(rng.choices(plain, k=7)) + "." for _ in range(5)]
+        if i % 8 < 2:
+            sentences.insert(rng.randrange(5), rng.choice(near if i % 8 else bad) + ".")
+        texts.append((i, " ".join(sentences), "s"))
+        labels.append((i, "abusive" if i % 8 == 0 or i % 32 == 1 else "clean", "x"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    out = abuse.score_documents(docs, spark.createDataFrame(labels, "doc_id long, label string, labeller string")).toPandas()
+    flagged = (out.score >= abuse.THRESHOLD).groupby(np.minimum(out.doc_id % 8, 2)).mean()
+    assert flagged[0] > 0.9 and flagged[1] < 0.1 and flagged[2] < 0.02
+
+
+def test_segments_that_more_clean_texts_have_count_in_no_other_text(spark):
+    near, own = "haşere ilaçlaması yılda iki kez yapılır", "kapa çeneni aptal"
+    docs = spark.createDataFrame([(1, f"{near}. {own}."), (2, near), (3, f"{near}. temiz."), (4, own)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "abusive", "x"), (2, "clean", "x"), (3, "clean", "x"), (4, "clean", "x")], "doc_id long, label string, labeller string")
+    got = [(own, list(y)) for own, y in abuse.training_texts(docs, labels)]
+    # in one text of either side: the label decides
+    assert (abuse.segments(own), [0, 1, 0, 0]) in got and (abuse.segments(f"{near}. temiz."), [1, 0, 0, 0]) in got and len(got) == 4
