@@ -592,3 +592,44 @@ def test_filled_search_gives_five_hits_to_every_query(spark, tmp_path):
     hits = {q: [r["page_id"] for r in lexical_queries.search_hybrid_filled(spark, str(tmp_path)).where(F.col("query_id") == q).orderBy("hit_rank").collect()] for q, _ in asked}
     assert hits["q20"] == ["d4:m1", "d0:m1", "d1:m1", "d2:m1", "d3:m1"]
     assert hits["q40"] == ["d0:m1", "d1:m1", "d2:m1", "d3:m1", "d4:m1"]
+
+
+def _search_tables(spark, folder, asked):
+    chunks = [(f"d{i}:m1", "kira borç" if i == 4 else "vergi") for i in range(12)]
+    spark.createDataFrame(chunks, "chunk_id string, index_text string").write.parquet(f"{folder}/chunks.parquet")
+    spark.createDataFrame(asked, "question_id string, question string").write.parquet(f"{folder}/bench_questions.parquet")
+    spark.createDataFrame([("d4", "Kira", "u"), ("d0", "Ceza", "u")], "doc_id string, doc_name string, url string").write.parquet(f"{folder}/manifest.parquet")
+
+
+def test_every_question_gets_its_best_chunks(spark, tmp_path):
+    from lexispark.plans import lexical_queries
+
+    # numbers that 20 doesn't divide, an id without a number, a question twice, one without a token, one without text
+    _search_tables(spark, str(tmp_path), [("q20", "kira"), ("q21", "kira"), ("q21", "kira"), ("qx", "kira"), ("q3", "ve"), ("q7", None)])
+    rows = lexical_queries.bm25_top10(spark, str(tmp_path)).orderBy("query_id", "rank").collect()
+    hits = {q: [r["page_id"] for r in rows if r["query_id"] == q] for q in {r["query_id"] for r in rows}}
+    pages = sorted(f"d{i}:m1" for i in range(12))
+    first = ["d4:m1", *[p for p in pages if p != "d4:m1"]][:10]
+    assert hits == {"q20": first, "q21": first, "qx": first, "q3": pages[:10], "q7": pages[:10]}
+
+
+def test_lists_of_hits_are_the_best_pages_in_any_blocks(spark, monkeypatch):
+    pages, queries = _random_texts(spark, 300)
+    # a page of two rows of one length and one of two lengths
+    pages = pages.unionByName(spark.createDataFrame([("d0:0", "kira"), ("d0:0", "ceza"), ("d1:1", "kira ceza"), ("d1:1", "tapu")], pages.schema))
+    lists_, terms = lexical.token_lists(pages), lexical.query_terms(queries)
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["page_id"], round(r["score"], 9)) for r in rows)
+    flat = lambda best: [{"query_id": r["query_id"], "rank": i + 1, **h.asDict()} for r in best.collect() for i, h in enumerate(r["hits"])]
+    expected = {n: key(lexical.bm25_best(lists_, terms, n).collect()) for n in (3, 400)}
+    clean = lists_.where("page_id not in ('d0:0', 'd1:1')")
+    top = key(lexical.bm25_top(clean, terms, queries, 200).collect())
+    for postings, dense, queries_a_block in ((4_000_000, 8, 16_384), (100, 2, 5)):
+        monkeypatch.setattr(sparse, "POSTINGS", postings)
+        monkeypatch.setattr(sparse, "DENSE", dense)
+        monkeypatch.setattr(sparse, "QUERY_BLOCK", queries_a_block)
+        for n, rows in expected.items():
+            assert key(flat(lexical.bm25_lists(lists_, terms, n))) == rows
+        assert key(lexical.bm25_filled(clean, terms, queries, 200).collect()) == top
+    assert lexical.bm25_lists(lists_.where("false"), terms, 3).count() == 0
+    assert lexical.bm25_lists(lists_, terms.where("false"), 3).count() == 0
+    assert lexical.bm25_filled(lists_.where("false"), terms, queries, 3).count() == 0
