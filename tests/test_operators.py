@@ -633,3 +633,27 @@ def test_lists_of_hits_are_the_best_pages_in_any_blocks(spark, monkeypatch):
     assert lexical.bm25_lists(lists_.where("false"), terms, 3).count() == 0
     assert lexical.bm25_lists(lists_, terms.where("false"), 3).count() == 0
     assert lexical.bm25_filled(lists_.where("false"), terms, queries, 3).count() == 0
+
+
+def test_every_question_is_ranked_before_and_after_routing(spark, tmp_path):
+    from lexispark.plans import lexical_queries
+
+    # q21 names d4 and d0, which 20 doesn't divide; q3 has no token
+    _search_tables(spark, str(tmp_path), [("q20", "borç"), ("q21", "kira vergi ceza"), ("q3", "ve")])
+    rows = lexical_queries.route_window(spark, str(tmp_path)).orderBy("query_id", "new_rank").collect()
+    got = {q: [(r["page_id"], r["rank"], r["new_rank"], r["routed"]) for r in rows if r["query_id"] == q] for q in {r["query_id"] for r in rows}}
+    others = sorted(f"d{i}:m1" for i in range(1, 12) if i != 4)
+    assert got["q20"] == [("d4:m1", 1, 1, False)]
+    assert got["q21"] == [("d4:m1", 1, 1, True), ("d0:m1", 2, 2, True), *((p, i + 3, i + 3, False) for i, p in enumerate(others))]
+    assert set(got) == {"q20", "q21"}
+
+
+def test_routing_of_lists_equals_that_of_rows(spark):
+    pages, queries = _random_texts(spark, 150)
+    lists_, terms = lexical.token_lists(pages), lexical.query_terms(queries)
+    routed = spark.createDataFrame([("q1", "d3"), ("q1", "d5"), ("q2", "d0"), ("q2", "d0"), ("q3", "none")], "query_id string, doc_id string")
+    columns = ["query_id", "page_id", "rank", "new_rank", "routed"]
+    want = sorted(map(tuple, lexical.route_window(lexical.bm25_best(lists_, terms, 30), routed, 10).select(columns).collect()))
+    got = lexical.route_lists(lexical.bm25_lists(lists_, terms, 30), routed, 10).select(columns)
+    assert sorted(map(tuple, got.collect())) == want
+    assert any(r["routed"] and r["new_rank"] < r["rank"] for r in got.collect())
